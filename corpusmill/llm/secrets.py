@@ -27,8 +27,8 @@ _NAMES = "|".join(either_case(w) for w in ("password", "passwd", "secret", "toke
 KINDS = {
     "assign": (f"({_NAMES})[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6),
     "access": ("AKIA[A-Z0-9]+", 0, 20),
-    "hex": ("[0-9a-f]{24,}", 0, 24),
-    "opaque": ("[A-Za-z0-9_-]{20,}", 0, 20),
+    "hex": ("(?<![0-9a-f])[0-9a-f]{24,}", 0, 24),
+    "opaque": ("(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}", 0, 20),
 }
 BASE = ("assign", "access", "hex")
 #: Owners that a value may have and still be theirs alone.
@@ -52,11 +52,8 @@ def _adder(k: int, least: int):
 
 
 def has_candidates(text: Column) -> Column:
-    """Whether any pattern occurs; true for a few rows that have no candidate after all."""
-    out = F.lit(False)
-    for pattern, _, _ in KINDS.values():
-        out = out | text.rlike(pattern)
-    return out
+    """Whether there may be candidates: every access and hex candidate is an opaque run too, and an assignment needs its sign."""
+    return (F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))) & text.rlike(KINDS["assign"][0]) | text.rlike(KINDS["opaque"][0])
 
 
 def with_candidates(docs: DataFrame, text: Column, name: str) -> DataFrame:
