@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, ordinal, secrets, simhash
+from . import bpe, decontam, editcount, hpylm, ordinal, quotes, secrets, simhash, topk, unit_dedup
 from .common import table
 
 
@@ -53,5 +53,49 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scans, op5_toxicity, op7_simhash, op8_decontamination, op9_byte_bpe)}
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpylm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = unit_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.array_join(F.transform("removed", lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
+    return out.select("doc_id", F.size("removed").cast("long").alias("n_removed"), spans.alias("removed"), "text")
+
+
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link(table(spark, sf_dir, "conversations"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document gets three edits at places that follow its length: words inserted, characters deleted, characters replaced."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    n = F.length("text")
+    edit = lambda start, end, text: F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), F.lit(text).alias("text"))
+    third, half, later = F.floor(n / 3), F.floor(n / 2), F.floor(2 * n / 3)
+    docs = docs.withColumn("edits", F.array(edit(third, third, " as edited"), edit(half, half + 16, ""), edit(later, later + 8, "\n\n42 new lines ")))
+    return editcount.count_with_edits(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_secret_scans,
+        op2_lm_scoring,
+        op3_substring_dedup,
+        op4_exact_topk,
+        op5_toxicity,
+        op6_chat_formatting,
+        op7_simhash,
+        op8_decontamination,
+        op9_byte_bpe,
+        op10_token_counts,
+    )
+}
 SQL: dict[str, str] = {}
