@@ -13,6 +13,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: What the English and Spanish rules keep.
 ENGLISH_KEEPS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ.,!?:;'-()[] 0123456789"
@@ -54,7 +55,7 @@ def replace_matches(text: Column, pattern: str, to) -> Column:
     """Every match replaced by to(match), an expression over its text."""
     between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     changed = F.concat(F.transform(found, to), F.array(F.lit("")))
-    return F.array_join(F.zip_with(between, changed, F.concat), "")
+    return F.array_join(F.zip_with(between, changed, lambda a, b: F.concat(a, b)), "")
 
 
 @lru_cache(1)
@@ -72,7 +73,7 @@ def _composable() -> str:
     return f"[{''.join(spans)}]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _composed(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 

@@ -32,17 +32,34 @@ def smooth(values: Column, keep: float = 0.987) -> Column:
     )
 
 
-def smoothed_series(frame: DataFrame, tag: str, step: str, value: str, keep: float = 0.987) -> DataFrame:
-    """(tag, step, smoothed). The recursion s_n = keep^(n-1) x_1 + (1 - keep) * sum(keep^(n-i) x_i) in blocks of rows: each block is
-    folded by itself, the ends of blocks are chained, and rows take the chained start, so long series need no single list."""
+def smoothed_series(frame: DataFrame, tag: str, step: str, value: str, keep: float = 0.987, block: int = 10_000) -> DataFrame:
+    """(tag, step, smoothed), steps being whole numbers. Blocks of steps are smoothed from 0 by themselves; the ends of blocks are
+    then chained, one row for each, and a block's rows take what comes from before, which fades by `keep` a row."""
     import pandas as pd
 
-    def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(step)
-        return pd.DataFrame({tag: rows[tag], step: rows[step], "smoothed": rows[value].ewm(alpha=1 - keep, adjust=False).mean()})
-
-    kinds = ", ".join(f"{c} {frame.schema[c].dataType.simpleString()}" for c in (tag, step))
-    return frame.select(tag, step, F.col(value).cast("double").alias(value)).groupBy(tag).applyInPandas(fold, f"{kinds}, smoothed double")
+    def local(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("step")
+        smoothed, last = [], 0.0
+        for x in rows["value"]:
+            last = keep * last + (1 - keep) * x
+            smoothed.append(last)
+        return rows.assign(local=smoothed, i=range(1, len(rows) + 1))
+
+    def chained(key: tuple, ends: pd.DataFrame) -> pd.DataFrame:
+        ends = ends.sort_values("block")
+        starts, last = [], float(ends["first"].iloc[0])  # a series begins at its first value
+        for end, n in zip(ends["end"], ends["n"]):
+            starts.append(last)
+            last = end + last * keep**n
+        return ends.assign(start=starts)[["tag", "block", "start"]]
+
+    kind = frame.schema[tag].dataType.simpleString()
+    rows = frame.select(F.col(tag).alias("tag"), F.floor(F.col(step) / block).alias("block"), F.col(step).cast("long").alias("step"), F.col(value).cast("double").alias("value"))
+    folded = rows.groupBy("tag", "block").applyInPandas(local, f"tag {kind}, block long, step long, value double, local double, i long")
+    ends = folded.groupBy("tag", "block").agg(F.min_by("value", "i").alias("first"), F.max_by("local", "i").alias("end"), F.max("i").alias("n"))
+    starts = ends.groupBy("tag").applyInPandas(chained, f"tag {kind}, block long, start double")
+    smoothed = F.col("local") + F.col("start") * F.pow(F.lit(keep), F.col("i"))
+    return folded.join(starts, ["tag", "block"]).select(F.col("tag").alias(tag), F.col("step").cast(frame.schema[step].dataType).alias(step), smoothed.alias("smoothed"))
 
 
 def overtrained(values: Column, last: int, change: float = 0.004) -> Column:

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from . import registry
 
-MODULES = ("corpus",)
+MODULES = ("corpus", "turkish", "vocab", "dataset", "metrics", "vectors", "files")
 
 
 def _load() -> None:
