@@ -51,11 +51,19 @@ def keep_only(text: Column, characters: str) -> Column:
     return F.regexp_replace(text, f"[^{one_of(characters)}]", "")
 
 
+def let(value: Column, body) -> Column:
+    """body(x), in which x stands for value, computed once however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def replace_matches(text: Column, pattern: str, to) -> Column:
     """Every match replaced by to(match), an expression over its text."""
-    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    changed = F.concat(F.transform(found, to), F.array(F.lit("")))
-    return F.array_join(F.zip_with(between, changed, lambda a, b: F.concat(a, b)), "")
+
+    def replaced(t: Column) -> Column:
+        changed = F.concat(F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), to), F.array(F.lit("")))
+        return F.when(t.rlike(pattern), F.array_join(F.zip_with(F.split(t, pattern, -1), changed, lambda a, b: F.concat(a, b)), "")).otherwise(t)
+
+    return let(text, replaced)
 
 
 @lru_cache(1)

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import graphemes, keep_only, nfc, replace_all, replace_matches, set_apart, squeeze, strip
+from .text import graphemes, keep_only, let, nfc, replace_all, replace_matches, set_apart, squeeze, strip
 
 #: Fixed values.
 UNITS = ["", "bir", "iki", "üç", "dört", "beş", "altı", "yedi", "sekiz", "dokuz"]
@@ -40,30 +40,32 @@ def _digit(text: Column, at: int) -> Column:
     return F.substring(text, at, 1).cast("int")
 
 
+def _group_words(three: Column, scale: Column) -> Column:
+    hundreds = _digit(three, 1)
+    said = F.concat(F.when(hundreds > 1, _pick(UNITS, hundreds)).otherwise(""), F.when(hundreds > 0, "yüz").otherwise(""), _pick(TENS, _digit(three, 2)), _pick(UNITS, _digit(three, 3)))
+    return F.when(three == "000", "").when((scale == 1) & (three == "001"), "bin").otherwise(F.concat(said, _pick(SCALES, scale)))
+
+
 def number_words(digits: Column) -> Column:
     """The words of a string of digits, written together; beyond 21 digits one word for each, with spaces."""
-    n = F.regexp_replace(digits, "^0+", "")
-    padded = F.lpad(n, 21, "0")
 
-    def group(k: Column) -> Column:
-        three = F.substring(padded, 3 * k + 1, F.lit(3))
-        scale = F.lit(6) - k
-        hundreds = _digit(three, 1)
-        said = F.concat(F.when(hundreds > 1, _pick(UNITS, hundreds)).otherwise(""), F.when(hundreds > 0, "yüz").otherwise(""), _pick(TENS, _digit(three, 2)), _pick(UNITS, _digit(three, 3)))
-        return F.when(three == "000", "").when((scale == 1) & (three == "001"), "bin").otherwise(F.concat(said, _pick(SCALES, scale)))
+    def said(n: Column) -> Column:
+        one_by_one = F.array_join(F.transform(F.regexp_extract_all(n, F.lit("."), F.lit(0)), lambda d: F.when(d == "0", "sıfır").otherwise(_pick(UNITS, d.cast("int")))), " ")
+        groups = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda k: _group_words(F.substring(F.lpad(n, 21, "0"), 3 * k + 1, F.lit(3)), F.lit(6) - k))
+        return F.when(n == "", "sıfır").when(F.length(n) > 21, one_by_one).otherwise(F.array_join(groups, ""))
 
-    one_by_one = F.array_join(F.transform(F.split(n, ""), lambda d: F.when(d == "0", "sıfır").otherwise(_pick(UNITS, F.coalesce(F.try_to_number(d, F.lit("9")).cast("int"), F.lit(0))))), " ")
-    return F.when(n == "", "sıfır").when(F.length(n) > 21, F.trim(one_by_one)).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(6)), group), ""))
+    return let(F.regexp_replace(digits, "^0+", ""), said)
 
 
-def ordinal_words(digits: Column) -> Column:
-    n = F.regexp_replace(digits, "^0+", "")
-    base = number_words(digits)
+def _with_suffix(base: Column) -> Column:
     vowel = F.regexp_extract(base, "([aıoueiüö])[^aıoueiüö]*$", 1)
-    close = F.when(vowel.isin("a", "ı"), "ıncı").when(vowel.isin("e", "i", ""), "inci").when(vowel.isin("o", "u"), "uncu").otherwise("üncü")
-    short = F.concat(F.lit("n"), F.substring(close, 3, 2))
-    small = F.when(F.length(n).between(1, 2), F.coalesce(F.try_to_number(n, F.lit("99")).cast("int"), F.lit(0))).otherwise(0)
-    return F.when(small.between(1, 10), F.try_element_at(F.array(*map(F.lit, FIRST_ORDINALS)), F.greatest(small, F.lit(1)))).otherwise(F.concat(base, F.when(base.rlike("[aıuoeiüö]$"), short).otherwise(close)))
+    close = let(vowel, lambda v: F.when(v.isin("a", "ı"), "ıncı").when(v.isin("e", "i", ""), "inci").when(v.isin("o", "u"), "uncu").otherwise("üncü"))
+    return F.concat(base, F.when(base.rlike("[aıuoeiüö]$"), F.concat(F.lit("n"), F.substring(close, 3, 2))).otherwise(close))
+
+
+def ordinal_words(digits: Column) -> Column:
+    first = F.create_map(*(x for i, w in enumerate(FIRST_ORDINALS) for x in (F.lit(str(i + 1)), F.lit(w))))
+    return F.coalesce(F.try_element_at(first, F.regexp_replace(digits, "^0+", "")), let(number_words(digits), _with_suffix))
 
 
 def expand_abbreviations(text: Column) -> Column:

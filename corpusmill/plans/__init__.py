@@ -6,7 +6,7 @@ from importlib import import_module
 
 from . import registry
 
-MODULES = ("corpus", "turkish", "vocab", "dataset", "metrics", "vectors", "files")
+MODULES = ("corpus", "turkish", "vocab", "dataset", "metrics", "vectors", "files", "more")
 
 
 def _load() -> None:
