@@ -98,4 +98,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_token_counts,
     )
 }
-SQL: dict[str, str] = {}
+_ASSIGN = secrets.KINDS["assign"][0].replace("'", "''")
+#: (pattern, group of the value, condition on the value), as RE2 reads it: runs are maximal without a look behind.
+_SECRETS = {
+    "assign": (_ASSIGN, 2, "length(value) >= 6"),
+    "access": ("AKIA[A-Z0-9]+", 0, "length(value) >= 20"),
+    "hex": ("[0-9a-f]{24,}", 0, "true"),
+    "opaque": ("[A-Za-z0-9_-]{20,}", 0, "length(regexp_replace(value, '[^0-9]', '', 'g')) >= 4 and length(regexp_replace(value, '[^A-Za-z]', '', 'g')) >= 4"),
+}
+_MATCHES = " union all ".join(
+    f"select doc_id, source, lang, {k} as kind, '{name}' as name, string_split_regex(text, '{p}') as b, regexp_extract_all(text, '{p}', 0) as w, regexp_extract_all(text, '{p}', {g}) as v from documents" for k, (name, (p, g, _)) in enumerate(_SECRETS.items())
+)
+_FITS = " or ".join(f"(kind = {k} and {c})" for k, (_, _, c) in enumerate(_SECRETS.values()))
+_LOWER = f"translate({{}}, '{''.join(map(chr, range(65, 91)))}', '{''.join(map(chr, range(97, 123)))}')"
+_WORDS = f"regexp_extract_all({_LOWER.format('text')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+SQL: dict[str, str] = {
+    "op1_secret_scans": f"""with found as ({_MATCHES}), placed as (select doc_id, source, lang, kind, name, b, w, v, unnest(range(1, len(w) + 1)) as i from found),
+spans as (select doc_id, source, lang, kind, name, cast(list_sum(list_transform(b[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x))), 0) as bigint) as start, length(w[i]) as n, v[i] as value from placed),
+base as (select * from spans where kind < 3 and ({_FITS})),
+free as (select * from spans s where kind = 3 and ({_FITS}) and not exists (select 1 from base t where t.doc_id = s.doc_id and t.start < s.start + s.n and s.start < t.start + t.n)),
+every as (select *, regexp_replace(value, '[.=]+$', '') as secret from (select * from base union all select * from free)),
+owned as (select secret, count(distinct coalesce(source, '')) <= {secrets.OWNERS} as live from every group by secret),
+told as (select *, name || ':' || start || ':' || (start + n) as said from every join owned using (secret) where kind < 3 or live),
+byid as (select doc_id, count(*) filter (where kind = 0) as n_assign, count(*) filter (where kind = 1) as n_access, count(*) filter (where kind = 2) as n_hex, coalesce(string_agg(said, ',' order by start, kind) filter (where kind < 3), '') as base, string_agg(said, ',' order by start, kind) as spans, count(*) filter (where live) as n_live, count(*) filter (where not live) as n_copied from told group by doc_id)
+select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_live, 0) as n_live, coalesce(n_copied, 0) as n_copied from documents d left join byid using (doc_id)""",
+    "op4_exact_topk": """with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as x from embeddings where len(embedding) > 0 and len(list_filter(embedding, lambda e: e is null or not isfinite(e))) = 0),
+p as (select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.x, c.x), lambda z: z[1] * z[2])) as bigint) as score from v q join v c on q.vec_id <> c.vec_id and len(q.x) = len(c.x) where q.vec_id % 50 = 0)
+select query_id, cast(rank as integer) as rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from p) where rank <= 5""",
+    "op8_decontamination": f"""with b as (select item_id, {_WORDS} as w from benchmark), cut as (select item_id, w, least(13, len(w)) as n, unnest(range(1, greatest(len(w) - 12, 1) + 1)) as i from b where len(w) > 0),
+win as (select distinct item_id, n, array_to_string(w[i : i + n - 1], ' ') as g from cut), sizes as (select distinct n from win),
+d as (select doc_id, coalesce({_WORDS}, []) as w from documents), spot as (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from d, sizes where len(w) >= n),
+occ as (select distinct doc_id, i, a.n, item_id from (select doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') as g from spot) a join win using (n, g)),
+hit as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from occ) group by doc_id),
+its as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, cast(item_id as varchar) as item from occ) group by doc_id)
+select d.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated from d left join hit using (doc_id) left join its using (doc_id)""",
+}
