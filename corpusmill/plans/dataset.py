@@ -175,7 +175,7 @@ def key_rename(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", nm.renamed_key(F.concat(F.lit("module._orig_mod."), s, F.lit(".weight"))).alias("key"), F.when(s.endswith("1"), s).otherwise(F.concat(F.lit("0_0_"), s)).alias("mute"))
 
 
-@query("select page_id, case when url like '%1' then 'pdf' when url like '%2' then 'txt' else null end as kind, replace(regexp_replace(url, '^https:/', ''), chr(92), '/') as path from pages")
+@query("select page_id, case when url like '%1' then 'pdf' when url like '%2' then 'txt' else '' end as kind, replace(regexp_replace(url, '^https:/', ''), chr(92), '/') as path from pages")
 def upload_route(spark, sf_dir):
     name = F.concat("url", F.when(F.col("url").endswith("1"), ".PDF").when(F.col("url").endswith("2"), ".txt").otherwise(".doc"))
-    return table(spark, sf_dir, "pages").select("page_id", nm.route(name).alias("kind"), nm.relative(F.col("url"), "https:/").alias("path"))
+    return table(spark, sf_dir, "pages").select("page_id", F.coalesce(nm.route(name), F.lit("")).alias("kind"), nm.relative(F.col("url"), "https:/").alias("path"))

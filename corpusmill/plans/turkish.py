@@ -46,10 +46,10 @@ _STRESS = f"""case when len(s) = 0 then null when len(s) = 1 then 0 when s[-1] i
  when {_EXC}[replace(lower(word), '''', '')] < len(s) then {_EXC}[replace(lower(word), '''', '')] when s[-1] in {_LIST(sy.NEUTRAL)} then len(s) - 2 else len(s) - 1 end"""
 
 
-@query(f"{_SYLLABLES} select word, cast({_STRESS} as integer) as position, array_to_string(list_transform(s, lambda x, i: case when i - 1 = ({_STRESS}) then '''' || x else x end), '-') as stressed from syl")
+@query(f"{_SYLLABLES} select word, coalesce(cast({_STRESS} as integer), -1) as position, array_to_string(list_transform(s, lambda x, i: case when i - 1 = ({_STRESS}) then '''' || x else x end), '-') as stressed from syl")
 def tr_stress(spark, sf_dir):
     v = _vocab(spark, sf_dir).withColumn("s", sy.syllables(F.col("word")))
-    return v.select("word", sy.stress_index(F.col("s"), F.col("word")).alias("position"), F.array_join(sy.add_stress(F.col("s"), F.col("word")), "-").alias("stressed"))
+    return v.select("word", F.coalesce(sy.stress_index(F.col("s"), F.col("word")), F.lit(-1)).alias("position"), F.array_join(sy.add_stress(F.col("s"), F.col("word")), "-").alias("stressed"))
 
 
 _BACK = "".join(v for v in sy.VOWELS if v not in sy.FRONT)
