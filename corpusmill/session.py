@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +16,15 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     return b.config(map=base | conf).getOrCreate()
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df written once to spark.checkpoint.dir, a folder that all executors share, and read from there: what ranges or numbers its
+    rows have can't change when a task runs again. Without the setting a temporary folder serves, as in tests."""
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("checkpoints"))
+    return df.checkpoint(eager=True)
+
+
 def sql(spark: SparkSession, sf_dir: str, text: str, **args) -> DataFrame:
     """Runs text, in which {name} is a table of sf_dir and :name a bound value. Errors are raised."""
     frames = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in set(re.findall(r"\{(\w+)\}", text))}
