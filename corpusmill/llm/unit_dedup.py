@@ -1,9 +1,11 @@
-"""Substring dedup by line and sentence hashing.
+"""Substring dedup by hashing lines and runs of sentences.
 
-The units of a text are its lines, and the sentences of lines that have several. A unit is normalised (A-Z lower-cased, white
-space between words made one space); those of fewer than `least_words` words are left alone, as short ones repeat by chance. 128-bit
-digests are grouped over the whole corpus, and the occurrence of the smallest (id, offset) is kept; every other one is cut out.
-Its offsets in the original (code points, end exclusive) are kept beside the text.
+The units of a text are its lines, and from every sentence on the shortest run of sentences with `least_words` words or more
+(a sentence ends after . ! or ? before white space, and at the end of a line; runs go on over lines). A long sentence is a unit
+by itself, and of a passage that stands in the middle of a line all is covered but a short end. Lines of fewer words are no
+units, as they repeat by chance. A unit is normalised: A-Z lower-cased, white space between words made one space. 128-bit digests are
+grouped over the whole corpus, and the occurrence of the smallest (id, offset) is kept; every other one is cut out, but for what
+it shares with the kept one in the same text. Offsets in the original (code points, end exclusive) are kept beside the text.
 
 Null texts have no units and stay null. Rows with a null id rank last. Repeated rows, having one id and the same offsets, hold the
 same occurrence: all keep it. An empty table gives an empty one; other columns are dropped unless asked for.
@@ -27,20 +29,22 @@ _LOWER = bytes(b | 0x20 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
 def units(text: str, least_words: int = LEAST_WORDS) -> Iterator[tuple[int, int, bytes]]:
-    """(start, end, normalised) of every unit that counts."""
-    at = 0
+    """(start, end, normalised) of every unit."""
+    sentences, at = [], 0
     for line in text.split("\n"):
-        n = len(line)
-        if words := line.encode().translate(_LOWER).split():
-            if len(words) >= least_words:
-                yield at, at + n, b" ".join(words)
-            cuts = [0, *(m.end() for m in _SENTENCE_END.finditer(line)), n]
-            if len(cuts) > 2:
-                for a, b in zip(cuts, cuts[1:]):
-                    words = line[a:b].encode().translate(_LOWER).split()
-                    if len(words) >= least_words:
-                        yield at + a, at + b, b" ".join(words)
-        at += n + 1
+        cuts = [0, *(m.end() for m in _SENTENCE_END.finditer(line)), len(line)]
+        parts = [(at + a, at + b, line[a:b].encode().translate(_LOWER).split()) for a, b in zip(cuts, cuts[1:])]
+        parts = [p for p in parts if p[2]]
+        if len(parts) > 1 and sum(len(w) for _, _, w in parts) >= least_words:
+            yield at, at + len(line), b" ".join(w for _, _, p in parts for w in p)
+        sentences += parts
+        at += len(line) + 1
+    for i, (start, end, words) in enumerate(sentences):
+        j = i + 1
+        while len(words) < least_words and j < len(sentences):
+            words, end, j = words + sentences[j][2], sentences[j][1], j + 1
+        if len(words) >= least_words:
+            yield start, end, b" ".join(words)
 
 
 def find_units(docs: DataFrame, least_words: int) -> DataFrame:
@@ -74,9 +78,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     """
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("k"), F.col(text_col).alias("text"))
     found = find_units(rows, least_words)
-    place = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("start").alias("start"))
+    place = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("start").alias("start"), F.col("end").alias("end"))
     first = found.groupBy("high", "low").agg(F.min(place).alias("first"), F.max(place).alias("latest")).where("first <> latest").drop("latest")
-    cut = found.join(first, ["high", "low"]).where(~place.eqNullSafe(F.col("first"))).groupBy("id", "k").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed"))
+    later = found.join(first, ["high", "low"]).where(~place.eqNullSafe(F.col("first")))
+    start = F.when(F.col("first.id").eqNullSafe(F.col("id")), F.greatest("start", F.least("first.end", "end"))).otherwise(F.col("start"))
+    later = later.select("id", "k", start.alias("start"), "end").where("start < end")
+    cut = later.groupBy("id", "k").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed"))
     k, removed = fresh(docs, "_k", "removed")
     base = docs.select(*dict.fromkeys([id_col, text_col, *keep])).withColumn(k, F.xxhash64(id_col, text_col))
     cut = cut.withColumnRenamed("id", "_cut_id")

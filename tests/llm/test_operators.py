@@ -111,16 +111,21 @@ def test_probabilities_sum_to_one(spark):
 def test_unit_dedup(spark):
     line = "one two three four five six seven eight nine ten"
     sentence = "Here is a sentence of nine words in all."
-    rows = ODD + [(10, f"{line}\nshort line\n{sentence} And {line}."), (11, f"head\n{line.upper()}"), (12, f"Another start for it. {sentence} And the rest."), (13, f"{line}\n{line}")]
+    rows = ODD + [(10, f"{line}\nshort line\n{sentence} And {line}."), (11, f"head\n{line.upper()}"), (12, f"Another start for it. {sentence} And the rest."), (13, f"{line}\n{line}"), (14, "Er. " * 30), (15, "Not. Er. " + "Er. " * 20), (16, "It is. So. We go. To the. Sea now. And back."), (17, "Well, it is. So. We go.\nTo the. Sea now. And back. Yes.")]
     got = {(r.doc_id, r.text): [(s.start, s.end) for s in r.removed] for r in unit_dedup.dedup(docs(spark, rows, True)).collect()}
     first = {}
-    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
-        for a, _, x in unit_dedup.units(t or ""):
-            place = (i is None, i or 0, a)
+    for i, t in rows:
+        for a, b, x in unit_dedup.units(t or ""):
+            place = (i is None, i or 0, a, b)
             first[x] = min(first.get(x, place), place)
     want = Counter()
     for i, t in rows:
-        cut = sorted({(a, b) for a, b, x in unit_dedup.units(t or "") if first[x] != (i is None, i or 0, a)})
+        cut = set()
+        for a, b, x in unit_dedup.units(t or ""):
+            if first[x] != (i is None, i or 0, a, b):
+                a = max(a, min(first[x][3], b)) if first[x][:2] == (i is None, i or 0) else a
+                cut |= {(a, b)} if a < b else set()
+        cut = sorted(cut)
         if t is not None:
             kept, last = "", 0
             for a, b in cut:
