@@ -110,6 +110,7 @@ _MATCHES = " union all ".join(
     f"select doc_id, source, lang, {k} as kind, '{name}' as name, string_split_regex(text, '{p}') as b, regexp_extract_all(text, '{p}', 0) as w, regexp_extract_all(text, '{p}', {g}) as v from documents" for k, (name, (p, g, _)) in enumerate(_SECRETS.items())
 )
 _FITS = " or ".join(f"(kind = {k} and {c})" for k, (_, _, c) in enumerate(_SECRETS.values()))
+_END = "[.!?]+[ \\t\\x0b\\x0c\\r]+"
 _LOWER = f"translate({{}}, '{''.join(map(chr, range(65, 91)))}', '{''.join(map(chr, range(97, 123)))}')"
 _WORDS = f"regexp_extract_all({_LOWER.format('text')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 SQL: dict[str, str] = {
@@ -122,6 +123,22 @@ owned as (select secret, count(distinct coalesce(source, '')) <= {secrets.OWNERS
 told as (select *, name || ':' || start || ':' || (start + n) as said from every join owned using (secret) where kind < 3 or live),
 byid as (select doc_id, count(*) filter (where kind = 0) as n_assign, count(*) filter (where kind = 1) as n_access, count(*) filter (where kind = 2) as n_hex, coalesce(string_agg(said, ',' order by start, kind) filter (where kind < 3), '') as base, string_agg(said, ',' order by start, kind) as spans, count(*) filter (where live) as n_live, count(*) filter (where not live) as n_copied from told group by doc_id)
 select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_live, 0) as n_live, coalesce(n_copied, 0) as n_copied from documents d left join byid using (doc_id)""",
+    "op3_substring_dedup": f"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(0, len(string_split(text, chr(10))))) as ln from documents),
+lo as (select *, cast(sum(length(line) + 1) over (partition by doc_id order by ln) - length(line) - 1 as bigint) as at0 from l),
+cut as (select doc_id, ln, at0, length(line) as size, string_split_regex(line, '{_END}') as p, list_concat(regexp_extract_all(line, '{_END}'), ['']) as e from lo),
+part as (select doc_id, ln, at0, size, list_transform(p, lambda x, i: x || e[i]) as ps from cut),
+sent0 as (select doc_id, ln, at0, size, unnest(ps) as st, unnest(list_transform(range(1, len(ps) + 1), lambda i: at0 + coalesce(list_sum(list_transform(ps[1:i - 1], lambda x: length(x))), 0))) as start from part),
+sent as (select doc_id, ln, at0, size, cast(start as bigint) as start, cast(start + length(st) as bigint) as stop, list_filter(string_split_regex({_LOWER.format('st')}, '[\\t-\\r ]+'), lambda w: w <> '') as w from sent0),
+full_sent as (select * from sent where len(w) > 0),
+ahead as (select doc_id, start, list(struct_pack(w := w, stop := stop)) over (partition by doc_id order by start rows between current row and 7 following) as nx from full_sent),
+ended as (select doc_id, start, nx, list_filter(range(1, len(nx) + 1), lambda k: list_sum(list_transform(nx[1:k], lambda z: len(z.w))) >= {unit_dedup.LEAST_WORDS})[1] as k from ahead),
+units as (select doc_id, start, nx[k].stop as stop, array_to_string(list_transform(nx[1:k], lambda z: array_to_string(z.w, ' ')), ' ') as x from ended where k is not null
+ union all select doc_id, min(at0) as start, min(at0) + min(size) as stop, string_agg(array_to_string(w, ' '), ' ' order by start) as x from full_sent group by doc_id, ln having count(*) > 1 and sum(len(w)) >= {unit_dedup.LEAST_WORDS}),
+firsts as (select x, min(struct_pack(d := doc_id, s := start, e := stop)) as f from units group by x),
+gone as (select distinct doc_id, case when f.d = doc_id then greatest(start, least(f.e, stop)) else start end as start, stop from units join firsts using (x) where struct_pack(d := doc_id, s := start, e := stop) <> f),
+spans as (select *, coalesce(max(stop) over (partition by doc_id order by start, stop rows between unbounded preceding and 1 preceding), 0) as done from (select distinct * from gone where start < stop)),
+told as (select doc_id, count(*) as n_removed, string_agg(start || ':' || stop, ',' order by start, stop) as removed, max(stop) as last, string_agg(substr(text, cast(done + 1 as bigint), cast(greatest(start - done, 0) as bigint)), '' order by start, stop) as kept from spans join documents using (doc_id) group by doc_id)
+select d.doc_id, coalesce(n_removed, 0) as n_removed, coalesce(removed, '') as removed, case when n_removed is null then text else kept || substr(text, cast(last + 1 as bigint)) end as text from documents d left join told using (doc_id)""",
     "op4_exact_topk": """with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as x from embeddings where len(embedding) > 0 and len(list_filter(embedding, lambda e: e is null or not isfinite(e))) = 0),
 p as (select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.x, c.x), lambda z: z[1] * z[2])) as bigint) as score from v q join v c on q.vec_id <> c.vec_id and len(q.x) = len(c.x) where q.vec_id % 50 = 0)
 select query_id, cast(rank as integer) as rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from p) where rank <= 5""",
