@@ -5,7 +5,7 @@ sum(length * ((mean_x - mean_q)^2 + (dev_x - dev_q)^2)), and so their inner prod
 sum(length * (mean_x * mean_q + dev_x * dev_q)). Bounds are taken from few segments to many; a candidate whose bound falls below
 the k-th best found so far is dropped, and the survivors of the finest segments get their exact product.
 
-Queries and candidates meet in blocks: a block of candidates goes once to each block of queries, and each pair of blocks gives
+Queries and candidates meet in blocks: candidates are dealt to shares, a share meets each block of queries in a task of its own, and each pair of blocks gives
 k rows a query at most, whose best are then taken by a ranking that limits before it shuffles. Components are floor(scale * x).
 Vectors that are null, empty or hold null or non-finite components take no part, nor do rows without an id. Products are of
 vectors of one length only. Ties go to the smaller id; repeated ids of candidates count each. Components may be as large as doubles
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 #: Segments of each resolution, coarse to fine.
 RESOLUTIONS = (4, 16)
 QUERY_BLOCK = CANDIDATE_BLOCK = 4096
+#: Candidates that one task holds against a block of queries, about; partitions of that join, at most.
+SHARE, MOST_TASKS = 65_536, 20_000
 
 
 def statistics(x: np.ndarray, segments: int) -> np.ndarray:
@@ -104,12 +106,18 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id
     """(query_id, rank, id, score): the k highest products of each row that `queries` picks with every row but those of its id."""
     rows = vectors.where(queries).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("x"))
     every = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("x"))
-    n_blocks = max(1, -(-rows.count() // QUERY_BLOCK))
+    n, n_queries = vectors.agg(F.count("*"), F.count_if(queries)).first()
+    n_blocks = max(1, -(-n_queries // QUERY_BLOCK))
+    # candidates are dealt to shares, and a block of queries goes once to each: as many tasks as there are blocks times shares
+    shares = max(1, -(-n // SHARE), -(-int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")) // n_blocks))
+    tasks = min(n_blocks * shares, MOST_TASKS)
+    numbers = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
     # a block of queries is dealt by a hash of the id, once for each id
     asked = _blocks(rows.dropDuplicates(["id"]).repartition(n_blocks, "id"), scale, QUERY_BLOCK)
-    asked = asked.select("d", F.col("ids").alias("q_ids"), F.col("data").alias("q"), F.pmod(F.xxhash64("q_ids"), F.lit(n_blocks)).alias("b"))
-    given = _blocks(every, scale, CANDIDATE_BLOCK).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
-    pairs = given.join(asked, ["d", "b"]).select("d", "ids", "data", "q_ids", "q")
+    asked = asked.select("d", F.col("ids").alias("q_ids"), F.col("data").alias("q"), F.pmod(F.xxhash64("q_ids"), F.lit(n_blocks)).alias("b")).withColumn("s", numbers(shares))
+    given = _blocks(every, scale, max(64, min(CANDIDATE_BLOCK, -(-n // shares)))).withColumn("s", F.pmod(F.xxhash64("ids"), F.lit(shares))).withColumn("b", numbers(n_blocks))
+    # by number, as the sizes of partitions tell nothing of the work in them
+    pairs = given.repartition(tasks, "d", "b", "s").join(asked.repartition(tasks, "d", "b", "s"), ["d", "b", "s"]).select("d", "ids", "data", "q_ids", "q")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
