@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, in_slices
+from .common import fresh, in_slices, settle
 
 LEAST_WORDS = 8
 _SENTENCE_END = re.compile(r"[.!?]+[ \t\x0b\x0c\r]+")
@@ -80,6 +80,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     found = find_units(rows, least_words)
     place = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("start").alias("start"), F.col("end").alias("end"))
     first = found.groupBy("high", "low").agg(F.min(place).alias("first"), F.max(place).alias("latest")).where("first <> latest").drop("latest")
+    first = settle(first)  # else the join would keep to the aggregate's dealing, whose large partitions can't be split
     later = found.join(first, ["high", "low"]).where(~place.eqNullSafe(F.col("first")))
     start = F.when(F.col("first.id").eqNullSafe(F.col("id")), F.greatest("start", F.least("first.end", "end"))).otherwise(F.col("start"))
     later = later.select("id", "k", start.alias("start"), "end").where("start < end")
