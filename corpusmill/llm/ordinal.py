@@ -5,7 +5,8 @@ x holds the distinct words of a text and their first and last 4 and 5 bytes, as
 one side in the sample have a weight. The output is the probability of each grade and the expected one.
 
 The model is fitted on a bounded sample of the labelled rows (`sample` rows, the smallest hashes of their ids), everything else
-reads all rows. Near copies among the sample count once. Grades are 0, 1, 2 ...; a label of only 0 and 1 is first spread to three
+reads all rows. Near copies among the sample (Jaccard of features 0.8 or more, of one grade) count once; the model tells how many
+rows it was fitted on. Grades are 0, 1, 2 ...; a label of only 0 and 1 is first spread to three
 grades: of the rows labelled 1, those with more indicative words than the median are grade 2.
 
 Null and empty texts have no features and get the grade of the thresholds alone, which is the lowest when most rows are of it.
@@ -52,6 +53,8 @@ def features(word: bytes) -> list[int]:
 class Model:
     weights: dict[int, float] = field(default_factory=dict)
     thresholds: list[float] = field(default_factory=list)
+    #: Rows that it was fitted on.
+    fitted: int = 0
 
     def known(self) -> dict[bytes, float]:
         """Remembers the summed weight of words."""
@@ -78,22 +81,29 @@ class _Known(dict):
         return out
 
 
-def _without_copies(rows: list[np.ndarray], grades: list[int], sketch: int = 3) -> list[int]:
-    """One of each group of near copies: rows whose smallest rare features (in up to 1 % of rows, but 2 at least) meet those of an
-    earlier row of the same grade. Near copies share nearly all their rare features, other texts nearly none."""
+def _without_copies(rows: list[np.ndarray], grades: list[int], least: float = 0.8, sketch: int = 64) -> list[int]:
+    """One of each group of near copies: a row goes if its features and those of one earlier kept row of its grade have a Jaccard of
+    `least` or more. Sketches of smallest hashes find the rows to compare, the features themselves decide."""
     if not rows:
         return []
-    names, col = np.unique(np.concatenate(rows), return_inverse=True)
-    common = np.bincount(col, minlength=len(names)) > max(2, len(rows) // 100)
-    seen, kept, at = set(), [], 0
+    odd = np.random.default_rng(0).integers(0, 2**63, sketch, np.uint64) * np.uint64(2) + np.uint64(1)
+    signs = np.zeros((len(rows), sketch), np.uint32)
+    for i, row in enumerate(rows):
+        if len(row):
+            signs[i] = ((row[:, None] * odd) >> np.uint64(32)).min(axis=0)
+    likely = (least - 0.2) * sketch  # four deviations of a sketch of 64 below `least`
+    kept: dict[int, list[int]] = {}
     for i, row in enumerate(rows):
-        rare = row[~common[col[at : at + len(row)]]][:sketch]
-        at += len(row)
-        marks = {(grades[i], int(x)) for x in (rare if len(rare) else row[:sketch])}
-        if not marks & seen:
-            kept.append(i)
-        seen |= marks
-    return kept
+        of_grade = kept.setdefault(grades[i], [])
+        agree = (signs[of_grade] == signs[i]).sum(axis=1) if of_grade else np.empty(0)
+        for j in np.flatnonzero(agree >= likely):
+            other = rows[of_grade[j]]
+            both = len(np.intersect1d(row, other, assume_unique=True))
+            if both >= least * (len(row) + len(other) - both):
+                break
+        else:
+            of_grade.append(i)
+    return sorted(i for x in kept.values() for i in x)
 
 
 def fit(texts: list[bytes], grades: list[int], least_docs: int = 5, least_z: float = 4.0, steps: int = 400, ridge: float = 3e-4) -> Model:
@@ -140,7 +150,7 @@ def fit(texts: list[bytes], grades: list[int], least_docs: int = 5, least_z: flo
         params = params - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
     w, cut = params[: len(names)], params[len(names) :]
     thresholds = cut[0] + np.concatenate([[0], np.cumsum(np.exp(cut[1:]))])
-    return Model({int(n): float(x) for n, x in zip(names, w)}, [float(x) for x in thresholds])
+    return Model({int(n): float(x) for n, x in zip(names, w)}, [float(x) for x in thresholds], len(rows))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
@@ -157,10 +167,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             grades += batch.column(1).to_pylist()
         model = fit(texts, grades)
         names = list(model.weights)
-        yield pa.RecordBatch.from_arrays([pa.array([n - (1 << 64) if n >> 63 else n for n in names] + [None] * len(model.thresholds), pa.int64()), pa.array([*model.weights.values(), *model.thresholds], pa.float64())], ["f", "x"])
+        yield pa.RecordBatch.from_arrays([pa.array([n - (1 << 64) if n >> 63 else n for n in names] + [None] * (len(model.thresholds) + 1), pa.int64()), pa.array([*model.weights.values(), *model.thresholds, None], pa.float64()), pa.array([model.fitted] * (len(names) + len(model.thresholds) + 1), pa.int64())], ["f", "x", "fitted"])
 
-    got = rows.repartition(1).mapInArrow(run, "f long, x double").collect()
-    return Model({r.f & (1 << 64) - 1: r.x for r in got if r.f is not None}, sorted(r.x for r in got if r.f is None))
+    got = rows.repartition(1).mapInArrow(run, "f long, x double, fitted long").collect()
+    return Model({r.f & (1 << 64) - 1: r.x for r in got if r.f is not None}, sorted(r.x for r in got if r.f is None and r.x is not None), max((r.fitted for r in got), default=0))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
