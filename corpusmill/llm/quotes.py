@@ -2,7 +2,8 @@
 
 A line that starts with one or more ">" is a quote, as deep as it has of them; neighbouring lines of one depth are a passage.
 Passages are normalised (lower case, white space made one space) and hashed, whole and line by line, and so is what each message
-says itself. A quoted hash links to the first message of the same conversation that said it, if that came before. A message
+says itself. Whole quoted passages link whatever their length; a single line of a longer passage needs three words or eight
+characters. A quoted hash links to the first message of the same conversation that said it, if that came before. A message
 answers the latest message that its shallowest linked quotes lead to. Each message is returned without its quotes, with the
 message it answers, the first message of its thread, its depth there, and the text under a role header; (conversation, thread,
 depth, turn) puts a conversation into the order of its replies.
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import settle
 
-#: Words that a unit needs to be linked by, as shorter ones repeat by chance.
-LEAST_WORDS = 3
+#: Words, or characters, of which a single line of a longer quoted passage needs one or the other to link, as shorter ones repeat by chance.
+LEAST_WORDS, LEAST_CHARS = 3, 8
 _MARK = r"^(?:\x20*>)+"
 _PASSAGE = "struct<depth:int,lines:array<string>>"
 
@@ -51,10 +52,15 @@ def normalised(text: Column) -> Column:
 
 
 def _units(found: Column) -> Column:
-    """array<struct<depth, hash>> of passages and their lines that have enough words, each once."""
-    texts = F.flatten(F.transform(found, lambda p: F.transform(F.array_union(F.array(F.array_join(p["lines"], "\n")), p["lines"]), lambda x: F.struct(p["depth"].alias("depth"), normalised(x).alias("text")))))
-    enough = F.filter(texts, lambda x: F.size(F.split(x["text"], " ")) >= LEAST_WORDS)
-    return F.array_distinct(F.transform(enough, lambda x: F.struct(x["depth"].alias("depth"), F.sha2(x["text"], 256).alias("hash"))))
+    """array<struct<depth, hash>> of passages and their lines, each once. Of quotes, lines within a longer passage need some length."""
+
+    def of_passage(p: Column) -> Column:
+        text = lambda x: F.struct(p["depth"].alias("depth"), normalised(x).alias("text"))
+        lines = F.filter(F.transform(p["lines"], text), lambda x: (x["depth"] == 0) | (F.size(F.split(x["text"], " ")) >= LEAST_WORDS) | (F.length(x["text"]) >= LEAST_CHARS))
+        return F.concat(F.array(text(F.array_join(p["lines"], "\n"))), lines)
+
+    texts = F.filter(F.flatten(F.transform(found, of_passage)), lambda x: x["text"] != "")
+    return F.array_distinct(F.transform(texts, lambda x: F.struct(x["depth"].alias("depth"), F.sha2(x["text"], 256).alias("hash"))))
 
 
 def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
