@@ -8,7 +8,8 @@ the k-th best found so far is dropped, and the survivors of the finest segments
 Queries and candidates meet in blocks: candidates are dealt to shares, a share meets each block of queries in a task of its own, and each pair of blocks gives
 k rows a query at most, whose best are then taken by a ranking that limits before it shuffles. Components are floor(scale * x).
 Vectors that are null, empty or hold null or non-finite components take no part, nor do rows without an id. Products are of
-vectors of one length only. Ties go to the smaller id; repeated ids of candidates count each. Components may be as large as doubles
+vectors of one length only. Ties go to the smaller id; repeated ids of candidates count each, and the
+rows of a repeated query id are searched each and ranked together. Components may be as large as doubles
 go; products that don't fit a long are cut to its ends. An empty table gives an empty one.
 """
 
@@ -112,8 +113,8 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id
     shares = max(1, -(-n // SHARE), -(-int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")) // n_blocks))
     tasks = min(n_blocks * shares, MOST_TASKS)
     numbers = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
-    # a block of queries is dealt by a hash of the id, once for each id
-    asked = _blocks(rows.dropDuplicates(["id"]).repartition(n_blocks, "id"), scale, QUERY_BLOCK)
+    # rows are dealt by id and vector; of a repeated id every row that takes part is searched
+    asked = _blocks(rows.repartition(n_blocks, "id", "x"), scale, QUERY_BLOCK)
     asked = asked.select("d", F.col("ids").alias("q_ids"), F.col("data").alias("q"), F.pmod(F.xxhash64("q_ids"), F.lit(n_blocks)).alias("b")).withColumn("s", numbers(shares))
     given = _blocks(every, scale, max(64, min(CANDIDATE_BLOCK, -(-n // shares)))).withColumn("s", F.pmod(F.xxhash64("ids"), F.lit(shares))).withColumn("b", numbers(n_blocks))
     # by number, as the sizes of partitions tell nothing of the work in them
