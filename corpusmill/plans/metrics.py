@@ -26,6 +26,12 @@ def ema_loss(spark, sf_dir):
     return m.smoothed_series(_steps(spark, sf_dir), "tag", "step", "value").where("step <= 400").withColumn("smoothed", F.round("smoothed", 5))
 
 
+@query()
+def ema_loss_whole(spark, sf_dir):
+    """Every step of every tag; ema_loss, which is held against its SQL, has the first 400."""
+    return m.smoothed_series(_steps(spark, sf_dir), "tag", "step", "value").withColumn("smoothed", F.round("smoothed", 5))
+
+
 @query("select l.quality, l.toxic, round(sum(d.n_chars * 0.5 * (l.doc_id % 5)) / sum(l.doc_id % 5), 6) as mean from labels l join documents d using (doc_id) group by all")
 def weighted_eval(spark, sf_dir):
     j = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
