@@ -96,6 +96,15 @@ def tr_rhymes(spark, sf_dir):
     return v.join(b, "last").where("word <> rhyme").select("word", "rhyme", sy.matching_end(F.col("s"), F.col("s2")).alias("matching"))
 
 
+@query()
+def tr_rhyme_classes(spark, sf_dir):
+    """Every word with a syllable and its tails, from the last syllable to the whole word: words rhyme by n syllables if their n-th
+    tails are equal. tr_rhymes, which is held against its SQL, has the pairs of a part of the words."""
+    v = _vocab(spark, sf_dir).withColumn("s", sy.syllables(F.col("word"))).where(F.size("s") > 0)
+    tails = F.transform(F.sequence(F.lit(1), F.size("s")), lambda n: F.array_join(F.slice("s", -n, n), "-"))
+    return v.select("word", F.element_at("s", -1).alias("rhyme"), tails.alias("tails"))
+
+
 @query(
     f"""{_SYLLABLES}, freq as (select word, count(*) as n from (select unnest({words('text')}) as word from documents) group by word), pieces as (select n, unnest(list_transform(s, lambda x, i: case when i = 1 then '▁' || x else x end)) as syllable from syl join freq using (word))
 select 'tr' as lang, syllable, cast(sum(n) as bigint) as frequency from pieces group by syllable"""
