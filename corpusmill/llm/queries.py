@@ -119,7 +119,7 @@ spans as (select doc_id, source, lang, kind, name, cast(list_sum(list_transform(
 base as (select * from spans where kind < 3 and ({_FITS})),
 free as (select * from spans s where kind = 3 and ({_FITS}) and not exists (select 1 from base t where t.doc_id = s.doc_id and t.start < s.start + s.n and s.start < t.start + t.n)),
 every as (select *, regexp_replace(value, '[.=]+$', '') as secret from (select * from base union all select * from free)),
-owned as (select secret, count(distinct coalesce(source, '')) <= {secrets.OWNERS} as live from every group by secret),
+owned as (select secret, count(distinct coalesce(source, '')) <= {secrets.OWNERS} and count(distinct struct_pack(s := coalesce(source, ''), l := coalesce(lang, ''))) <= {secrets.REPOS} as live from every group by secret),
 told as (select *, name || ':' || start || ':' || (start + n) as said from every join owned using (secret) where kind < 3 or live),
 byid as (select doc_id, count(*) filter (where kind = 0) as n_assign, count(*) filter (where kind = 1) as n_access, count(*) filter (where kind = 2) as n_hex, coalesce(string_agg(said, ',' order by start, kind) filter (where kind < 3), '') as base, string_agg(said, ',' order by start, kind) as spans, count(*) filter (where live) as n_live, count(*) filter (where not live) as n_copied from told group by doc_id)
 select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_live, 0) as n_live, coalesce(n_copied, 0) as n_copied from documents d left join byid using (doc_id)""",
