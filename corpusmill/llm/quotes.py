@@ -5,26 +5,26 @@ Passages are normalised (lower case, white space made one space) and hashed, who
 says itself. Whole quoted passages link whatever their length; a single line of a longer passage needs three words or eight
 characters. A quoted hash links to the first message of the same conversation that said it, if that came before. A message
 answers the latest message that its shallowest linked quotes lead to. Each message is returned without its quotes, with the
-message it answers, the first message of its thread, its depth there, and the text under a role header; (conversation, thread,
-depth, turn) puts a conversation into the order of its replies.
-
-A conversation is never gathered in one task: links are joins of hashes within conversations on one row for each, threads are
-found by doubling the steps upward. Null texts are empty. Rows without conversation or turn neither link nor are linked. Rows that
-repeat a (conversation, turn) are each returned and share the latest answer found for it. Messages whose quotes link nowhere start
-threads of their own. An empty table gives an empty one; extra columns are dropped.
+message it answers, the first message of its thread, its depth there, its place in the conversation in the order of replies (a
+message, then each answer to it by turn with all answers below; from 1), and the text under a role header.
+
+A conversation is never gathered in one task: links are joins of hashes within conversations on one row for each, threads and
+places are found by doubling the steps upward and by running sums over ranges. Null texts are empty. Rows without conversation or
+turn neither link nor are linked and have no place. Rows that repeat a (conversation, turn) are each returned and share its place
+and the latest answer found for it. Messages whose quotes link nowhere start threads of their own. An empty table gives an empty
+one; extra columns are dropped.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import let, settle
 
 #: Words, or characters, of which a single line of a longer quoted passage needs one or the other to link, as shorter ones repeat by chance.
 LEAST_WORDS, LEAST_CHARS = 3, 8
 _MARK = r"^(?:\x20*>)+"
-_PASSAGE = "struct<depth:int,lines:array<string>>"
 
 
 def passages(text: Column) -> Column:
@@ -38,13 +38,18 @@ def passages(text: Column) -> Column:
         ),
     )
 
-    def add(out: Column, x: Column) -> Column:
-        last = F.element_at(out, -1)
-        longer = F.struct(last["depth"].alias("depth"), F.concat(last["lines"], F.array(x["line"])).alias("lines"))
-        new = F.struct(x["depth"].alias("depth"), F.array(x["line"]).alias("lines"))
-        return F.when((F.size(out) > 0) & (F.try_element_at(out, F.lit(-1))["depth"] == x["depth"]), F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(out, F.array(new)))
+    def cut(lines: Column) -> Column:
+        n = F.size(lines)
+        depth = lambda i: F.element_at(lines, i)["depth"]
+        starts = F.filter(F.sequence(F.lit(1), n), lambda i: F.when(i == 1, True).otherwise(depth(i) != depth(F.greatest(i - 1, F.lit(1)))))
+
+        def runs(starts: Column) -> Column:
+            ends = F.concat(F.slice(starts, 2, F.size(starts)), F.array(n + 1))
+            return F.zip_with(starts, ends, lambda a, b: F.struct(depth(a).alias("depth"), F.transform(F.slice(lines, a, b - a), lambda x: x["line"]).alias("lines")))
+
+        return let(starts, runs)
 
-    return F.aggregate(marked, F.expr(f"cast(array() as array<{_PASSAGE}>)"), add)
+    return let(marked, cut)
 
 
 def normalised(text: Column) -> Column:
@@ -60,7 +65,43 @@ def _units(found: Column) -> Column:
         return F.concat(F.array(text(F.array_join(p["lines"], "\n"))), lines)
 
     texts = F.filter(F.flatten(F.transform(found, of_passage)), lambda x: x["text"] != "")
-    return F.array_distinct(F.transform(texts, lambda x: F.struct(x["depth"].alias("depth"), F.sha2(x["text"], 256).alias("hash"))))
+    # as strings, since arrays of structs are made distinct by comparing each with each
+    written = F.array_distinct(F.transform(texts, lambda x: F.concat(F.sha2(x["text"], 256), x["depth"].cast("string"))))
+    return F.transform(written, lambda x: F.struct(F.substr(x, F.lit(65)).cast("int").alias("depth"), F.substring(x, 1, 64).alias("hash")))
+
+
+def running_sum(rows: DataFrame, groups: list[str], order: str, value: str, name: str) -> DataFrame:
+    """rows with the sum of `value` over the rows of the group that come before. A group may be of any size: rows are dealt out by
+    ranges of the order, summed within them, and take the sums of the group's ranges before."""
+    ranged = settle(rows.repartitionByRange(*groups, order).withColumn("_p", F.spark_partition_id()))
+    local = Window.partitionBy("_p", *groups).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*groups).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged.groupBy("_p", *groups).agg(F.sum(value).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).where("_before > 0")
+    parts = parts.select(*[F.col(c).alias(f"_{c}") for c in ("_p", *groups)], "_before")
+    same = F.col("_p") == F.col("__p")
+    for c in groups:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    summed = ranged.withColumn(name, F.coalesce(F.sum(value).over(local), F.lit(0)))
+    return summed.join(parts, same, "left").withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0))).select(*rows.columns, name)
+
+
+def climb(links: DataFrame, steps: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Of links (conv, turn, up): (conv, turn, thread, depth, far), the top of each linked message, the steps to it and the sum of
+    `steps` (conv, turn, step) on the way, without the top's own; and (conv, turn, below), how many stand below each message that any
+    stand below. Each round doubles the length of all steps, so there are as many rounds as the depth has binary digits."""
+    up = links.select("conv", "turn", F.col("up").alias("thread"), F.lit(1).alias("depth"))
+    up = settle(up.withColumn("far", F.lit(0).cast("long")) if steps is None else up.join(steps, ["conv", "turn"]).withColumnRenamed("step", "far"))
+    below = links.select("conv", "turn", F.lit(0).cast("long").alias("below")).limit(0)
+    length = 1
+    while not (reaching := up.where(F.col("depth") == length)).isEmpty():
+        if steps is None:
+            held = reaching.join(below, ["conv", "turn"], "left").select("conv", F.col("thread").alias("turn"), (1 + F.coalesce("below", F.lit(0))).alias("below"))
+            below = settle(below.unionByName(held).groupBy("conv", "turn").agg(F.sum("below").alias("below")))
+        above = up.select("conv", F.col("turn").alias("thread"), F.col("thread").alias("t2"), F.col("depth").alias("d2"), F.col("far").alias("f2"))
+        higher = up.join(above, ["conv", "thread"], "left")
+        up = settle(higher.select("conv", "turn", F.coalesce("t2", "thread").alias("thread"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), (F.col("far") + F.coalesce("f2", F.lit(0))).alias("far")))
+        length *= 2
+    return up, below
 
 
 def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -77,15 +118,20 @@ def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
     quoted = units.where("depth > 0").join(said, ["conv", "hash"]).where("said < turn")
     shallow = quoted.groupBy("conv", "turn", "depth").agg(F.max("said").alias("up"), F.count_distinct("hash").alias("n"))
     answers = settle(shallow.groupBy("conv", "turn").agg(F.min_by("up", "depth").alias("answers"), F.sum("n").alias("n_linked")))
-    # threads: each step upward is doubled until all stand at a message that answers none
-    up = answers.select("conv", "turn", F.col("answers").alias("thread"), F.lit(1).alias("depth"))
-    while not up.isEmpty():
-        above = up.select("conv", F.col("turn").alias("thread"), F.col("thread").alias("t2"), F.col("depth").alias("d2"))
-        higher = settle(up.join(above, ["conv", "thread"], "left").select("conv", "turn", F.coalesce("t2", "thread").alias("thread"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), F.col("t2").isNotNull().alias("moved")))
-        up = higher.drop("moved")
-        if higher.where("moved").isEmpty():
-            break
-    linked = parsed.join(answers, ["conv", "turn"], "left").join(up, ["conv", "turn"], "left")
+    links = answers.select("conv", "turn", F.col("answers").alias("up"))
+    tops, below = climb(links)
+    # a message's place is that of what it answers, the answers before it with all below them, and itself; starts of threads answer none
+    nodes = placed.select("conv", "turn").distinct().join(answers, ["conv", "turn"], "left").join(below, ["conv", "turn"], "left")
+    nodes = nodes.withColumn("size", 1 + F.coalesce("below", F.lit(0))).drop("below")
+    nodes = running_sum(nodes, ["conv", "answers"], "turn", "size", "earlier")
+    if not links.isEmpty():
+        nodes = settle(nodes)
+    steps = nodes.select("conv", "turn", (F.col("earlier") + 1).alias("step"))
+    tops = climb(links, steps)[0] if not links.isEmpty() else tops
+    first = steps.select("conv", F.col("turn").alias("thread"), F.col("step").alias("top"))
+    tops = tops.join(first, ["conv", "thread"]).select("conv", "turn", "thread", "depth", (F.col("far") + F.col("top")).alias("place"))
+    order = nodes.join(tops, ["conv", "turn"], "left").select("conv", "turn", "answers", "n_linked", F.coalesce("thread", "turn").alias("thread"), F.coalesce("depth", F.lit(0)).alias("depth"), F.coalesce("place", F.col("earlier") + 1).alias("place"))
+    linked = parsed.join(order, ["conv", "turn"], "left")
     return linked.select(
         F.col("conv").alias(conv),
         F.col("turn").alias(turn),
@@ -94,7 +140,14 @@ def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
         "answers",
         F.coalesce("thread", "turn").alias("thread"),
         F.coalesce("depth", F.lit(0)).alias("depth"),
+        "place",
         F.size(F.filter("parts", lambda p: p["depth"] > 0)).alias("n_quotes"),
         F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
         F.concat(F.lit("<|"), F.coalesce("role", F.lit("")), F.lit("|>\n"), F.col("own"), F.lit("\n")).alias("formatted"),
     )
+
+
+def in_reply_order(linked: DataFrame, conv: str = "conv_id") -> DataFrame:
+    """What link() gives, dealt out by ranges of (conversation, place) and in that order: the text of a conversation is the column
+    `formatted` from row to row. A conversation may stretch over any number of partitions."""
+    return linked.repartitionByRange(conv, "place").sortWithinPartitions(conv, "place")
