@@ -324,16 +324,41 @@ def test_edits(spark, encoding):
 
 def test_edits_touch_little():
     c = editcount.counter(RANKS, public_tokenizers.PATTERN)
-    tree = editcount.Tree(c.cut("some words here " * 20_000), c)
+    tree = editcount.Tree.of_text("some words here " * 20_000, c)
+    asked, look = [], c.counts
+    c.counts = lambda tokens: asked.extend(tokens) or look(tokens)
     before = tree.encoded
     tree.edit(100_000, 100_004, "other")
-    assert tree.encoded - before < 60
+    del c.counts
+    assert 0 < tree.encoded - before == len(asked) < 60  # what is told is what was looked up
+
+
+def test_kept_trees(spark, encoding, tmp_path):
+    """Trees written, read, edited, written and read and edited again."""
+    texts = {1: "some words here, and 'll more " * 300, 2: "", 3: "x", 4: None, 5: "a  b\n\n" * 900}
+    count = lambda t: len(encoding.encode_ordinary(t))
+    trees = editcount.build(docs(spark, list(texts.items()), True), RANKS, public_tokenizers.PATTERN)
+    now = {i: t or "" for i, t in texts.items()}
+    rng = random.Random(11)
+    for turn in range(3):
+        trees.write.parquet(f"{tmp_path}/{turn}")
+        rows = [(i, k, at := rng.randrange(len(t) + 1), at + rng.randrange(9), rng.choice(["", " new", "\n", "word " * 700])) for i, t in now.items() if i != 3 for k in range(3)]
+        edits = spark.createDataFrame(rows + [(None, 1, 0, 0, "no")], "doc_id long, seq int, start int, end int, text string")
+        kept = editcount.attach_edits(spark.read.parquet(f"{tmp_path}/{turn}").withColumns({"Edits": F.lit(1), "_edited": F.lit(2)}), edits)
+        trees = editcount.update(kept, RANKS, public_tokenizers.PATTERN).cache()
+        got = {r.doc_id: r for r in trees.collect()}
+        for i, _, start, end, text in rows:
+            start = min(start, len(now[i]))
+            now[i] = now[i][:start] + text + now[i][max(start, min(end, len(now[i]))) :]
+        assert {i: (r.text, r.n_tokens) for i, r in got.items()} == {i: (t, count(t)) for i, t in now.items()}
+        assert got[3].n_encoded_again == 0 and (turn < 1 or got[1].n_encoded_again < got[1].n_pre_tokens + 2200)
 
 
 def test_attached_edits(spark):
-    edits = spark.createDataFrame([(1, 2, 0, 1, "b"), (1, 1, 0, 0, "a")], "doc_id long, seq int, start int, end int, text string")
-    got = {r.doc_id: r.edits for r in editcount.attach_edits(docs(spark, [(1, "x"), (2, "y")]), edits).collect()}
-    assert [e.text for e in got[1]] == ["a", "b"] and got[2] is None
+    edits = spark.createDataFrame([(1, 2, 0, 1, "b"), (1, 1, 0, 0, "a"), (None, 1, 0, 0, "c")], "doc_id long, seq int, start int, end int, text string")
+    rows = docs(spark, [(1, "x"), (2, "y"), (None, "z")]).withColumns({"_id": F.lit(1), "edits": F.lit(5)})
+    got = {r.doc_id: r for r in editcount.attach_edits(rows, edits).collect()}
+    assert [e.text for e in got[1].edits] == ["a", "b"] and got[2].edits is None and got[None].edits is None and got[1]["_id"] == 1
 
 
 def test_settled_rows_stay(spark):
