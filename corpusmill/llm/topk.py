@@ -5,12 +5,16 @@ sum(length * ((mean_x - mean_q)^2 + (dev_x - dev_q)^2)), and so their inner prod
 sum(length * (mean_x * mean_q + dev_x * dev_q)). Bounds are taken from few segments to many; a candidate whose bound falls below
 the k-th best found so far is dropped, and the survivors of the finest segments get their exact product.
 
-Queries and candidates meet in blocks: candidates are dealt to shares, a share meets each block of queries in a task of its own, and each pair of blocks gives
-k rows a query at most, whose best are then taken by a ranking that limits before it shuffles. Components are floor(scale * x).
-Vectors that are null, empty or hold null or non-finite components take no part, nor do rows without an id. Products are of
-vectors of one length only. Ties go to the smaller id; repeated ids of candidates count each, and the
-rows of a repeated query id are searched each and ranked together. Components may be as large as doubles
-go; products that don't fit a long are cut to its ends. An empty table gives an empty one.
+Candidates are put into blocks once and stay where they are. Queries go round: as many as a bound on bytes allows are sent to all
+tasks at a time, and a task takes its blocks one after another, keeping each query's k best, so what one block has shown prunes the
+next. A task gives k rows a query, whose best are then taken by a ranking that limits before it shuffles. There are as many rounds as
+the queries need; each is written before the next begins.
+
+Components are floor(scale * x). Vectors that are null, empty or hold null or non-finite components take no part, nor do rows without
+an id. Products are of vectors of one length only. Ties go to the smaller id; repeated ids of candidates count each, and the rows of a
+repeated query id are searched each and ranked together (equal ones are searched once and counted as often as they are there, up to
+k, as more can't be among the k best). Components may be as large as doubles go; products that don't fit a long are cut to its ends.
+An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -18,16 +22,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import settle
+
 #: Segments of each resolution, coarse to fine.
 RESOLUTIONS = (4, 16)
-QUERY_BLOCK = CANDIDATE_BLOCK = 4096
-#: Candidates that one task holds against a block of queries, about; partitions of that join, at most.
-SHARE, MOST_TASKS = 65_536, 20_000
+#: Vectors in a block, bytes of a block at most, and bytes of queries that are sent at a time.
+BLOCK, BLOCK_BYTES, ROUND_BYTES = 4096, 8 << 20, 32 << 20
 
 
 def statistics(x: np.ndarray, segments: int) -> np.ndarray:
@@ -40,93 +44,122 @@ def statistics(x: np.ndarray, segments: int) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
-def best(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, candidate id, score) of each query's k best."""
-    if float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1] >= 2**53:
-        return _best_of_any_size(q_ids, q, c_ids, c, k)
-    levels = [(statistics(q, s), statistics(c, s)) for s in RESOLUTIONS]
-    slack = 1e-9 * (1 + np.linalg.norm(q, axis=1) * np.linalg.norm(c, axis=1).max(initial=0))
-    coarse = levels[0][0] @ levels[0][1].T
-    out = []
-    for i in range(len(q)):
-        bound = coarse[i]
-        # the k-th best of those that look best is what others must reach
-        likely = np.argpartition(-bound, min(len(bound) - 1, 4 * k))[: 4 * k + 1]
-        likely = likely[c_ids[likely] != q_ids[i]]
-        exact = c[likely] @ q[i]
-        least = np.sort(exact)[-k] if len(exact) >= k else -np.inf
-        left = np.flatnonzero(bound >= least - slack[i])
-        for q_stat, c_stat in levels[1:]:
-            left = left[c_stat[left] @ q_stat[i] >= least - slack[i]]
-        left = left[c_ids[left] != q_ids[i]]
-        score = c[left] @ q[i]
-        top = np.lexsort((c_ids[left], -score))[:k]
-        out.append((np.full(len(top), q_ids[i]), c_ids[left[top]], score[top].astype(np.int64)))
-    return tuple(np.concatenate(x) if out else np.empty(0, np.int64) for x in zip(*out)) if out else (np.empty(0, np.int64),) * 3
-
-
-def _best_of_any_size(q_ids, q, c_ids, c, k):
-    """As best(), in whole numbers without limit."""
-    whole = [[int(v) for v in row] for row in c.tolist()]
-    out = []
-    for i, row in zip(q_ids.tolist(), q.tolist()):
-        row = [int(v) for v in row]
-        found = sorted((-sum(a * b for a, b in zip(row, x)), j) for j, x in zip(c_ids.tolist(), whole) if j != i)[:k]
-        out += [(i, j, min(max(-s, -(2**63)), 2**63 - 1)) for s, j in found]
-    return tuple(np.array(x, np.int64) for x in zip(*out)) if out else (np.empty(0, np.int64),) * 3
+class Best:
+    """The k best candidates of each of some queries of one length, over all blocks of candidates that it is shown."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int):
+        self.ids, self.x, self.k = ids, x, k
+        self.stats = [statistics(x, s) for s in RESOLUTIONS]
+        self.norms = np.linalg.norm(x, axis=1)
+        self.largest = float(np.abs(x).max(initial=0))
+        self.found: list[list[tuple[int, int]]] = [[] for _ in ids]  # (-score, id), in order
+
+    def _add(self, i: int, scores: list[int], ids: list[int]) -> None:
+        self.found[i] = sorted([*self.found[i], *((-s, c) for s, c in zip(scores, ids))])[: self.k]
+
+    def show(self, ids: np.ndarray, x: np.ndarray) -> None:
+        if self.largest * float(np.abs(x).max(initial=0)) * x.shape[1] >= 2**53:
+            whole = [[int(v) for v in row] for row in x.tolist()]  # whole numbers without limit
+            for i, row in enumerate(self.x.tolist()):
+                row = [int(v) for v in row]
+                own = [n for n, c in enumerate(ids.tolist()) if c != self.ids[i]]
+                self._add(i, [sum(a * b for a, b in zip(row, whole[n])) for n in own], [int(ids[n]) for n in own])
+            return
+        stats = [statistics(x, s) for s in RESOLUTIONS]
+        slack = 1e-9 * (1 + self.norms * np.linalg.norm(x, axis=1).max(initial=0))
+        coarse = self.stats[0] @ stats[0].T
+        for i in range(len(self.ids)):
+            bound, held = coarse[i], self.found[i]
+            # the k-th best so far, of those before and of those here that look best, is what others must reach
+            likely = np.argpartition(-bound, min(len(bound) - 1, 4 * self.k))[: 4 * self.k + 1]
+            likely = likely[ids[likely] != self.ids[i]]
+            exact = np.sort(np.concatenate([x[likely] @ self.x[i], [-s for s, _ in held]]))
+            least = exact[-self.k] if len(exact) >= self.k else -np.inf
+            left = np.flatnonzero(bound >= least - slack[i])
+            for own, theirs in zip(self.stats[1:], stats[1:]):
+                left = left[theirs[left] @ own[i] >= least - slack[i]]
+            left = left[ids[left] != self.ids[i]]
+            score = x[left] @ self.x[i]
+            top = np.lexsort((ids[left], -score))[: self.k]
+            self._add(i, score[top].astype(np.int64).tolist(), ids[left[top]].tolist())
+
+    def rows(self, times: np.ndarray) -> list[tuple[int, int, int]]:
+        """(query, candidate, score), those of a query as often as `times` has it."""
+        return [(int(q), c, min(max(-s, -(2**63)), 2**63 - 1)) for q, n, found in zip(self.ids, times, self.found) for s, c in found for _ in range(n)]
 
 
 def _blocks(rows: DataFrame, scale: float, most: int) -> DataFrame:
-    """(d, ids, data): blocks of up to `most` vectors of length d that take part, as doubles."""
+    """(d, n, ids, times, data): blocks of up to `most` vectors of length d that take part, as doubles, of rows (id, x, times)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
 
         def made(d: int) -> pa.RecordBatch:
-            ids, xs = zip(*held.pop(d))
-            return pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([np.stack(xs).tobytes()], pa.binary())], ["d", "ids", "data"])
+            ids, times, xs = zip(*held.pop(d))
+            columns = [pa.array([d], pa.int32()), pa.array([len(ids)], pa.int32()), *(pa.array([np.array(x, t).tobytes()], pa.binary()) for x, t in ((ids, np.int64), (times, np.int64), (xs, np.float64)))]
+            return pa.RecordBatch.from_arrays(columns, ["d", "n", "ids", "times", "data"])
 
         for batch in batches:
-            for i, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for i, x, times in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 v = x.values
                 if i is None or v is None or not len(v) or v.null_count:
                     continue
                 with np.errstate(over="ignore"):
                     x = np.floor(scale * v.to_numpy(zero_copy_only=False).astype(np.float64))
                 if np.isfinite(x).all():
-                    held.setdefault(len(x), []).append((i, x))
-                    if len(held[len(x)]) == most:
+                    held.setdefault(len(x), []).append((i, times, x))
+                    if len(held[len(x)]) == max(1, min(most, BLOCK_BYTES // (8 * len(x)))):
                         yield made(len(x))
         for d in list(held):
             yield made(d)
 
-    return rows.mapInArrow(run, "d int, ids binary, data binary")
+    return rows.mapInArrow(run, "d int, n int, ids binary, times binary, data binary")
 
 
-def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0) -> DataFrame:
+def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0, round_bytes: int = ROUND_BYTES) -> DataFrame:
     """(query_id, rank, id, score): the k highest products of each row that `queries` picks with every row but those of its id."""
-    rows = vectors.where(queries).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("x"))
-    every = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("x"))
+    spark = vectors.sparkSession
+    named = [F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("x")]
     n, n_queries = vectors.agg(F.count("*"), F.count_if(queries)).first()
-    n_blocks = max(1, -(-n_queries // QUERY_BLOCK))
-    # candidates are dealt to shares, and a block of queries goes once to each: as many tasks as there are blocks times shares
-    shares = max(1, -(-n // SHARE), -(-int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")) // n_blocks))
-    tasks = min(n_blocks * shares, MOST_TASKS)
-    numbers = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
-    # rows are dealt by id and vector; of a repeated id every row that takes part is searched
-    asked = _blocks(rows.repartition(n_blocks, "id", "x"), scale, QUERY_BLOCK)
-    asked = asked.select("d", F.col("ids").alias("q_ids"), F.col("data").alias("q"), F.pmod(F.xxhash64("q_ids"), F.lit(n_blocks)).alias("b")).withColumn("s", numbers(shares))
-    given = _blocks(every, scale, max(64, min(CANDIDATE_BLOCK, -(-n // shares)))).withColumn("s", F.pmod(F.xxhash64("ids"), F.lit(shares))).withColumn("b", numbers(n_blocks))
-    # by number, as the sizes of partitions tell nothing of the work in them
-    pairs = given.repartition(tasks, "d", "b", "s").join(asked.repartition(tasks, "d", "b", "s"), ["d", "b", "s"]).select("d", "ids", "data", "q_ids", "q")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                read = lambda x: np.frombuffer(r[x]).reshape(-1, r["d"])
-                found = best(np.frombuffer(r["q_ids"], np.int64), read("q"), np.frombuffer(r["ids"], np.int64), read("data"), k)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["query_id", "id", "score"])
-
-    found = pairs.mapInArrow(run, "query_id long, id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # blocks are dealt to tasks by number, as the sizes of rows tell nothing of the work in them
+    most = max(64, min(BLOCK, -(-n // tasks)))
+    given = settle(_blocks(vectors.select(*named, F.lit(1).cast("long").alias("times")), scale, most).repartition(max(tasks, -(-n // (16 * BLOCK)))))
+    asked = vectors.where(queries).select(*named).groupBy("id", "x").agg(F.least(F.count("*"), F.lit(k)).alias("times"))
+    asked = settle(_blocks(asked.coalesce(max(1, -(-n_queries // BLOCK))), scale, BLOCK).withColumn("number", F.monotonically_increasing_id()))
+    rounds, held = [[]], 0
+    for r in asked.select("number", (F.col("n") * F.col("d") * 8).alias("size")).orderBy("number").collect():  # a row for each 4,096 queries
+        if rounds[-1] and held + r["size"] > round_bytes:
+            rounds, held = [*rounds, []], 0
+        rounds[-1].append(r.number)
+        held += r["size"]
+
+    def of_round(numbers: list[int]) -> DataFrame:
+        sent = spark.sparkContext.broadcast([(r.d, bytes(r.ids), bytes(r.times), bytes(r.data)) for r in asked.where(F.col("number").isin(numbers)).collect()])  # round_bytes, or one block
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            every = [(d, Best(np.frombuffer(ids, np.int64), np.frombuffer(data).reshape(-1, d), k), np.frombuffer(times, np.int64)) for d, ids, times, data in sent.value]
+            for batch in batches:
+                for d, ids, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                    for own, best, _ in every:
+                        if own == d:
+                            best.show(np.frombuffer(ids, np.int64), np.frombuffer(data).reshape(-1, d))
+            for _, best, times in every:
+                rows = best.rows(times)
+                for i in range(0, len(rows), 50_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows[i : i + 50_000])], ["query_id", "id", "score"])
+
+        found = given.select("d", "ids", "data").mapInArrow(run, "query_id long, id long, score long")
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+        return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+    if len(rounds) == 1:
+        out = of_round(rounds[0])
+    else:  # rows of one query id may be in several rounds
+        every = [settle(of_round(numbers)).drop("rank") for numbers in rounds]
+        out = every[0]
+        for more in every[1:]:
+            out = out.unionByName(more)
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+        out = out.withColumn("rank", rank).where(F.col("rank") <= k)
+    return out.select("query_id", "rank", F.col("id").alias(id_col), "score")
