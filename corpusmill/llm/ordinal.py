@@ -4,10 +4,11 @@ P(grade <= k) = 1 / (1 + exp(-(threshold_k - x.w))): one weight vector serves ev
 x holds the distinct words of a text and their first and last 4 and 5 bytes, as 64-bit hashes; only features that lean clearly to
 one side in the sample have a weight. The output is the probability of each grade and the expected one.
 
-The model is fitted on a bounded sample of the labelled rows (`sample` rows, the smallest hashes of their ids), everything else
-reads all rows. Near copies among the sample (Jaccard of features 0.8 or more, of one grade) count once; the model tells how many
+The model is fitted on a bounded sample of the labelled rows (`sample` rows and `sample_bytes` of text, the smallest hashes of
+their ids; of several texts of an id the least), everything else reads all rows. Near copies among the sample (Jaccard of features 0.8 or more, of one grade) count once; the model tells how many
 rows it was fitted on. Grades are 0, 1, 2 ...; a label of only 0 and 1 is first spread to three
-grades: of the rows labelled 1, those with more indicative words than the median are grade 2.
+grades: of the rows labelled 1, those with more indicative words than the median, measured by the root of how many words a text
+has, are grade 2.
 
 Null and empty texts have no features and get the grade of the thresholds alone, which is the lowest when most rows are of it.
 Null ids or labels are not used for fitting. Without labelled rows of two grades every row gets severity 0 and nothing is
@@ -22,14 +23,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import byte_values, in_slices
 
-#: Labelled rows that the model is fitted on, at most.
-SAMPLE = 8000
+#: Labelled rows, and bytes of text, that the model is fitted on, at most.
+SAMPLE, SAMPLE_BYTES = 8000, 256 << 20
 #: Words remembered by a worker, a bound on memory alone.
 REMEMBERED = 300_000
 _WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -125,8 +126,8 @@ def fit(texts: list[bytes], grades: list[int], least_docs: int = 5, least_z: flo
     place = np.cumsum(chosen) - 1
     use = chosen[col]
     doc, col, names, leaning = doc[use], place[col[use]], names[chosen], (z > 0)[chosen]
-    if y.max() == 1:  # spread a yes/no label by how much speaks for it
-        n = np.bincount(doc, leaning[col], len(rows))
+    if y.max() == 1:  # spread a yes/no label by how much of the text speaks for it, not by how long the text is
+        n = np.bincount(doc, leaning[col], len(rows)) / np.sqrt([max(len(r), 1) for r in rows])
         y = np.where(high & (n > np.median(n[high])), 2, y)
     levels, y = np.unique(y, return_inverse=True)
     k = len(levels) - 1
@@ -153,12 +154,16 @@ def fit(texts: list[bytes], grades: list[int], least_docs: int = 5, least_z: flo
     return Model({int(n): float(x) for n, x in zip(names, w)}, [float(x) for x in thresholds], len(rows))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
-    """A model from `sample` labelled rows at most. It is fitted in one task; only it comes to the driver."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """A model from `sample` labelled rows and `sample_bytes` of their texts at most. It is fitted in one task; only it comes to the
+    driver."""
     picked = labels.select(F.col(label_id).alias("id"), F.col(label_col).cast("long").alias("grade")).where("id IS NOT NULL AND grade IS NOT NULL")
     picked = picked.groupBy("id").agg(F.max("grade").alias("grade")).orderBy(F.xxhash64("id"), "id").limit(sample)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
-    rows = texts.join(F.broadcast(picked), "id").select("text", "grade")
+    # one text for an id, however often it is there, and in the order of the hashes as many as the bound on bytes allows
+    rows = texts.join(F.broadcast(picked), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("grade").alias("grade"))
+    held = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("id"), "id"))  # of `sample` rows
+    rows = rows.withColumn("held", held).where(F.col("held") <= sample_bytes).select("text", "grade")
 
     def run(batches):
         texts, grades = [], []

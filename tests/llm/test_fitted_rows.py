@@ -20,3 +20,21 @@ def test_trained_model_tells_its_rows(spark):
     docs = spark.createDataFrame([(i, f"text{i} of{i} its{i} own{i} words{i}" + (" vilest" if i % 4 == 0 else "")) for i in range(200)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int")
     assert ordinal.train(docs, labels).fitted == 200
+
+
+def test_one_text_of_an_id_and_a_bound_on_bytes(spark):
+    rows = [(i, f"text{i} of{i} its{i} own{i} words{i}" + (" vilest" if i % 4 == 0 else "")) for i in range(200)] + [(7, f"again{i} and{i}") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int")
+    assert ordinal.train(docs, labels).fitted == 200
+    assert 20 < ordinal.train(docs, labels, sample_bytes=2000).fitted < 80
+
+
+def test_longer_texts_are_no_more_toxic():
+    rng = random.Random(3)
+    words = [f"word{i}" for i in range(2000)]
+    make = lambda n, bad: " ".join(rng.choices(words, k=n) + rng.choices(["vilest", "scoundrelly", "vileness", "scoundrel"], k=bad)).encode()
+    grades = [int(i % 4 == 0) for i in range(600)]
+    texts = [make(60 if i % 8 else 400, (i % 4 == 0) * (1 + i % 3)) for i in range(600)]
+    model = ordinal.fit(texts, grades)
+    assert model.fitted == 600 and len(model.thresholds) == 2 and model.thresholds[0] < model.thresholds[1]
