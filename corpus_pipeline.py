@@ -28,8 +28,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     keyed = docs.withColumn(key, row_key("doc_id", "text"))
     classes = simhash.near_duplicates(keyed.select(key, "doc_id", "text").withColumn("_id", F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id"), F.col(key).alias("k"))), "_id", "text")
     kept = classes.where(F.col("_id") == F.col("component_id")).select(F.col("_id")["k"].alias(key)).distinct()
-    left = keyed.join(kept, key, "left_semi")
-    return left.withColumn(n, F.row_number().over(Window.partitionBy(key).orderBy(key))).where(F.col(n) == 1).select(*docs.columns)
+    # repeated rows go first, so that texts are dealt out by key once, for this and for the join
+    single = keyed.withColumn(n, F.row_number().over(Window.partitionBy(key).orderBy(key))).where(F.col(n) == 1)
+    return single.join(kept, key, "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,17 +63,27 @@ STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decont
 ORACLE_SQL = None
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result of the last stage, which stays in its own folder of spark.checkpoint.dir, as what is returned reads it; those of the
+    others go when the next one is written, and all go when a stage fails."""
     docs = table(spark, sf_dir, "documents")
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
         settle(spark.range(1))  # sets a folder
         base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     where = f"{base}/corpus_pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{where}/{k}")
-        docs = spark.read.parquet(f"{where}/{k}")
-        if k:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{where}/{k - 1}")
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    try:
+        for k, (_, stage) in enumerate(STAGES):
+            stage(spark, docs, sf_dir).write.parquet(f"{where}/{k}")
+            docs = spark.read.parquet(f"{where}/{k}")
+            if k:
+                _delete(spark, f"{where}/{k - 1}")
+    except BaseException:
+        _delete(spark, where)
+        raise
     return docs
