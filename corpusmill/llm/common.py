@@ -20,12 +20,15 @@ def settle(df: DataFrame) -> DataFrame:
     """Write df once to the folder in spark.checkpoint.dir and go on from there, without its lineage.
 
     The folder is shared by all executors, so a lost executor costs no earlier work, and values such as row numbers stay what
-    they were. Where the setting is missing (tests), a temporary folder serves.
+    they were. Where the setting is missing, a temporary folder serves a local session, as in tests; on a cluster it is an error.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("checkpoints"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp("checkpoints"))
     return df.checkpoint(eager=True)
 
 
