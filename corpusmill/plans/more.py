@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -12,6 +11,7 @@ from ..functions import syllables as sy
 from ..functions import text as tx
 from ..operators import corpus as c
 from ..operators import segments as sg
+from ..session import shared_folder
 from ..streaming import incremental as inc
 from .registry import query, table, words
 
@@ -64,7 +64,7 @@ def phoneme_round_trip(spark, sf_dir):
 def incremental_counts(spark, sf_dir):
     """The same counts as at once, by a stream that takes the files there are and ends."""
     docs = table(spark, sf_dir, "documents")
-    base = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/incremental-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/incremental-{uuid.uuid4().hex}"
     inc.ingest(spark, f"{sf_dir}/documents.parque*", docs.schema, f"{base}/counts", f"{base}/state", lambda b: c.dedup_count(b, "lang", "text"))
     return inc.counts(spark, f"{base}/counts", ["lang", "text"])
 

@@ -16,12 +16,23 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     return b.config(map=base | conf).getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, a folder that all executors share. Where it is missing a temporary folder serves a local session, as in
+    tests; on a cluster it is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp("checkpoints")
+    return folder
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """df written once to spark.checkpoint.dir, a folder that all executors share, and read from there: what ranges or numbers its
-    rows have can't change when a task runs again. Without the setting a temporary folder serves, as in tests."""
+    """df written once to the shared folder and read from there: what ranges or numbers its rows have can't change when a task runs
+    again."""
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("checkpoints"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
