@@ -12,7 +12,10 @@ from .turkish import MONTHS, spoken_number
 #: Fixed values.
 LETTERS = {"a": "a", "b": "b", "c": "j", "ç": "ch", "d": "d", "e": "e", "f": "f", "g": "g", "ğ": "gh", "h": "h", "ı": "uh", "i": "i", "j": "zh", "k": "k", "l": "l", "m": "m", "n": "n", "o": "o", "ö": "oe", "p": "p", "r": "r", "s": "s", "ş": "sh", "t": "t", "u": "u", "ü": "ue", "v": "v", "y": "y", "z": "z", "w": "v"}
 SPECIAL = ["<PAD>", "<UNK>", "<SOS>", "<EOS>", " ", "-", "'", "<PAUSE_SHORT>", "<PAUSE_MED>", "<PAUSE_LONG>", "<EMPHASIS>", "<RISING>", "<URL>", "<EMAIL>", "<EMOTION_HAPPY>", "<EMOTION_SAD>", "<EMOTION_ANGRY>", "<EMOTION_EXCITED>", "<EMOTION_CALM>", "<EMOTION_END>"]
-PHONEMES = "a b ch d e f g gh h i j k l m n o oe p r s sh t u ue uh v y z zh".split()
+PHONEMES = [
+    "a", "b", "ch", "d", "e", "f", "g", "gh", "h", "i", "j", "k", "l", "m", "n", "o", "oe", "p", "r", "s", "sh", "t", "u", "ue", "uh", "v", "y", "z",
+    "zh",
+]
 VOCABULARY = SPECIAL + PHONEMES
 CONTRACTIONS = {"ne'dir": "nedir", "ne'ye": "neye", "yapıyo": "yapıyor", "geliyo": "geliyor"}
 PAUSES = {".": " <PAUSE_LONG>", ",": " <PAUSE_SHORT>", ";": " <PAUSE_MED>", "!": " <PAUSE_LONG> <EMPHASIS>", "?": " <PAUSE_LONG> <RISING>", ":": " <PAUSE_MED>"}

@@ -6,9 +6,7 @@ Patterns are read with Unicode classes. Null texts stay null unless a function s
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -32,13 +30,18 @@ def one_of(characters: str) -> str:
     return "".join(re.escape(c) if ord(c) < 128 else c for c in dict.fromkeys(characters))
 
 
+#: White space other than the space, as the inside of a character class; what (?U)\\s is besides.
+OTHER_SPACE = "\\t-\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+_SPACES = " \t\n\x0b\x0c\r\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def squeeze(text: Column) -> Column:
-    """Runs of white space become one space."""
-    return F.regexp_replace(text, r"(?U)\s+", " ")
+    """Runs of white space become one space. What is one space already is no match, as most are."""
+    return F.regexp_replace(text, f"[{OTHER_SPACE}][ {OTHER_SPACE}]*| [ {OTHER_SPACE}]+", " ")
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(_SPACES))
 
 
 def replace_all(text: Column, pairs: dict[str, str]) -> Column:
@@ -66,19 +69,9 @@ def replace_matches(text: Column, pattern: str, to) -> Column:
     return let(text, replaced)
 
 
-@lru_cache(1)
-def _composable() -> str:
-    """A pattern of the characters that a composed text doesn't hold, or that may join the one before."""
-    joining = {c for i in range(0xC0, sys.maxunicode + 1) for d in [unicodedata.decomposition(chr(i))] if d and d[0] != "<" for c in [chr(int(x, 16)) for x in d.split()[1:]]}
-    changing = {chr(i) for i in range(0xC0, sys.maxunicode + 1) if not 0xD800 <= i < 0xE000 and unicodedata.normalize("NFC", chr(i)) != chr(i)}
-    # Hangul jamo join by rule
-    points = sorted({ord(c) for c in joining | changing} | {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)})
-    spans, start = [], 0
-    for i, p in enumerate(points):
-        if i + 1 == len(points) or points[i + 1] != p + 1:
-            spans.append(f"\\x{{{points[start]:x}}}-\\x{{{p:x}}}")
-            start = i + 1
-    return f"[{''.join(spans)}]"
+#: Texts are composed if they have none but characters below U+0300, most punctuation and symbols, kana or CJK; others are looked at
+#: one by one.
+_MAYBE = r"[\x{300}-\x{200f}\x{20d0}-\x{2fff}\x{302a}-\x{302f}\x{3099}\x{309a}\x{3131}-\x{33ff}\x{a000}-\x{ff60}\x{ffa0}-\x{10ffff}]"
 
 
 @F.pandas_udf(T.StringType())
@@ -88,7 +81,7 @@ def _composed(text: pd.Series) -> pd.Series:
 
 def nfc(text: Column) -> Column:
     """Canonical composition. Only texts with a character that composing may change leave the JVM."""
-    return F.coalesce(_composed(F.when(text.rlike(_composable()), text)), text)
+    return F.coalesce(_composed(F.when(text.rlike(_MAYBE), text)), text)
 
 
 def graphemes(text: Column) -> Column:
@@ -98,14 +91,15 @@ def graphemes(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """The parts between white space."""
-    return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
+    return F.filter(F.split(text, f"[ {OTHER_SPACE}]+"), lambda w: w != "")
 
 
 def set_apart(text: Column, marks: str = MARKS) -> Column:
     """A space after punctuation that something follows and before punctuation that follows something, numbers kept whole."""
     dot = r"\.(?!\.)"
     text = F.regexp_replace(text, rf"([{one_of(marks)}]|{dot})(?!(?<=[.,:])\d)(\S)", "$1 $2")
-    return F.regexp_replace(text, rf"(\S)(?!(?<=\d)[.,:](?=\d))([{one_of(marks.replace('(),', ''))}]|[(),]|{dot})", "$1 $2")
+    # the mark is looked for before what is around it
+    return F.regexp_replace(text, rf"(\S)(?=[.{one_of(marks)}])(?!(?<=\d)[.,:](?=\d))([{one_of(marks)}]|{dot})", "$1 $2")
 
 
 def wordify_universal(text: Column) -> Column:

@@ -26,7 +26,13 @@ ABBREVIATIONS = {
     "s.a.v.": "sallallahu aleyhi ve sellem", "kg.": "kilogram", "gr.": "gram", "lt.": "litre", "ml.": "mililitre",
     "cm.": "santimetre", "mm.": "milimetre", "km.": "kilometre",
 }
-KEEPS = "aâbcçdeêfgğhıiîjklmnoôöpqrsştuûūüvwxyz.,?!:;'()[] -0123456789əñŋňýäëăĕśÿžʻ’"
+KEEPS = [
+    "a", "â", "b", "c", "ç", "d", "e", "ê", "f", "g", "ğ", "h", "ı", "i", "î",
+    "j", "k", "l", "m", "n", "o", "ô", "ö", "p", "q", "r", "s", "ş", "t", "u",
+    "û", "ū", "ü", "v", "w", "x", "y", "z", ".", ",", "?", "!", ":", ";", "'",
+    "(", ")", "[", "]", " ", "-", "0", "1", "2", "3", "4", "5", "6", "7", "8", "9",
+    "ə", "ñ", "ŋ", "ň", "ý", "ä", "ë", "ă", "ĕ", "ś", "ÿ", "ž", "ʻ", "’",
+]
 LOOK_ALIKES = {"’": "'", "‘": "'", "`": "'", "´": "'", "“": '"', "”": '"', "«": '"', "»": '"', "–": "-", "—": "-", "−": "-", "~": "-", "…": "...", "\n": " ", "\t": " "}
 
 WORD_EDGE = r"(?U)\b"
@@ -68,11 +74,21 @@ def ordinal_words(digits: Column) -> Column:
     return F.coalesce(F.try_element_at(first, F.regexp_replace(digits, "^0+", "")), let(number_words(digits), _with_suffix))
 
 
+def _folded(x: Column) -> Column:
+    """Letters that are the same in any case, so that what a short form matches has its folded form."""
+    return F.lower(F.translate(x, "İıſ\u212a", "iisk"))
+
+
 def expand_abbreviations(text: Column) -> Column:
-    """Longest first, in any case."""
-    for short, long in sorted(ABBREVIATIONS.items(), key=lambda x: -len(x[0])):
-        text = F.regexp_replace(text, rf"(?iuU)\b{re.escape(short)}(?=\s|[.,!?]|$)", long)
-    return text
+    """Longest first, in any case. Only the forms that a text holds are looked for by pattern."""
+    fold = lambda x: x.replace("ı", "i")
+    rules = F.array(*(F.struct(F.lit(fold(short)).alias("short"), F.lit(rf"(?iuU)\b{re.escape(short)}(?=\s|[.,!?]|$)").alias("pattern"), F.lit(long).alias("long")) for short, long in sorted(ABBREVIATIONS.items(), key=lambda x: -len(x[0]))))
+
+    def expanded(t: Column) -> Column:
+        held = let(_folded(t), lambda low: F.filter(rules, lambda r: F.contains(low, r["short"])))
+        return F.aggregate(held, t, lambda out, r: F.regexp_replace(out, r["pattern"], r["long"]))
+
+    return let(text, expanded)
 
 
 def repair(text: Column) -> Column:
@@ -116,9 +132,14 @@ def say_glued(text: Column) -> Column:
 def wordify(text: Column, abbreviations: bool = False) -> Column:
     text = repair(nfc(text))
     text = expand_abbreviations(text) if abbreviations else text
-    for step in (say_dates, say_times, join_thousands, say_ordinals, say_numbers, say_glued):
-        text = step(text)
-    return strip(squeeze(text))
+
+    def said(t: Column) -> Column:
+        out = t
+        for step in (say_dates, say_times, join_thousands, say_ordinals, say_numbers, say_glued):
+            out = step(out)
+        return F.when(t.rlike("[0-9]"), out).otherwise(t)  # all of these rules are about digits
+
+    return strip(squeeze(let(text, said)))
 
 
 def lower(text: Column) -> Column:
@@ -135,7 +156,7 @@ def normalize(text: Column, wordified: bool = False, abbreviations: bool = False
     text = F.regexp_replace(text, r"(?U)([^\w\s.])\1+", "$1")
     text = F.regexp_replace(squeeze(text), r"(?U)(?:\.\s*){2,}", " ^ ")
     text = F.replace(F.replace(set_apart(text), F.lit("^"), F.lit("...")), F.lit('"'), F.lit("''"))
-    text = strip(keep_only(squeeze(text), KEEPS))
+    text = strip(keep_only(squeeze(text), "".join(KEEPS)))
     text = graphemes(text) if extract else text
     return strip(upper(text) if to_upper else text)
 

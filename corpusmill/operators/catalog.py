@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed values.
-GENRES = sorted(
-    "Academic Anthropology Archaeology Architecture Art Astrology Biography Biology Business Chemistry Cinema Culinary Drama Economy Education Engineering Essay Fantasy Fashion Finance "
-    "Health History Journalism Law Literature Medicine Memoir Metaphysic Music Mythology Novel Philosophy Physics Poetry Politics Psychology Religion Science ScienceFiction Sociology "
-    "Spiritual Sports Technology Theology Travel Other".split()
-)
+GENRES = [
+    "Academic", "Anthropology", "Archaeology", "Architecture", "Art", "Astrology", "Biography", "Biology", "Business", "Chemistry", "Cinema",
+    "Culinary", "Drama", "Economy", "Education", "Engineering", "Essay", "Fantasy", "Fashion", "Finance", "Health", "History", "Journalism", "Law",
+    "Literature", "Medicine", "Memoir", "Metaphysic", "Music", "Mythology", "Novel", "Other", "Philosophy", "Physics", "Poetry", "Politics",
+    "Psychology", "Religion", "Science", "ScienceFiction", "Sociology", "Spiritual", "Sports", "Technology", "Theology", "Travel",
+]
 CHECKPOINTS = ["gpt_interrupted.pth", "interrupted.pth", "gpt_latest.pth", "latest.pth"]
 DEFAULT_DATASET = "google/fleurs"
 ENGLISH_FROM, ENGLISH_SIZE = 10201, 1800

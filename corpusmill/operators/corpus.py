@@ -48,21 +48,23 @@ register_language("en", tx.normalize_english, tx.wordify_english)
 register_language("es", tx.normalize_spanish, tx.wordify_spanish)
 
 
-def _route(which: int, text: Column, lang: Column, fallback: Column) -> Column:
+def _route(which: int, text: Column, lang: Column, fallback: Callable[[Column], Column]) -> Column:
+    """Rules see the texts of their language only, as what they do outside of the JVM is done for every row that is not null."""
     code = F.lower(lang)
+    others = fallback(F.when(~F.coalesce(code, F.lit("")).isin(list(LANGUAGES)), text))
     out = None
     for name, rules in LANGUAGES.items():
-        made = rules[which](text)
+        made = rules[which](F.when(code == name, text))
         out = F.when(code == name, made) if out is None else out.when(code == name, made)
-    return fallback if out is None else out.otherwise(fallback)
+    return others if out is None else out.otherwise(others)
 
 
 def normalize(text: Column, lang: Column) -> Column:
-    return _route(0, text, lang, tx.normalize_universal(text))
+    return _route(0, text, lang, tx.normalize_universal)
 
 
 def wordify(text: Column, lang: Column) -> Column:
-    return _route(1, text, lang, tx.wordify_universal(text))
+    return _route(1, text, lang, tx.wordify_universal)
 
 
 def dedup_count(texts: DataFrame, *keys: str, weight: Column | None = None) -> DataFrame:

@@ -97,3 +97,33 @@ def test_names(spark):
     rows = spark.createDataFrame([("Roman", "jean-paul SARTRE", "Şık gün!"), ("", "a", "b")], "g string, a string, t string")
     got = [r.x for r in rows.select(nm.document_name(F.col("g"), F.col("a"), F.col("t")).alias("x")).collect()]
     assert got == ["Roman-Jean_Paul_Sartre-Sik_Gun", nm.FILL_DOCUMENT]
+
+
+def test_composing_filter_lets_nothing_through():
+    """What the quick pattern leaves in the JVM is composed as it is, and joins nothing before it."""
+    import re
+    import unicodedata
+
+    joining = {int(x, 16) for i in range(0x110000) for d in [unicodedata.decomposition(chr(i))] if d and d[0] != "<" for x in d.split()[1:] if int(x, 16) >= 0x300}
+    maybe = re.compile(re.sub(r"\\x\{(\w+)\}", lambda m: f"\\U{int(m[1], 16):08x}", tx._MAYBE))
+    left = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and not maybe.match(chr(c))]
+    assert len(left) > 20_000
+    assert not [c for c in left if unicodedata.normalize("NFC", chr(c)) != chr(c) or unicodedata.combining(chr(c)) or 0x300 <= c in joining and c < 0x3000]
+
+
+def test_white_space_is_that_of_unicode(spark):
+    every = "".join(chr(c) for c in range(0x3001) if not 0xD800 <= c < 0xE000)
+    got = each(spark, [every], lambda c: F.array_join(F.regexp_extract_all(c, F.lit(r"(?U)\s"), F.lit(0)), ""))
+    assert set(got[0]) == set(tx._SPACES)
+    assert each(spark, ["\u2003 a \t\u00a0 b\u3000c  "], lambda c: tx.strip(tx.squeeze(c))) == ["a b c"]
+
+
+def test_abbreviations_as_one_rule_after_another(spark):
+    texts = ["Dr. Öz, PROF. x bkz.", "yrd. doç. dr. a", "m.s.a.v. dr.", "t.c.", "nodr. Kg.", "K\u212ag. İ", "vs.vs. no."]
+
+    def chain(c):
+        for short, long in sorted(tr.ABBREVIATIONS.items(), key=lambda x: -len(x[0])):
+            c = F.regexp_replace(c, rf"(?iuU)\b{__import__('re').escape(short)}(?=\s|[.,!?]|$)", long)
+        return c
+
+    assert each(spark, texts, tr.expand_abbreviations) == each(spark, texts, chain)
