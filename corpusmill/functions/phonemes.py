@@ -157,3 +157,9 @@ def durations(parts: Column) -> Column:
         return F.when(x.startswith("<"), pause).when(x.rlike("[aeıioöuü]"), F.when(x.startswith("'"), 96).otherwise(80)).otherwise(60)
 
     return F.transform(parts, of)
+
+
+def text_to_ids(text: Column, frame: bool = False, normalized: bool = True) -> Column:
+    """Normalisation, phonemes and ids in one."""
+    ids = to_ids(phoneme_string(normalize(text) if normalized else text))
+    return framed(ids) if frame else ids

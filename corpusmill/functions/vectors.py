@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 #: Fixed values.
 EMOTIONS = ["happy", "angry", "sad", "afraid", "disgusted", "melancholic", "surprised", "calm"]
+MELANCHOLIC = [
+    "低落", "melancholy", "melancholic", "depression", "depressed", "gloomy",
+    "üzgün", "kederli", "hüzünlü", "depresif", "melankolik", "karanlık", "çaresiz", "mutsuz",
+]
 BIAS = [0.9375, 0.875, 1.0, 1.0, 0.9375, 0.9375, 0.6875, 0.5625]
 
 
@@ -107,3 +111,34 @@ def filtered(wave: Column, b: list[float], a: list[float]) -> Column:
         return F.struct(F.concat(acc["out"], F.array(y)).alias("out"), F.array(*nxt).alias("z"))
 
     return F.aggregate(wave, start, step, lambda acc: acc["out"])
+
+
+def melancholic(scores: Column, text: Column) -> Column:
+    """Scores in the order of EMOTIONS; where the text names melancholy, sad and melancholic change places."""
+    sad, low = EMOTIONS.index("sad"), EMOTIONS.index("melancholic")
+    said = F.lower(text)
+    named = F.lit(False)
+    for word in MELANCHOLIC:
+        named = named | F.contains(said, F.lit(word))
+    other = F.array(*(F.lit({sad: low, low: sad}.get(i, i)) for i in range(len(EMOTIONS))))
+    return F.when(named, F.transform(other, lambda i: F.element_at(scores, i + 1))).otherwise(scores)
+
+
+def mono(channels: Column) -> Column:
+    """The mean of an array of channels, sample by sample."""
+    n = F.size(channels)
+    sums = F.aggregate(F.slice(channels, F.lit(2), F.greatest(n - 1, F.lit(0))), F.element_at(channels, 1), lambda s, c: F.zip_with(s, c, lambda a, b: a + b))
+    return F.transform(sums, lambda x: x / n)
+
+
+def truncated(wave: Column, rate: int, seconds: float) -> Column:
+    return F.slice(wave, F.lit(1), F.lit(int(seconds * rate)))
+
+
+def usable(wave: Column, rate: int, seconds: float = 1.5, peak: float = 2.5) -> Column:
+    """Long enough, and nowhere louder than a recording can be."""
+    return (F.size(wave) >= int(rate * seconds)) & (F.array_max(F.transform(wave, F.abs)) <= peak)
+
+
+def silent_frames(frames: int, size: int) -> Column:
+    return F.array_repeat(F.array_repeat(F.lit(0.0), size), frames)

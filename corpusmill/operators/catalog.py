@@ -84,3 +84,21 @@ def resized(weights: DataFrame, size: int, vocabulary: bool = True, row: str = "
     moved = F.col(row) - ENGLISH_FROM + base
     new = F.when(~surgery, F.when(F.col(row) < size, F.array(F.col(row)))).otherwise(F.concat(F.when(F.col(row) < base, F.array(F.col(row))).otherwise(F.expr("cast(array() as array<bigint>)")), F.when(F.col(row).between(ENGLISH_FROM, ENGLISH_FROM + ENGLISH_SIZE - 1), F.array(moved)).otherwise(F.expr("cast(array() as array<bigint>)"))))
     return every.withColumn(row, F.explode(new)).drop("_n")
+
+
+def discovered(files: DataFrame, project: str, name: str) -> DataFrame:
+    """(project, dataset, train, val): of each project the first training manifest, and the validation manifest that goes with it."""
+    train = files.where(F.col(name).endswith("_train.jsonl")).groupBy(project).agg(F.min(name).alias("train"))
+    dataset = F.regexp_replace("train", "_train[.]jsonl$", "")
+    return train.select(project, dataset.alias("dataset"), "train", F.concat(dataset, F.lit("_val.jsonl")).alias("val"))
+
+
+def synced(settings: DataFrame, size: str, wanted: Column) -> DataFrame:
+    """settings with the wanted size, and whether it had to change; without a size the default is 12,000."""
+    had = F.coalesce(F.col(size), F.lit(12000))
+    return settings.withColumn("changed", had != wanted).withColumn(size, wanted)
+
+
+def case_of(tokenizer: Column, case: Column) -> Column:
+    """The case that a tokenizer is fed with: what is asked for by the own kind, capitals by any other."""
+    return F.when(tokenizer == "itts-tr", F.coalesce(case, F.lit("lowercase"))).otherwise("uppercase")

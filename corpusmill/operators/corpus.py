@@ -109,10 +109,6 @@ def replace_rows(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
 
 
-def update_where(frame: DataFrame, condition: Column, **changes: Column) -> DataFrame:
-    return frame.withColumns({name: F.when(condition, value).otherwise(F.col(name)) for name, value in changes.items()})
-
-
 def unprocessed(new: DataFrame, done: DataFrame, key: str | list[str]) -> DataFrame:
     return new.join(done, key, "left_anti")
 
@@ -122,7 +118,41 @@ def ordered_distinct(frame: DataFrame, value: str, order: str) -> DataFrame:
     return frame.groupBy(value).agg(F.min(order).alias(order))
 
 
-def sample_exact(frame: DataFrame, percent: float, key: str, seed: int = 0) -> DataFrame:
-    """int(n * percent / 100) rows, the smallest of a seeded hash of the key."""
-    n = int(frame.count() * percent / 100)
-    return frame.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+def sample_exact(frame: DataFrame, percent: float, key: str, seed: int = 0, within: tuple[str, ...] = ()) -> DataFrame:
+    """int(n * percent / 100) rows of each group, the smallest of a seeded digest of the key.
+
+    Digests are counted by their first four digits, a partial count, so that only the rows of one in 65,536 of them are ranked: those
+    before are all taken, those behind are not.
+    """
+    made = frame.withColumn("_digest", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))).withColumn("_bucket", F.substring("_digest", 1, 4))
+    counts = made.groupBy(*within, "_bucket").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*within).orderBy("_bucket")
+    counts = counts.withColumn("_upto", F.sum("_n").over(before)).withColumn("_wanted", F.floor(F.sum("_n").over(Window.partitionBy(*within)) * percent / 100))
+    edges = counts.where("_upto - _n < _wanted").select(*within, "_bucket", F.greatest(F.lit(0), F.least("_n", F.col("_wanted") - (F.col("_upto") - F.col("_n")))).alias("_take"), (F.col("_upto") > F.col("_wanted")).alias("_edge"))
+    found = made.join(edges, [*within, "_bucket"])
+    rank = F.row_number().over(Window.partitionBy(*within, "_bucket").orderBy("_digest", key))
+    whole, part = found.where("NOT _edge"), found.where("_edge").withColumn("_rank", rank).where("_rank <= _take").drop("_rank")
+    return whole.unionByName(part).select(*frame.columns)
+
+
+def transcript(segments: DataFrame, by: list[str], order: str, text: str, rule: Callable[[Column], Column], paragraph: bool = True) -> DataFrame:
+    """(by, text): segments in order, stripped, without blank ones, each by the rule; joined by a space or as lines."""
+    said = segments.select(*by, order, tx.strip(F.col(text)).alias(text)).where(F.col(text) != "").withColumn(text, rule(F.col(text)))
+    listed = F.array_sort(F.collect_list(F.struct(order, text)))
+    return said.groupBy(*by).agg(listed.alias("_t")).select(*by, F.array_join(F.transform("_t", lambda x: x[text]), " " if paragraph else "\n").alias(text))
+
+
+def tested(text: Column, lang: Column, upper: bool = False) -> tuple[Column, Column]:
+    """What the testers show: the normalised text, and its words joined by commas."""
+    normal = normalize(text, lang)
+    return (F.upper(normal) if upper else normal), F.array_join(tx.words(wordify(text, lang)), ", ")
+
+
+def most_frequent(words: DataFrame, syllables: DataFrame, lang: str, n: int = 2000) -> DataFrame:
+    """(kind, exported): the n most frequent words and syllables of a language as JSON objects, in the order of their ranks."""
+    every = words.select(F.lit("words").alias("kind"), "lang", F.col("word").alias("token"), "frequency").unionByName(syllables.select(F.lit("syllables").alias("kind"), "lang", F.col("syllable").alias("token"), "frequency"))
+    ranked = top(every.where(F.col("lang") == lang), n, "frequency", "token", "kind")
+    listed = F.array_sort(F.collect_list(F.struct("rank", "token", "frequency")))  # n at most
+    quoted = lambda x: F.substring(F.to_json(F.array(x["token"])), 2, 1 << 30)  # noqa: E731 - "token"], escaped as JSON has it
+    entry = lambda x: F.concat(F.regexp_replace(quoted(x), r"\]$", ""), F.lit(":"), x["frequency"].cast("string"))
+    return ranked.groupBy("kind").agg(listed.alias("x")).select("kind", F.concat(F.lit("{"), F.array_join(F.transform("x", entry), ","), F.lit("}")).alias("exported"))

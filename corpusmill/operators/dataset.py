@@ -91,3 +91,20 @@ def gaps_between(items: DataFrame, by: list[str], order: str, gap: int) -> DataF
     """items with gap_ms: the silence after each but the last of its group."""
     following = F.lead(order).over(Window.partitionBy(*by).orderBy(order))
     return items.withColumn("gap_ms", F.when(following.isNotNull(), gap).otherwise(0))
+
+
+def concat_waves(segments: DataFrame, by: list[str], order: str, wave: str, gap: int = 0) -> DataFrame:
+    """(by, wave): the waves of a group in order, each followed by `gap` samples of silence, the last one too."""
+    listed = F.array_sort(F.collect_list(F.struct(order, wave)))
+    silence = F.array_repeat(F.lit(0.0), gap)
+    return segments.groupBy(*by).agg(listed.alias("_w")).select(*by, F.flatten(F.transform("_w", lambda x: F.concat(x[wave], silence))).alias(wave))
+
+
+def training_lines(metadata: DataFrame, corpus: DataFrame, rule, text: str = "text", order: str = "ord", distinct: bool = True) -> DataFrame:
+    """(source, ord, text): lines of metadata by the rule, then chunks of the corpus as they are, without blank ones; of equal texts
+    the first if they are to be distinct."""
+    lines = metadata.select(F.lit(0).alias("source"), order, rule(F.col(text)).alias(text)).unionByName(corpus.select(F.lit(1).alias("source"), order, F.col(text).alias(text)))
+    lines = lines.where(F.trim(text) != "")
+    if not distinct:
+        return lines
+    return lines.groupBy(text).agg(F.min(F.struct("source", order)).alias("_first")).select("_first.source", f"_first.{order}", text)

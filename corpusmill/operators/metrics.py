@@ -17,10 +17,34 @@ def masked_mean(values: Column, mask: Column) -> Column:
     return total / F.greatest(F.aggregate(mask, F.lit(0.0), lambda a, m: a + m), F.lit(1.0))
 
 
-def rolling_mean(frame: DataFrame, tag: str, step: str, value: str, window: int = 50) -> DataFrame:
-    """(tag, step, mean) of the last `window` values, every `window` steps."""
-    over = Window.partitionBy(tag).orderBy(step).rowsBetween(1 - window, 0)
-    return frame.withColumn("mean", F.avg(value).over(over)).where(F.col(step) % window == 0).select(tag, step, "mean")
+#: Steps that one task takes in order.
+BLOCK = 100_000
+
+
+def _block(step: str, block: int) -> Column:
+    return F.floor(F.col(step) / block)
+
+
+def rolling_mean(frame: DataFrame, tag: str, step: str, value: str, window: int = 50, block: int = BLOCK) -> DataFrame:
+    """(tag, step, mean) of the last `window` values, every `window` steps. Steps are whole numbers without gaps; a block of them also
+    takes the end of the one before."""
+    own = _block(step, block)
+    each = F.explode(F.when(F.pmod(F.col(step), F.lit(block)) > block - window, F.array(own, own + 1)).otherwise(F.array(own)))
+    over = Window.partitionBy(tag, "_block").orderBy(step).rowsBetween(1 - window, 0)
+    rows = frame.select(tag, step, value, each.alias("_block")).withColumn("mean", F.avg(value).over(over))
+    return rows.where((F.col("_block") == own) & (F.col(step) % window == 0)).select(tag, step, "mean")
+
+
+def running(frame: DataFrame, tag: str, step: str, value: Column, fold, name: str, own: bool, block: int = BLOCK) -> DataFrame:
+    """frame with fold (min or max) of the value over the steps of the tag so far, this one's `own` value with them or not. Blocks of
+    steps are folded by themselves, then one row for each of them, and then their rows."""
+    rows = frame.withColumns({"_block": _block(step, block), "_value": value})
+    earlier = Window.partitionBy(tag).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy(tag, "_block").agg(fold("_value").alias("_all")).withColumn("_before", fold("_all").over(earlier)).drop("_all")
+    within = Window.partitionBy(tag, "_block").orderBy(step).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
+    pick = F.least if fold is F.min else F.greatest
+    joined = rows.join(blocks, [tag, "_block"]).withColumn(name, fold("_value").over(within))
+    return joined.withColumn(name, pick(F.col(name), F.col("_before"))).drop("_block", "_value", "_before")
 
 
 def smooth(values: Column, keep: float = 0.987) -> Column:
@@ -71,15 +95,31 @@ def overtrained(values: Column, last: int, change: float = 0.004) -> Column:
     return F.when(n < last + 1, False).otherwise(F.coalesce(F.try_element_at(F.filter(pairs, lambda x: x.isNotNull()), F.lit(1)), F.lit(True)))
 
 
-def records(frame: DataFrame, tag: str, step: str, value: str) -> DataFrame:
+def records(frame: DataFrame, tag: str, step: str, value: str, block: int = BLOCK) -> DataFrame:
     """Rows that go below everything before."""
-    before = Window.partitionBy(tag).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
-    least = F.min(value).over(before)
-    return frame.withColumn("_least", least).where(F.col("_least").isNull() | (F.col(value) < F.col("_least"))).drop("_least")
+    before = running(frame, tag, step, F.col(value), F.min, "_least", False, block)
+    return before.where(F.col("_least").isNull() | (F.col(value) < F.col("_least"))).drop("_least")
+
+
+def runs(frame: DataFrame, tag: str, step: str, hit: Column, block: int = BLOCK) -> DataFrame:
+    """frame with `streak`: how many hits in a row end at this step. Steps are whole numbers without gaps, from 1."""
+    last = running(frame, tag, step, F.when(hit, F.lit(None)).otherwise(F.col(step)), F.max, "_miss", True, block)
+    return last.withColumn("streak", F.col(step) - F.coalesce("_miss", F.lit(0))).drop("_miss")
+
+
+def dump_history(frame: DataFrame, tag: str, step: str, value: str) -> DataFrame:
+    """(tag, history): the values of each tag in order, as JSON."""
+    listed = F.array_sort(F.collect_list(F.struct(step, value)))
+    return frame.groupBy(tag).agg(listed.alias("_h")).select(tag, F.to_json(F.transform("_h", lambda x: x[value])).alias("history"))
+
+
+def load_history(dumped: DataFrame, tag: str, step: str, value: str) -> DataFrame:
+    """(tag, step, value) of what dump_history made; steps from 1. No history is an empty one."""
+    values = F.coalesce(F.from_json("history", "array<double>"), F.expr("cast(array() as array<double>)"))
+    return dumped.select(tag, F.posexplode(values).alias("_at", value)).select(tag, (F.col("_at") + 1).cast("long").alias(step), value)
 
 
-def runs(frame: DataFrame, tag: str, step: str, hit: Column) -> DataFrame:
-    """frame with `streak`: how many hits in a row end at this step."""
-    over = Window.partitionBy(tag).orderBy(step)
-    marked = frame.withColumn("_hit", hit).withColumn("_island", F.sum(F.when(F.col("_hit"), 0).otherwise(1)).over(over))
-    return marked.withColumn("streak", F.sum(F.col("_hit").cast("int")).over(Window.partitionBy(tag, "_island").orderBy(step))).drop("_hit", "_island")
+def elapsed(frame: DataFrame, tag: str, order: str, at: Column) -> DataFrame:
+    """frame with seconds since the record before of the same tag; null for the first."""
+    over = Window.partitionBy(tag).orderBy(order)
+    return frame.withColumn("seconds", at.cast("timestamp").cast("double") - F.lag(at).over(over).cast("timestamp").cast("double"))

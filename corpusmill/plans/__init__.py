@@ -6,7 +6,7 @@ from importlib import import_module
 
 from . import registry
 
-MODULES = ("corpus", "turkish", "vocab", "dataset", "metrics", "vectors", "files", "more", "catalog")
+MODULES = ("corpus", "turkish", "vocab", "dataset", "metrics", "vectors", "files", "more", "catalog", "workspace", "tokens", "speech")
 
 
 def _load() -> None:

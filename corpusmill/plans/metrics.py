@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import metrics as m
+from ..operators.vocab import numbered_within
 from .registry import query, table
 
 _STEPS = "steps as (select event_type as tag, row_number() over (partition by event_type order by event_id) as step, event_id, value from events)"
 
 
 def _steps(spark, sf_dir):
-    step = F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")).cast("long")
-    return table(spark, sf_dir, "events").select(F.col("event_type").alias("tag"), step.alias("step"), "event_id", "value")
+    events = table(spark, sf_dir, "events").select(F.col("event_type").alias("tag"), "event_id", "value")
+    return numbered_within(events, ["tag"], "event_id", "step").select("tag", "step", "event_id", "value")
 
 
 @query(f"with {_STEPS} select tag, step, round(mean, 6) as mean from (select tag, step, avg(value) over (partition by tag order by step rows between 49 preceding and current row) as mean from steps) where step % 50 = 0")
@@ -21,14 +21,11 @@ def rolling_mean_50(spark, sf_dir):
     return m.rolling_mean(_steps(spark, sf_dir), "tag", "step", "value").withColumn("mean", F.round("mean", 6))
 
 
-@query(f"with recursive {_STEPS}, ema as (select tag, step, value as s from steps where step = 1 union all select e.tag, n.step, 0.987 * e.s + 0.013 * n.value from ema e join steps n on n.tag = e.tag and n.step = e.step + 1 where n.step <= 400) select tag, step, round(s, 5) as smoothed from ema")
+@query(
+    f"""with {_STEPS} select tag, step, round(pow(0.987, step - 1) * first_value(value) over w + 0.013 * pow(0.987, step) * coalesce(sum(case when step > 1 then value * pow(0.987, -step) end) over w, 0), 5) as smoothed from steps window w as (partition by tag order by step)"""
+)
 def ema_loss(spark, sf_dir):
-    return m.smoothed_series(_steps(spark, sf_dir), "tag", "step", "value").where("step <= 400").withColumn("smoothed", F.round("smoothed", 5))
-
-
-@query()
-def ema_loss_whole(spark, sf_dir):
-    """Every step of every tag; ema_loss, which is held against its SQL, has the first 400."""
+    """Every step of every tag, by blocks that are chained; in SQL the recursion is written out as a sum."""
     return m.smoothed_series(_steps(spark, sf_dir), "tag", "step", "value").withColumn("smoothed", F.round("smoothed", 5))
 
 
@@ -90,3 +87,15 @@ def json_fallback(spark, sf_dir):
 def history_summary(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     return e.groupBy(F.col("event_type").alias("tag")).agg(F.count("*").alias("points"), F.round(F.min("value"), 6).alias("least"), F.min_by("event_id", F.struct("value", "event_id")).alias("at"))
+
+
+@query(f"with {_STEPS} select tag, step, value from steps")
+def history_round_trip(spark, sf_dir):
+    """The history of each tag dumped as JSON and loaded again."""
+    return m.load_history(m.dump_history(_steps(spark, sf_dir), "tag", "step", "value"), "tag", "step", "value")
+
+
+@query("select event_id, round(epoch(ts) - lag(epoch(ts)) over (partition by event_type order by ts, event_id), 4) as seconds from events")
+def elapsed_time(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("tag"), F.struct("ts", "event_id").alias("at"))
+    return m.elapsed(e, "tag", "at", F.col("at.ts")).select("event_id", F.round("seconds", 4).alias("seconds"))

@@ -21,7 +21,7 @@ def _list(xs) -> str:
 @query(f"with e as (select vec_id, label, {_E} as x from embeddings), q as (select x as y from e where vec_id = 0), s as (select label, vec_id, round(list_dot_product(x, y) / (sqrt(list_dot_product(x, x)) * sqrt(list_dot_product(y, y))), 6) as sim from e, q where vec_id <> 0) select label, vec_id, sim from (select *, row_number() over (partition by label order by sim desc, vec_id) as r from s) where r = 1")
 def cosine_argmax(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    q = F.broadcast(v.where("vec_id = 0").select(F.col("x").alias("y")))  # one row
+    q = F.broadcast(v.where("vec_id = 0").agg(F.min("x").alias("y")))  # one row, however often the id is there
     sim = F.round(vc.cosine(F.col("x"), F.col("y")), 6)
     best = F.max_by(F.struct("vec_id", "sim"), F.struct("sim", (-F.col("vec_id")).alias("v")))
     return v.where("vec_id <> 0").crossJoin(q).select("label", "vec_id", sim.alias("sim")).groupBy("label").agg(best.alias("b")).select("label", "b.vec_id", "b.sim")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,3 +68,30 @@ def lexicon(spark: SparkSession, groups: list[list[str]], times: int = 1) -> Dat
     words = spark.createDataFrame([(w,) for g in groups for w in g], "word string").distinct()
     listed = words.agg(F.array_sort(F.collect_list("word")).alias("w"))
     return listed.select(F.array_join(F.flatten(F.transform("w", lambda x: F.array_repeat(x, times))), " ").alias("line"))
+
+
+def read_dataset(spark: SparkSession, root: str, dataset: str, lang: str) -> DataFrame:
+    """A dataset by language: the folder of the language, else that of the converted branch, else the dataset as a whole."""
+    tries = [f"{root}/{dataset}/{lang}", f"{root}/{dataset}/refs/convert/parquet/{lang}", f"{root}/{dataset}", f"{root}/{dataset}.parquet"]
+    for path in tries:
+        try:
+            return spark.read.parquet(path)
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+    raise FileNotFoundError(f"no dataset {dataset} for {lang} in {root}")
+
+
+def write_map(spark: SparkSession, path: str, values: dict[str, int]) -> None:
+    """A vocabulary of tokens and ids as one JSON object."""
+    spark.createDataFrame([(values,)], "m map<string,int>").select(F.to_json("m").alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_map(spark: SparkSession, path: str) -> DataFrame:
+    """(piece, id) of what write_map wrote."""
+    return spark.read.text(path).select(F.explode(F.from_json("value", "map<string,int>")).alias("piece", "id"))
+
+
+def read_samples(rows: DataFrame, column: str, kind: str = "array<float>") -> DataFrame:
+    """rows with a column of JSON arrays read as `kind`; what can't be read is null."""
+    return rows.withColumn(column, F.from_json(column, kind))
