@@ -8,18 +8,18 @@ from ..functions import syllables as sy
 from ..functions import text as tx
 from ..operators import catalog as cat
 from .registry import query, table
-from .turkish import _SYLLABLES, _vocab
+from .turkish import _BACK, _STRESS, _SYLLABLES, _V, _vocab
 
 
 def _named(spark, sf_dir):
     name = F.element_at(F.array(*map(F.lit, cat.CHECKPOINTS)), (F.col("doc_id") % 4 + 1).cast("int"))
-    return table(spark, sf_dir, "documents").where("doc_id % 3 = 0").select(F.concat_ws("/", "source", "lang").alias("run"), F.when(F.col("doc_id") % 5 == 0, "other.pth").otherwise(name).alias("name")).distinct()
+    return table(spark, sf_dir, "documents").select(F.concat_ws("/", "source", "lang").alias("run"), F.when(F.col("doc_id") % 5 == 0, "other.pth").otherwise(name).alias("name")).distinct()
 
 
 _NAMES = "[" + ", ".join(f"'{c}'" for c in cat.CHECKPOINTS) + "]"
 
 
-@query(f"with f as (select distinct source || '/' || lang as run, case when doc_id % 5 = 0 then 'other.pth' else {_NAMES}[doc_id % 4 + 1] end as name from documents where doc_id % 3 = 0) select run, arg_min(name, list_position({_NAMES}, name)) as name from f where name <> 'other.pth' group by run")
+@query(f"with f as (select distinct source || '/' || lang as run, case when doc_id % 5 = 0 then 'other.pth' else {_NAMES}[doc_id % 4 + 1] end as name from documents) select run, arg_min(name, list_position({_NAMES}, name)) as name from f where name <> 'other.pth' group by run")
 def checkpoint_preference(spark, sf_dir):
     return cat.preferred(_named(spark, sf_dir), "run", "name", cat.CHECKPOINTS)
 
@@ -71,17 +71,25 @@ def genres(spark, sf_dir):
     return spark.range(1).select(F.posexplode(F.array_sort(F.array(*map(F.lit, cat.GENRES)))).alias("place", "genre")).select(F.col("place").cast("long"), "genre")
 
 
-@query("select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace('漢' || source || '字 ' || lang, '([一-鿿])', ' \\1 ', 'g'), '\\s+', ' ', 'g'), '^\\s+', ''), '\\s+$', '') as out from documents")
+@query("select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace('漢' || text || '字 ' || lang, '([ᄀ-ᇿ⺀-꓏ꡀ-힯豈-﫿︰-﹏･-ￜ𠀀-𯿿])', ' \\1 ', 'g'), '\\s+', ' ', 'g'), '^\\s+', ''), '\\s+$', '') as out from documents")
 def cjk_spacing(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", tx.isolate_cjk(F.concat(F.lit("漢"), "source", F.lit("字 "), "lang")).alias("out"))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.isolate_cjk(F.concat(F.lit("漢"), "text", F.lit("字 "), "lang")).alias("out"))
 
 
-@query(f"{_SYLLABLES}, w as (select word, s, row_number() over (order by word) as k from syl where length(word) = 5) select a.word as a, b.word as b, len(a.s) = len(b.s) as same_count, coalesce(a.s[-1] = b.s[-1], false) as same_end from w a join w b on b.k = a.k + 1")
+_FIRST = f"case when not regexp_matches(lower(WORD), '{_V}') then null when regexp_matches(regexp_extract(lower(WORD), '{_V}'), '[{sy.FRONT}]') then 'front' else 'back' end"
+_WHOLE = f"(length(regexp_replace(lower(WORD), '[^{sy.FRONT}]', '', 'g')) > 0) <> (length(regexp_replace(lower(WORD), '[^{_BACK}]', '', 'g')) > 0)"
+
+
+@query(
+    f"""{_SYLLABLES}, w as (select word, s, cast({_STRESS} as integer) as at, {_FIRST.replace('WORD', 'word')} as first, {_WHOLE.replace('WORD', 'word')} as whole, row_number() over (order by word) as k from syl)
+select a.word as word1, b.word as word2, array_to_string(a.s, '-') as syllables1, array_to_string(b.s, '-') as syllables2, len(a.s) = len(b.s) as same_syllable_count, cast(abs(len(a.s) - len(b.s)) as integer) as syllable_count_diff, a.at as stress_position1, b.at as stress_position2,
+a.at is not distinct from b.at as same_stress_pattern, a.whole and b.whole as both_harmonic, a.first is not distinct from b.first as same_vowel_type from w a join w b on b.k = a.k + 1"""
+)
 def compare_words(spark, sf_dir):
-    """Neighbours in the alphabet, of five letters: whether they have as many syllables and the same last one."""
+    """Neighbours in the alphabet: their syllables, stress and vowels."""
     from ..operators.vocab import numbered
 
-    w = numbered(_vocab(spark, sf_dir).where("length(word) = 5"), F.col("word")).select("place", "word", sy.syllables(F.col("word")).alias("s"))
-    b = w.select((F.col("place") - 1).alias("place"), F.col("word").alias("b"), F.col("s").alias("t"))
-    last = lambda x: F.try_element_at(F.col(x), F.lit(-1))
-    return w.join(b, "place").select(F.col("word").alias("a"), "b", (F.size("s") == F.size("t")).alias("same_count"), F.coalesce(last("s") == last("t"), F.lit(False)).alias("same_end"))
+    w = numbered(_vocab(spark, sf_dir), F.col("word")).select("place", F.col("word").alias("a"), sy.syllables(F.col("word")).alias("x"))
+    b = w.select((F.col("place") - 1).alias("place"), F.col("a").alias("b"), F.col("x").alias("y"))
+    out = w.join(b, "place").select(sy.compare(F.col("a"), F.col("b"), F.col("x"), F.col("y")).alias("c")).select("c.*")
+    return out.withColumns({n: F.array_join(n, "-") for n in ("syllables1", "syllables2")})

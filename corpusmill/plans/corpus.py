@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import corpus as c
+from ..operators.tables import update_where
 from .registry import ENGLISH, SPANISH, normalized, query, set_apart, squeezed, stripped, table, western, words
 
 _CHUNKS = f"""chunks as (select doc_id, lang, i as chunk_no, array_to_string(w[10 * i + 1 : 10 * i + 10], ' ') as text
@@ -70,32 +71,34 @@ def word_top2000(spark, sf_dir):
     return c.top(frequencies(spark, sf_dir).where("lang = 'en'"), 2000, "frequency", "word").select("word", "frequency")
 
 
-@query(f"with {_WORDS}, t as (select word, frequency from freq where lang = 'en' order by frequency desc, word limit 2000) select '{{' || string_agg('\"' || word || '\":' || frequency, ',' order by frequency desc, word) || '}}' as exported from t where not contains(word, '\"') and not contains(word, chr(92))")
+@query(
+    f"""with {_WORDS}, t as (select 'words' as kind, word as token, frequency from freq where lang = 'en' order by frequency desc, word limit 2000), s as (select 'syllables' as kind, source as token, count(*) as frequency from documents where lang = 'en' group by source order by frequency desc, token limit 2000),
+u as (select * from t union all select * from s) select kind, '{{' || string_agg(cast(to_json(token) as varchar) || ':' || frequency, ',' order by frequency desc, token) || '}}' as exported from u group by kind"""
+)
 def export_top2000_json(spark, sf_dir):
-    top = c.top(frequencies(spark, sf_dir).where("lang = 'en'"), 2000, "frequency", "word").where(~F.contains("word", F.lit('"')) & ~F.contains("word", F.lit("\\")))
-    listed = F.array_sort(F.collect_list(F.struct((-F.col("frequency")).alias("f"), "word")))  # 2,000 at most
-    return top.agg(listed.alias("x")).select(F.concat(F.lit("{"), F.array_join(F.transform("x", lambda x: F.concat(F.lit('"'), x["word"], F.lit('":'), (-x["f"]).cast("string"))), ","), F.lit("}")).alias("exported"))
+    """Words, and sources in the place of syllables, which English has none of."""
+    s = _docs(spark, sf_dir).groupBy("lang", F.col("source").alias("syllable")).agg(F.count("*").alias("frequency"))
+    return c.most_frequent(frequencies(spark, sf_dir), s, "en")
 
 
-@query("with old as (select lang, text, count(*) as n from documents where doc_id % 2 = 0 group by all), new as (select lang, text, count(*) as n from documents where doc_id % 3 = 0 group by all) select lang, text, cast(sum(n) as bigint) as n from (select * from old union all select * from new) group by all")
+@query("with old as (select lang, text, count(*) as n from documents where doc_id % 2 = 0 group by all), new as (select lang, text, count(*) as n from documents where doc_id % 2 = 1 or doc_id % 3 = 0 group by all) select lang, text, cast(sum(n) as bigint) as n from (select * from old union all select * from new) group by all")
 def upsert_accumulate(spark, sf_dir):
     d = _docs(spark, sf_dir)
-    part = lambda k: d.where(F.col("doc_id") % k == 0).groupBy("lang", "text").agg(F.count("*").alias("n"))
-    return c.accumulate(part(2), part(3), ["lang", "text"], "n")
+    part = lambda rows: d.where(rows).groupBy("lang", "text").agg(F.count("*").alias("n"))
+    return c.accumulate(part("doc_id % 2 = 0"), part("doc_id % 2 = 1 OR doc_id % 3 = 0"), ["lang", "text"], "n")
 
 
-@query("select doc_id, 'new' as state, text from documents where doc_id % 3 = 0 union all select doc_id, 'old' as state, text from documents where doc_id % 2 = 0 and doc_id % 3 <> 0")
+@query("select doc_id, 'new' as state, text from documents where doc_id % 2 = 1 or doc_id % 3 = 0 union all select doc_id, 'old' as state, text from documents where doc_id % 2 = 0 and doc_id % 3 <> 0")
 def insert_or_replace(spark, sf_dir):
     d = _docs(spark, sf_dir)
-    part = lambda k, s: d.where(F.col("doc_id") % k == 0).select("doc_id", F.lit(s).alias("state"), "text")
-    return c.replace_rows(part(2, "old"), part(3, "new"), ["doc_id"])
+    part = lambda rows, s: d.where(rows).select("doc_id", F.lit(s).alias("state"), "text")
+    return c.replace_rows(part("doc_id % 2 = 0", "old"), part("doc_id % 2 = 1 OR doc_id % 3 = 0", "new"), ["doc_id"])
 
 
 @query("select doc_id, case when n_chars < 500 then 'short' else source end as source, case when n_chars < 500 then 0 else n_chars end as n_chars from documents")
 def update_predicate(spark, sf_dir):
     d = _docs(spark, sf_dir).select("doc_id", "source", "n_chars")
-    short = F.col("n_chars") < 500
-    return d.select("doc_id", F.when(short, "short").otherwise(F.col("source")).alias("source"), F.when(short, F.lit(0).cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+    return update_where(d, F.col("n_chars") < 500, source=F.lit("short"), n_chars=F.lit(0).cast("long"))
 
 
 @query("select lang, count(*) as n, count(*) filter (where trim(text) <> '' and n_chars >= 1000) as remaining from documents group by lang")
@@ -113,22 +116,16 @@ def ordered_distinct(spark, sf_dir):
     return c.ordered_distinct(_docs(spark, sf_dir), "text", "doc_id")
 
 
-@query("select source, text, min(ord) as ord from (select 0 as source, doc_id as ord, text from documents union all select 1, item_id, text from benchmark) group by source, text")
+@query("select 0 as source, doc_id as ord, text from documents union all select 1, item_id, text from benchmark")
 def union_texts(spark, sf_dir):
     a = _docs(spark, sf_dir).select(F.lit(0).alias("source"), F.col("doc_id").alias("ord"), "text")
-    b = table(spark, sf_dir, "benchmark").select(F.lit(1).alias("source"), F.col("item_id").alias("ord"), "text")
-    return a.unionByName(b).groupBy("source", "text").agg(F.min("ord").alias("ord"))
-
+    return a.unionByName(table(spark, sf_dir, "benchmark").select(F.lit(1).alias("source"), F.col("item_id").alias("ord"), "text"))
 
-@query("select lang, cast(floor(count(*) * 0.15) as bigint) as sampled from documents group by lang")
-def sample_sizes(spark, sf_dir):
-    """Exactly int(n * p / 100) rows of each language, by a seeded hash."""
-    from pyspark.sql import Window
 
-    d = _docs(spark, sf_dir).select("lang", "doc_id")
-    sizes = d.groupBy("lang").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id"))
-    return d.withColumn("rank", rank).join(F.broadcast(sizes), "lang").where(F.col("rank") <= F.floor(F.col("n") * 0.15)).groupBy("lang").agg(F.count("*").alias("sampled"))
+@query("select lang, doc_id from (select lang, doc_id, row_number() over (partition by lang order by md5('7:' || doc_id), doc_id) as r, floor(count(*) over (partition by lang) * 0.15) as n from documents) where r <= n")
+def sample_rows(spark, sf_dir):
+    """Exactly int(n * p / 100) rows of each language, by a seeded digest."""
+    return c.sample_exact(_docs(spark, sf_dir).select("lang", "doc_id"), 15, "doc_id", 7, ("lang",))
 
 
 def _one(text: Column, spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
@@ -182,9 +179,9 @@ def word_list(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.size(w).alias("n_words"), F.try_element_at(w, F.lit(1)).alias("first_word"))
 
 
-@query(f"select doc_id, {set_apart('text')} as out from documents where lang = 'en'")
+@query(f"select doc_id, {set_apart('text')} as out from documents")
 def punctuation_set_apart(spark, sf_dir):
-    return _one(tx.set_apart(F.col("text")), spark, sf_dir, "lang = 'en'")
+    return _one(tx.set_apart(F.col("text")), spark, sf_dir)
 
 
 @query("select doc_id, replace(text, '\"', '') as out from documents")
@@ -197,3 +194,25 @@ def transcript(spark, sf_dir):
     from ..operators.dataset import concat_turns
 
     return concat_turns(table(spark, sf_dir, "conversations"), ["conv_id"], "turn", "text")
+
+
+_TURNS = f"select conv_id, turn, {stripped('text')} as text from conversations"
+
+
+@query(f"with t as ({_TURNS}) select conv_id, string_agg({western('text', '', ENGLISH)}, chr(10) order by turn) as text from t where text <> '' group by conv_id")
+def transcript_normalized(spark, sf_dir):
+    """Segments normalised, a line each."""
+    return c.transcript(table(spark, sf_dir, "conversations"), ["conv_id"], "turn", "text", tx.normalize_english, False)
+
+
+@query(f"with t as ({_TURNS}) select conv_id, string_agg({stripped(squeezed("replace(text, '$', ' dollars ')"))}, ' ' order by turn) as text from t where text <> '' group by conv_id")
+def transcript_wordified(spark, sf_dir):
+    """Segments with words for signs, as one paragraph."""
+    return c.transcript(table(spark, sf_dir, "conversations"), ["conv_id"], "turn", "text", tx.wordify_english)
+
+
+@query(f"select doc_id, {normalized('text', 'lang')} as normal, array_to_string({words(f"case lang when 'en' then {stripped(squeezed("replace(text, '$', ' dollars ')"))} when 'es' then {stripped(squeezed("replace(replace(text, '$', ' dólares '), '€', ' euros ')"))} else {stripped(squeezed('nfc_normalize(text)'))} end")}, ', ') as words from documents")
+def tester(spark, sf_dir):
+    """What the testers of the rules show."""
+    normal, listed = c.tested(F.col("text"), F.col("lang"))
+    return _docs(spark, sf_dir).select("doc_id", normal.alias("normal"), listed.alias("words"))

@@ -136,12 +136,12 @@ def progress(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", nm.percent(F.col("doc_id"), F.lit(1000)).alias("percent"), (F.col("n_chars") * F.expr("1.72D")).cast("int").alias("target"))
 
 
-_TITLE = "array_to_string(list_transform(list_filter(string_split_regex(regexp_replace(translate(translate({}, 'çÇğĞıIİöÖşŞüÜ', 'cCgGiIIoOsSuU'), '-', ' '), '[!\"#$%&''()*+,./:;<=>?@\\[\\\\\\]^`{{|}}~]', '', 'g'), '\\s+'), lambda w: w <> ''), lambda w: upper(w[1]) || lower(w[2:])), '_')"
+_TITLE = "array_to_string(list_transform(list_filter(string_split_regex(regexp_replace(translate(translate({}, 'çÇğĞıIİöÖşŞüÜ', 'cCgGiIIoOsSuU'), '-', ' '), '[!\"#$%&''()*+,./:;<=>?@\\[\\\\\\]^`{{|}}~]', '', 'g'), '\\s+'), lambda w: w <> ''), lambda w: replace(upper(w[1]), 'ẞ', 'SS') || lower(w[2:])), '_')"
 
 
-@query(f"select doc_id, source || '-' || {_TITLE.format('left(text, 20)')} || '-' || {_TITLE.format('right(text, 30)')} as document, 'Audiobook-' || {_TITLE.format('source')} || '-' || {_TITLE.format('lang')} || '-Genre-' || {_TITLE.format('left(text, 20)')} || '-' || {_TITLE.format('right(text, 30)')} as audiobook from documents where length(text) > 40 and lang = 'en'")
+@query(f"select doc_id, source || '-' || {_TITLE.format('left(text, 20)')} || '-' || {_TITLE.format('right(text, 30)')} as document, 'Audiobook-' || {_TITLE.format('source')} || '-' || {_TITLE.format('lang')} || '-Genre-' || {_TITLE.format('left(text, 20)')} || '-' || {_TITLE.format('right(text, 30)')} as audiobook from documents where text <> '' and source <> '' and lang <> '' union all select doc_id, '{nm.FILL_DOCUMENT}', '{nm.FILL_AUDIOBOOK}' from documents where text = ''")
 def name_standard(spark, sf_dir):
-    d = _docs(spark, sf_dir).where("length(text) > 40 AND lang = 'en'")
+    d = _docs(spark, sf_dir)
     author, title = F.substring("text", 1, 20), F.expr("right(text, 30)")
     return d.select("doc_id", nm.document_name(F.col("source"), author, title).alias("document"), nm.audiobook_name(F.col("source"), F.col("lang"), F.lit("Genre"), author, title).alias("audiobook"))
 
@@ -179,3 +179,13 @@ def key_rename(spark, sf_dir):
 def upload_route(spark, sf_dir):
     name = F.concat("url", F.when(F.col("url").endswith("1"), ".PDF").when(F.col("url").endswith("2"), ".txt").otherwise(".doc"))
     return table(spark, sf_dir, "pages").select("page_id", F.coalesce(nm.route(name), F.lit("")).alias("kind"), nm.relative(F.col("url"), "https:/").alias("path"))
+
+
+@query(f"with w as (select conv_id, turn, list_transform({words('text')}, lambda x: cast(length(x) as double)) as w from conversations), g as (select conv_id, flatten(list(list_concat(w, [0.0, 0.0]) order by turn)) as w from w group by conv_id) select conv_id, cast(len(w) as integer) as n, list_sum(list_transform(w, lambda x, i: x * i)) as sum from g")
+def speaker_waves(spark, sf_dir):
+    """The words of turns as samples, each turn followed by a gap, the last one too."""
+    from ..functions.text import words as cut
+
+    w = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.transform(cut(F.col("text")), lambda x: F.length(x).cast("double")).alias("w"))
+    g = ds.concat_waves(w, ["conv_id"], "turn", "w", 2)
+    return g.select("conv_id", F.size("w").alias("n"), F.aggregate(F.transform("w", lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x).alias("sum"))

@@ -13,10 +13,26 @@ from ..operators import corpus as c
 from ..operators import segments as sg
 from ..session import shared_folder
 from ..streaming import incremental as inc
-from .registry import query, table, words
+from .registry import query, set_apart, table, words
 
 
-@query()
+_ENDS = "[" + ", ".join(f"'{x}'" for x in sg.ENDS) + "]"
+
+
+def _cut(at: str) -> str:
+    """Where a segment that begins at `at` ends: after the last end of a sentence in its later half, else before its last token."""
+    place = f"list_position(list_reverse(list_transform(w[{at} + 61 : {at} + 120], lambda x: list_contains(ENDS, x))), true)"
+    return f"case when len(w) - ({at}) <= 120 then len(w) else coalesce({at} + 121 - {place}, {at} + 119) end".replace("ENDS", _ENDS)
+
+
+_TOKENS = f"list_transform({words(set_apart('text'))}, lambda w: '▁' || w)"
+
+
+@query(
+    f"""with recursive t as materialized (select doc_id, {_TOKENS} as w from documents), walk as (select doc_id, 0 as no, 0 as pos, CUT0 as cut from t where len(w) > 0 union all
+select t.doc_id, walk.no + 1, walk.cut, CUT1 from walk join t using (doc_id) where walk.cut < len(w))
+select doc_id, cast(no as integer) as segment_no, cast(cut - pos as integer) as n, array_to_string(w[pos + 1 : cut], ' ') as text from walk join t using (doc_id)""".replace("CUT0", _cut("0")).replace("CUT1", _cut("walk.cut"))
+)
 def token_segments(spark, sf_dir):
     t = table(spark, sf_dir, "documents").select("doc_id", F.transform(tx.words(tx.set_apart(F.col("text"))), lambda w: F.concat(F.lit("▁"), w)).alias("tokens"))
     return sg.token_segments(t, "tokens", 120, ("doc_id",)).select("doc_id", "segment_no", F.size("tokens").alias("n"), F.array_join("tokens", " ").alias("text"))
@@ -32,12 +48,16 @@ def token_ids(spark, sf_dir):
     return sg.token_ids(b, "tokens", v, 2, ("item_id",)).select("item_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
 
 
-@query(f"with t as (select doc_id, {words('text')} as w from documents), r as (select doc_id, w, list_filter(list_transform(w, lambda x, i: case when length(x) > 2 then i - 1 else null end), lambda i: i is not null) as loud from t) select doc_id, cast(case when len(loud) = 0 then 0 else greatest(loud[1] - 1, 0) end as integer) as start, cast(case when len(loud) = 0 then len(w) else least(loud[-1] + 2, len(w)) end as integer) as stop from r")
-def voiced_extent(spark, sf_dir):
-    """Words as frames, their length as the level: from the first to the last loud one, with a frame of margin."""
+@query(
+    f"""with t as (select doc_id, list_transform({words('text')}, lambda x: length(x)) as w from documents), f as (select doc_id, len(w) as n, unnest(w) as x, unnest(range(0, len(w))) as i from t), loud as (select doc_id, n, i, i - lag(i) over (partition by doc_id order by i) as d from f where x > 2),
+runs as (select doc_id, n, i, sum(case when d is null or d - 1 >= 3 then 1 else 0 end) over (partition by doc_id order by i) as r from loud), spans as (select doc_id, r, greatest(min(i) - 1, 0) as start, least(max(i) + 2, any_value(n)) as stop from runs group by doc_id, r)
+select doc_id, cast(r - 1 as integer) as no, cast(start as integer) as start, cast(stop as integer) as stop from spans union all select doc_id, 0, 0, cast(len(w) as integer) from t where doc_id not in (select doc_id from loud)"""
+)
+def voiced_spans(spark, sf_dir):
+    """Words as frames, their length as the level: what lies between silences of three frames, with a frame of margin; all if none."""
     levels = F.transform(tx.words(F.col("text")), lambda w: F.length(w).cast("double"))
-    v = table(spark, sf_dir, "documents").select("doc_id", levels.alias("x")).withColumn("v", sg.voiced(F.col("x"), 2.0, 3, 1))
-    return v.select("doc_id", F.element_at("v", 1)["start"].alias("start"), F.element_at("v", -1)["end"].alias("stop"))
+    v = table(spark, sf_dir, "documents").select("doc_id", levels.alias("x")).select("doc_id", F.posexplode(sg.voiced(F.col("x"), 2.0, 3, 1)).alias("no", "v"))
+    return v.select("doc_id", "no", "v.start", F.col("v.end").alias("stop"))
 
 
 @query(f"select vec_id, round(list_sum(list_transform(cast(embedding as double[]), lambda x, i: case when (i - 1 between 4 and 9) or (i - 1 between 30 and 39) then x else 0.0 end)), 6) as total from embeddings")
@@ -47,12 +67,6 @@ def speaker_mask(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.aggregate(w, F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 
 
-@query()
-def word_analysis(spark, sf_dir):
-    w = table(spark, sf_dir, "documents").select(F.explode(tx.words(F.col("text"))).alias("word")).distinct()
-    return w.select(sy.analyze(F.col("word")).alias("a")).select("a.*").withColumns({"syllables": F.array_join("syllables", "-"), "stressed": F.array_join("stressed", "-")})
-
-
 @query()
 def phoneme_round_trip(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark").select("item_id", ph.phoneme_string(ph.normalize(F.col("text"))).alias("phonemes"))

@@ -10,6 +10,7 @@ from ..functions import syllables as sy
 from ..functions import text as tx
 from ..functions import turkish as tr
 from ..operators import corpus as c
+from ..operators import words as words_op
 from .registry import query, table, words
 
 _DROPPED = "".join(f"\\x{{{i:02x}}}" for i in range(256) if chr(i) not in sy.VOWELS + sy.CONSONANTS)
@@ -83,26 +84,28 @@ def tr_validate(spark, sf_dir):
     return _vocab(spark, sf_dir).select("word", F.array_join(sy.issues(F.col("word"), True), "; ").alias("issues"))
 
 
+_TARGETS = f"targets as (select distinct ({words('text')})[1] as word from benchmark)"
+
+
 @query(
-    f"""{_SYLLABLES}, named as (select word, s from syl where len(s) > 0 and length(word) between 4 and 6 and word ~ '^[a-z]+$' and md5(word) < '4'),
-pairs as (select a.word, b.word as rhyme, list_reverse(a.s) as x, list_reverse(b.s) as y from named a join named b on a.s[-1] = b.s[-1] and a.word <> b.word)
-select word, rhyme, cast(coalesce(list_position(list_transform(range(1, least(len(x), len(y)) + 1), lambda i: x[i] = y[i]), false) - 1, least(len(x), len(y))) as integer) as matching from pairs"""
+    f"""with {_VOCAB}, {_TARGETS}, every as (select word, {_CLEAN} as c from (select word from vocab union select word from targets)), syl as (select word, {_syllables('c')} as s from every),
+pairs as (select a.word, b.word as rhyme, list_reverse(a.s) as x, list_reverse(b.s) as y from syl a join targets t on t.word = a.word join syl b on a.s[-1] = b.s[-1] and lower(a.word) <> lower(b.word) join vocab v on v.word = b.word where len(a.s) > 0),
+m as (select word, rhyme, cast(coalesce(list_position(list_transform(range(1, least(len(x), len(y)) + 1), lambda i: x[i] = y[i]), false) - 1, least(len(x), len(y))) as integer) as matching from pairs)
+select word, rhyme, matching, cast(row_number() over (partition by word order by matching desc, rhyme) as integer) as rank from m"""
 )
 def tr_rhymes(spark, sf_dir):
-    """Words that share their last syllable, and how many from the end. An equal last syllable is the join's key."""
-    v = _vocab(spark, sf_dir).where((F.length("word").between(4, 6)) & F.col("word").rlike("^[a-z]+$") & (F.md5("word") < "4"))
-    v = v.withColumn("s", sy.syllables(F.col("word"))).where(F.size("s") > 0).withColumn("last", F.element_at("s", -1))
-    b = v.select(F.col("word").alias("rhyme"), F.col("s").alias("s2"), "last")
-    return v.join(b, "last").where("word <> rhyme").select("word", "rhyme", sy.matching_end(F.col("s"), F.col("s2")).alias("matching"))
+    """The rhymes of the first word of each benchmark item among all words, best first."""
+    first = table(spark, sf_dir, "benchmark").select(F.try_element_at(tx.words(F.col("text")), F.lit(1)).alias("word")).distinct()
+    return words_op.rhymes(first, _vocab(spark, sf_dir))
 
 
-@query()
+@query(f"{_SYLLABLES} select word, s[-1] as rhyme, array_to_string(list_transform(range(1, len(s) + 1), lambda n: array_to_string(s[len(s) - n + 1:], '-')), ' ') as tails from syl where len(s) > 0")
 def tr_rhyme_classes(spark, sf_dir):
     """Every word with a syllable and its tails, from the last syllable to the whole word: words rhyme by n syllables if their n-th
-    tails are equal. tr_rhymes, which is held against its SQL, has the pairs of a part of the words."""
+    tails are equal."""
     v = _vocab(spark, sf_dir).withColumn("s", sy.syllables(F.col("word"))).where(F.size("s") > 0)
     tails = F.transform(F.sequence(F.lit(1), F.size("s")), lambda n: F.array_join(F.slice("s", -n, n), "-"))
-    return v.select("word", F.element_at("s", -1).alias("rhyme"), tails.alias("tails"))
+    return v.select("word", F.element_at("s", -1).alias("rhyme"), F.array_join(tails, " ").alias("tails"))
 
 
 @query(
@@ -128,11 +131,11 @@ def _number(n: str) -> str:
     return f"case when {n} = 0 then 'sıfır' else {' || '.join(parts)} end"
 
 
-_NUMBERS = "numbers as (select distinct cast(o_orderkey as bigint) * k as n from orders, (values (0), (1), (1000), (100003), (99990000001)) t(k) where o_orderkey <= 4000)"
+_NUMBERS = "numbers as (select distinct cast(o_orderkey as bigint) * k as n from orders, (values (0), (1), (1000), (100003), (99990000001)) t(k))"
 
 
 def _numbers(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey <= 4000").select(F.col("o_orderkey").cast("long").alias("k"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("k"))
     return o.select(F.explode(F.array(*(F.col("k") * F.lit(x).cast("long") for x in (0, 1, 1000, 100003, 99990000001)))).alias("n")).distinct()
 
 
@@ -141,7 +144,7 @@ def num_words_tr(spark, sf_dir):
     return _numbers(spark, sf_dir).select("n", tr.number_words(F.col("n").cast("string")).alias("said"))
 
 
-_ORDINAL = f"""(select n, said, regexp_extract(said, '([aıoueiüö])[^aıoueiüö]*$', 1) as v from (select n, {_number('n')} as said from numbers where n < 5000000))"""
+_ORDINAL = f"""(select n, said, regexp_extract(said, '([aıoueiüö])[^aıoueiüö]*$', 1) as v from (select n, {_number('n')} as said from numbers))"""
 
 
 @query(
@@ -149,7 +152,7 @@ _ORDINAL = f"""(select n, said, regexp_extract(said, '([aıoueiüö])[^aıoueiü
  case when regexp_matches(said, '[aıuoeiüö]$') then 'n' || substr(s, 3, 2) else s end end as said from (select *, case when v in ('a', 'ı') then 'ıncı' when v in ('e', 'i') then 'inci' when v in ('o', 'u') then 'uncu' else 'üncü' end as s from {_ORDINAL})"""
 )
 def ordinal_tr(spark, sf_dir):
-    return _numbers(spark, sf_dir).where("n < 5000000").select("n", tr.ordinal_words(F.col("n").cast("string")).alias("said"))
+    return _numbers(spark, sf_dir).select("n", tr.ordinal_words(F.col("n").cast("string")).alias("said"))
 
 
 def _spoken(n: str) -> str:
@@ -172,19 +175,14 @@ def wordify_tr(spark, sf_dir):
     return _texts(tr.wordify(F.col("text"), True), spark, sf_dir)
 
 
-@query()
-def norm_tr(spark, sf_dir):
-    return _texts(tr.normalize(F.col("text")), spark, sf_dir)
-
-
 @query("select doc_id, translate(text, 'ýÝðÐþÞ', 'ıİğĞşŞ') as out from documents")
 def repaired_encoding(spark, sf_dir):
     return _texts(tr.repair(F.col("text")), spark, sf_dir)
 
 
-@query("select doc_id, upper(translate(left(text, 200), 'iı', 'İI')) as out from documents where lang in ('en', 'es') and not contains(text, 'ß')")
+@query("select doc_id, replace(upper(translate(text, 'iı', 'İI')), 'ẞ', 'SS') as out from documents")
 def upper_tr(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("lang IN ('en', 'es') AND NOT contains(text, 'ß')").select("doc_id", tr.upper(F.substring("text", 1, 200)).alias("out"))
+    return _texts(tr.upper(F.col("text")), spark, sf_dir)
 
 
 @query("select row_number() over () - 1 as id, v.p as phoneme from (values " + ", ".join("('" + p.replace("'", "''") + "')" for p in ph.VOCABULARY) + ") v(p)")
@@ -227,19 +225,3 @@ def pad_mask(spark, sf_dir):
     longest = b.agg(F.max(F.size("ids")).alias("n"))
     p = b.crossJoin(F.broadcast(longest)).select("item_id", ph.pad(F.col("ids"), F.col("n")).alias("ids"))  # one row
     return p.select("item_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"), F.array_join(ph.mask(F.col("ids")).cast("array<string>"), "").alias("mask"))
-
-
-@query()
-def phoneme_frequency(spark, sf_dir):
-    """How often each phoneme occurs in the corpus read as Turkish: each distinct word is converted once."""
-    w = table(spark, sf_dir, "documents").select(F.explode(tx.words(F.lower("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    ids = ph.to_ids(ph.phoneme_string(F.col("word"), False))
-    counts = w.select("n", F.explode(ids).alias("id")).groupBy("id").agg(F.sum("n").alias("n"))
-    return counts.select("id", F.element_at(F.array(*map(F.lit, ph.VOCABULARY)), F.col("id") + 1).alias("phoneme"), "n")
-
-
-@query()
-def phoneme_durations(spark, sf_dir):
-    t = table(spark, sf_dir, "benchmark").withColumn("t", F.explode(ph.tokens(F.col("text"))))
-    total = F.aggregate(ph.durations(F.col("t.phonemes")), F.lit(0), lambda s, x: s + x)
-    return t.groupBy("item_id").agg(F.sum(total).alias("ms"), F.count("*").alias("n_tokens"))
