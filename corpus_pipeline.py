@@ -24,13 +24,16 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component: that of the smallest doc_id; of repeated rows, one. Components without any doc_id keep one row."""
-    key, n = fresh(docs, "_key", "_n")
-    keyed = docs.withColumn(key, row_key("doc_id", "text"))
-    classes = simhash.near_duplicates(keyed.select(key, "doc_id", "text").withColumn("_id", F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id"), F.col(key).alias("k"))), "_id", "text")
-    kept = classes.where(F.col("_id") == F.col("component_id")).select(F.col("_id")["k"].alias(key)).distinct()
-    # repeated rows go first, so that texts are dealt out by key once, for this and for the join
-    single = keyed.withColumn(n, F.row_number().over(Window.partitionBy(key).orderBy(key))).where(F.col(n) == 1)
-    return single.join(kept, key, "left_semi").select(*docs.columns)
+    high, low, n = fresh(docs, "_high", "_low", "_n")
+    key = row_key("doc_id", "text")
+    keyed = docs.withColumns({high: key["a"], low: key["b"]})
+    of_row = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id"), F.col(high).alias("a"), F.col(low).alias("b"))
+    classes = simhash.near_duplicates(keyed.select(of_row.alias("_id"), "text"), "_id", "text")
+    kept = classes.where(F.col("_id") == F.col("component_id")).select(F.col("_id")["a"].alias(high), F.col("_id")["b"].alias(low)).distinct()
+    # repeated rows go first, so that texts are dealt out by key once, for this and for the join (of two numbers: a struct would be
+    # cast, and dealt out anew, for what may be null in it)
+    single = keyed.withColumn(n, F.row_number().over(Window.partitionBy(high, low).orderBy(high))).where(F.col(n) == 1)
+    return single.join(kept, [high, low], "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
