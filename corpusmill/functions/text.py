@@ -30,14 +30,13 @@ def one_of(characters: str) -> str:
     return "".join(re.escape(c) if ord(c) < 128 else c for c in dict.fromkeys(characters))
 
 
-#: White space other than the space, as the inside of a character class; what (?U)\\s is besides.
-OTHER_SPACE = "\\t-\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: What (?U)\\s is.
 _SPACES = " \t\n\x0b\x0c\r\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def squeeze(text: Column) -> Column:
-    """Runs of white space become one space. What is one space already is no match, as most are."""
-    return F.regexp_replace(text, f"[{OTHER_SPACE}][ {OTHER_SPACE}]*| [ {OTHER_SPACE}]+", " ")
+    """Runs of white space become one space."""
+    return F.regexp_replace(text, r"(?U)\s+", " ")
 
 
 def strip(text: Column) -> Column:
@@ -91,7 +90,7 @@ def graphemes(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """The parts between white space."""
-    return F.filter(F.split(text, f"[ {OTHER_SPACE}]+"), lambda w: w != "")
+    return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
 
 
 def set_apart(text: Column, marks: str = MARKS) -> Column:
