@@ -131,9 +131,9 @@ sent0 as (select doc_id, ln, at0, size, unnest(ps) as st, unnest(list_transform(
 sent as (select doc_id, ln, at0, size, cast(start as bigint) as start, cast(start + length(st) as bigint) as stop, list_filter(string_split_regex({_LOWER.format('st')}, '[\\t-\\r ]+'), lambda w: w <> '') as w from sent0),
 full_sent as (select * from sent where len(w) > 0),
 ahead as (select doc_id, start, list(struct_pack(w := w, stop := stop)) over (partition by doc_id order by start rows between current row and 7 following) as nx from full_sent),
-ended as (select doc_id, start, nx, list_filter(range(1, len(nx) + 1), lambda k: list_sum(list_transform(nx[1:k], lambda z: len(z.w))) >= {unit_dedup.LEAST_WORDS})[1] as k from ahead),
+ended as (select doc_id, start, nx, list_filter(range(1, len(nx) + 1), lambda k: list_sum(list_transform(nx[1:k], lambda z: len(z.w))) >= {unit_dedup.LEAST_WORDS} or list_sum(list_transform(nx[1:k], lambda z: strlen(array_to_string(z.w, ' ')) + 1)) - 1 >= {unit_dedup.LEAST_BYTES})[1] as k from ahead),
 units as (select doc_id, start, nx[k].stop as stop, array_to_string(list_transform(nx[1:k], lambda z: array_to_string(z.w, ' ')), ' ') as x from ended where k is not null
- union all select doc_id, min(at0) as start, min(at0) + min(size) as stop, string_agg(array_to_string(w, ' '), ' ' order by start) as x from full_sent group by doc_id, ln having count(*) > 1 and sum(len(w)) >= {unit_dedup.LEAST_WORDS}),
+ union all select doc_id, min(at0) as start, min(at0) + min(size) as stop, string_agg(array_to_string(w, ' '), ' ' order by start) as x from full_sent group by doc_id, ln having count(*) > 1 and (sum(len(w)) >= {unit_dedup.LEAST_WORDS} or sum(strlen(array_to_string(w, ' ')) + 1) - 1 >= {unit_dedup.LEAST_BYTES})),
 firsts as (select x, min(struct_pack(d := doc_id, s := start, e := stop)) as f from units group by x),
 gone as (select distinct doc_id, case when f.d = doc_id then greatest(start, least(f.e, stop)) else start end as start, stop from units join firsts using (x) where struct_pack(d := doc_id, s := start, e := stop) <> f),
 spans as (select *, coalesce(max(stop) over (partition by doc_id order by start, stop rows between unbounded preceding and 1 preceding), 0) as done from (select distinct * from gone where start < stop)),

@@ -111,7 +111,7 @@ def test_probabilities_sum_to_one(spark):
 def test_unit_dedup(spark):
     line = "one two three four five six seven eight nine ten"
     sentence = "Here is a sentence of nine words in all."
-    rows = ODD + [(10, f"{line}\nshort line\n{sentence} And {line}."), (11, f"head\n{line.upper()}"), (12, f"Another start for it. {sentence} And the rest."), (13, f"{line}\n{line}"), (14, "Er. " * 30), (15, "Not. Er. " + "Er. " * 20), (16, "It is. So. We go. To the. Sea now. And back."), (17, "Well, it is. So. We go.\nTo the. Sea now. And back. Yes.")]
+    rows = ODD + [(10, f"{line}\nshort line\n{sentence} And {line}."), (11, f"head\n{line.upper()}"), (12, f"Another start for it. {sentence} And the rest."), (13, f"{line}\n{line}"), (14, "Er. " * 30), (15, "Not. Er. " + "Er. " * 20), (16, "It is. So. We go. To the. Sea now. And back."), (17, "Well, it is. So. We go.\nTo the. Sea now. And back. Yes."), (18, "这是一个很长的中文句子没有空格所以只有一个词"), (19, "头\n这是一个很长的中文句子没有空格所以只有一个词\n尾")]
     got = {(r.doc_id, r.text): [(s.start, s.end) for s in r.removed] for r in unit_dedup.dedup(docs(spark, rows, True)).collect()}
     first = {}
     for i, t in rows:
@@ -133,6 +133,7 @@ def test_unit_dedup(spark):
             t = kept + t[last:]
         want[(i, t, tuple(cut))] += 1
     assert Counter((i, t, tuple(s)) for (i, t), s in got.items()) == Counter(dict.fromkeys(want, 1))
+    assert got[(19, "头\n\n尾")] == [(2, 24)]
     assert got[(11, "head\n")] and (10, rows[8][1]) in got and unit_dedup.dedup(docs(spark, [])).collect() == []
 
 
