@@ -128,13 +128,23 @@ def sample_exact(frame: DataFrame, percent: float, key: str, seed: int = 0, with
     counts = made.groupBy(*within, "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*within).orderBy("_bucket")
     counts = counts.withColumn("_upto", F.sum("_n").over(before)).withColumn("_wanted", F.floor(F.sum("_n").over(Window.partitionBy(*within)) * percent / 100))
-    edges = counts.where("_upto - _n < _wanted").select(*within, "_bucket", F.greatest(F.lit(0), F.least("_n", F.col("_wanted") - (F.col("_upto") - F.col("_n")))).alias("_take"), (F.col("_upto") > F.col("_wanted")).alias("_edge"))
-    found = made.join(edges, [*within, "_bucket"])
+    edges = counts.where("_upto - _n < _wanted").select(*[F.col(c).alias(f"_of_{c}") for c in within], F.col("_bucket").alias("_of"), F.greatest(F.lit(0), F.least("_n", F.col("_wanted") - (F.col("_upto") - F.col("_n")))).alias("_take"), (F.col("_upto") > F.col("_wanted")).alias("_edge"))
+    same = F.col("_bucket") == F.col("_of")
+    for c in within:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    found = made.join(edges, same)
     rank = F.row_number().over(Window.partitionBy(*within, "_bucket").orderBy("_digest", key))
     whole, part = found.where("NOT _edge"), found.where("_edge").withColumn("_rank", rank).where("_rank <= _take").drop("_rank")
     return whole.unionByName(part).select(*frame.columns)
 
 
+def one_per_group(frame: DataFrame, group: str, key: str, seed: int = 0) -> DataFrame:
+    """A row of each group, that of the smallest seeded digest of its key."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+    rest = [c for c in frame.columns if c != group]
+    return frame.groupBy(group).agg(F.min_by(F.struct(*rest), F.struct(digest.alias("d"), key)).alias("_r")).select(group, "_r.*")
+
+
 def transcript(segments: DataFrame, by: list[str], order: str, text: str, rule: Callable[[Column], Column], paragraph: bool = True) -> DataFrame:
     """(by, text): segments in order, stripped, without blank ones, each by the rule; joined by a space or as lines."""
     said = segments.select(*by, order, tx.strip(F.col(text)).alias(text)).where(F.col(text) != "").withColumn(text, rule(F.col(text)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vectors as vc
+from ..operators import index as ix
+from ..operators.corpus import one_per_group
 from .registry import query, table
 
 _E = "cast(embedding as double[])"
@@ -100,7 +102,16 @@ def code_length(spark, sf_dir):
     return _vectors(spark, sf_dir).select("vec_id", F.when(at > 0, at - 1).otherwise(F.size("x")).cast("int").alias("code_len"), F.exists("x", F.isnan).alias("has_nan"))
 
 
-@query()
+def _impulse(n: int) -> list[float]:
+    """The first n values that the filter answers one with."""
+    b, a = vc.high_pass()
+    out: list[float] = []
+    for i in range(n):
+        out.append(float((b[i] if i < len(b) else 0.0) - sum(a[j] * out[i - j] for j in range(1, min(i, len(a) - 1) + 1))))
+    return out
+
+
+@query(f"with h as (select list_reverse({_list(map(repr, _impulse(64)))}) as h), y as (select vec_id, list_transform(range(1, len(embedding) + 1), lambda n: list_dot_product({_E}[1:n], h[65 - n:64])) as y from embeddings, h) select vec_id, round(list_dot_product(y, y), 9) as energy from y")
 def high_pass(spark, sf_dir):
     b, a = vc.high_pass()
     y = vc.filtered(F.col("x"), b, a)
@@ -111,3 +122,60 @@ def high_pass(spark, sf_dir):
 def layer_shapes(spark, sf_dir):
     n = F.size("x").cast("long")
     return _vectors(spark, sf_dir).select("vec_id", (n - 1).alias("vocab"), (n - 3).alias("mel"))
+
+
+@query("select label, arg_min(vec_id, md5('7:' || vec_id)) as vec_id from embeddings group by label")
+def random_per_group(spark, sf_dir):
+    return one_per_group(_vectors(spark, sf_dir).select("label", "vec_id"), "label", "vec_id", 7)
+
+
+_SAYS = "[" + ", ".join(f"'{w}'" for w in vc.MELANCHOLIC) + "]"
+_NAMED = f"len(list_filter({_SAYS}, lambda w: contains(lower(text || ' ' || case when doc_id % 2 = 0 then upper({_SAYS}[doc_id // 2 % 14 + 1]) else 'calm' end), w))) > 0"
+
+
+@query(f"with n as (select doc_id, {_NAMED.replace('upper(', '(')} as named from documents) select doc_id, case when named then 5 else 2 end as sad, case when named then 2 else 5 end as melancholic from n")
+def melancholic_swap(spark, sf_dir):
+    """Texts that name melancholy have sad and melancholic change places."""
+    word = F.element_at(F.array(*map(F.lit, vc.MELANCHOLIC)), (F.floor(F.col("doc_id") / 2) % 14 + 1).cast("int"))
+    text = F.concat_ws(" ", "text", F.when(F.col("doc_id") % 2 == 0, word).otherwise("calm"))
+    s = vc.melancholic(F.array(*map(F.lit, range(8))), text)
+    return table(spark, sf_dir, "documents").select("doc_id", F.element_at(s, 3).alias("sad"), F.element_at(s, 6).alias("melancholic"))
+
+
+@query(f"with m as (select vec_id, list_transform(list_zip({_E}[1:32], {_E}[33:64]), lambda z: (z[1] + z[2]) / 2) as m from embeddings) select vec_id, cast(len(m[1:20]) as integer) as n, round(list_sum(m[1:20]), 6) as total from m")
+def mono_truncated(spark, sf_dir):
+    """Two channels as their mean, cut to half a second of 40 samples a second."""
+    m = vc.truncated(vc.mono(F.array(F.slice("x", 1, 32), F.slice("x", 33, 32))), 40, 0.5)
+    v = _vectors(spark, sf_dir).select("vec_id", m.alias("m"))
+    return v.select("vec_id", F.size("m").alias("n"), F.round(vc.total(F.col("m")), 6).alias("total"))
+
+
+@query(f"select vec_id, len(embedding) - vec_id % 8 >= 60 and list_max(list_transform({_E}[1:len(embedding) - vec_id % 8], lambda v: abs(v * 10))) <= 2.5 as usable from embeddings")
+def usable_waves(spark, sf_dir):
+    w = F.transform(F.slice(F.col("x"), F.lit(1), (F.size("x") - F.col("vec_id") % 8).cast("int")), lambda v: v * 10)
+    return _vectors(spark, sf_dir).select("vec_id", vc.usable(w, 40).alias("usable"))
+
+
+@query("select 66150 as samples, cast(0 as double) as loudest, 300 as frames, 256 as size")
+def silence_templates(spark, sf_dir):
+    """Three seconds of nothing, and frames of it."""
+    row = spark.range(1).select(vc.silence(22050, 3000).alias("s"), vc.silent_frames(300, 256).alias("f"))
+    return row.select(F.size("s").alias("samples"), F.array_max("s").alias("loudest"), F.size("f").alias("frames"), F.size(F.element_at("f", 1)).alias("size"))
+
+
+_NEAR = f"c as (select row_number() over (order by md5('0:' || vec_id), vec_id) - 1 as list, x from v qualify list < (select greatest(1, least(floor(16 * sqrt(count(*))), count(*) // 39)) from v))"
+
+
+@query(f"with v as (select vec_id, {_E} as x from embeddings), {_NEAR}, d as (select v.vec_id, c.list, list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as d from v cross join c) select vec_id, cast(arg_min(list, struct_pack(d := d, l := list)) as integer) as list from d group by vec_id")
+def ivf_assign(spark, sf_dir):
+    """Every vector's list, before the centroids are trained."""
+    v = _vectors(spark, sf_dir)
+    return ix.assign(v, ix.first_centroids(v, ix.lists_of(v), "vec_id", "x"), "x").select("vec_id", "list")
+
+
+@query()
+def ivf_search(spark, sf_dir):
+    """The nearest neighbour of every hundredth vector by a trained index of all vectors, ten lists a query."""
+    v = _vectors(spark, sf_dir)
+    centroids = ix.train(v, "vec_id", "x", ix.lists_of(v), 3)
+    return ix.search(ix.assign(v, centroids, "x"), centroids, v.where("vec_id % 100 = 0"), "vec_id", "x", 1, 10)
