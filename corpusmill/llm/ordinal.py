@@ -8,7 +8,7 @@ The model is fitted on a bounded sample of the labelled rows (`sample` rows and
 their ids; of several texts of an id the least), everything else reads all rows. Near copies among the sample (Jaccard of features 0.8 or more, of one grade) count once; the model tells how many
 rows it was fitted on. Grades are 0, 1, 2 ...; a label of only 0 and 1 is first spread to three
 grades: of the rows labelled 1, those with more indicative words than the median, measured by the root of how many words a text
-has, are grade 2.
+has, are grade 2. After the fit the thresholds move together, to where the lowest grade is told apart best in the sample.
 
 Null and empty texts have no features and get the grade of the thresholds alone, which is the lowest when most rows are of it.
 Null ids or labels are not used for fitting. Without labelled rows of two grades every row gets severity 0 and nothing is
@@ -107,6 +107,24 @@ def _without_copies(rows: list[np.ndarray], grades: list[int], least: float = 0.
     return sorted(i for x in kept.values() for i in x)
 
 
+def _boundary(scores: np.ndarray, clean: np.ndarray, fitted: float, cost: float = 10.0) -> float:
+    """The score that separates the lowest grade best: the share of the others above it less `cost` times that of the lowest, midway
+    of the widest gap that does so; the fitted threshold if no score does. A ridge draws scores together, and the fitted threshold with
+    them. Where most rows are of the lowest grade, a text without features stays so."""
+    order = np.argsort(scores, kind="stable")
+    s, low = scores[order], clean[order]
+    gain = np.cumsum(low) * cost / max(low.sum(), 1) - np.cumsum(~low) / max((~low).sum(), 1)  # up to a constant, below each place
+    edges = np.flatnonzero(np.diff(s) > 1e-9)
+    middles = (s[edges] + s[edges + 1]) / 2
+    if low.mean() >= 0.5:
+        edges, middles = edges[middles > 0], middles[middles > 0]
+    if not len(edges) or gain[edges].max() <= gain[-1] + 1e-12:
+        return fitted
+    best = edges[gain[edges] >= gain[edges].max() - 1e-12]
+    widest = best[np.argmax(s[best + 1] - s[best])]
+    return float((s[widest] + s[widest + 1]) / 2)
+
+
 def fit(texts: list[bytes], grades: list[int], least_docs: int = 5, least_z: float = 4.0, steps: int = 400, ridge: float = 3e-4) -> Model:
     """Maximum likelihood with a ridge, by Adam over all rows."""
     pairs = sorted(zip(texts, grades))
@@ -151,6 +169,11 @@ def fit(texts: list[bytes], grades: list[int], least_docs: int = 5, least_z: flo
         params = params - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
     w, cut = params[: len(names)], params[len(names) :]
     thresholds = cut[0] + np.concatenate([[0], np.cumsum(np.exp(cut[1:]))])
+    score = np.bincount(doc, w[col], len(rows))
+    thresholds += _boundary(score, y == 0, thresholds[0]) - thresholds[0]
+    # a ridge draws scores together too: they are stretched as far as makes the sample likelier
+    stretch = max((1.0, 1.5, 2.0, 3.0, 4.0), key=lambda a: np.log(np.maximum(Model(thresholds=list(a * thresholds)).probabilities(a * score)[np.arange(len(y)), y], 1e-12)).sum())
+    w, thresholds = w * stretch, thresholds * stretch
     return Model({int(n): float(x) for n, x in zip(names, w)}, [float(x) for x in thresholds], len(rows))
 
 

@@ -38,3 +38,14 @@ def test_longer_texts_are_no_more_toxic():
     texts = [make(60 if i % 8 else 400, (i % 4 == 0) * (1 + i % 3)) for i in range(600)]
     model = ordinal.fit(texts, grades)
     assert model.fitted == 600 and len(model.thresholds) == 2 and model.thresholds[0] < model.thresholds[1]
+
+
+def test_boundary_lies_between_the_grades():
+    import numpy as np
+
+    clean = np.array([True] * 90 + [False] * 10)
+    scores = np.concatenate([np.linspace(0, 1, 90), np.linspace(1.4, 3, 10)])
+    assert 1.19 < ordinal._boundary(scores, clean, 2.5) < 1.21  # a fitted threshold of 2.5 would let half of the others pass
+    assert ordinal._boundary(np.zeros(100), clean, 0.7) == 0.7  # nothing tells them apart
+    scores[:3] = 3.5  # three clean rows far above cost more than they bring
+    assert ordinal._boundary(scores, clean, 0.7) in (0.7, (3 + 3.5) / 2) or ordinal._boundary(scores, clean, 0.7) > 1
