@@ -99,6 +99,6 @@ def synced(settings: DataFrame, size: str, wanted: Column) -> DataFrame:
     return settings.withColumn("changed", had != wanted).withColumn(size, wanted)
 
 
-def case_of(tokenizer: Column, case: Column) -> Column:
-    """The case that a tokenizer is fed with: what is asked for by the own kind, capitals by any other."""
-    return F.when(tokenizer == "itts-tr", F.coalesce(case, F.lit("lowercase"))).otherwise("uppercase")
+def case_of(own: Column, case: Column) -> Column:
+    """The case that a tokenizer is fed with: what is asked for by one of the own kind, capitals by any other."""
+    return F.when(own, F.coalesce(case, F.lit("lowercase"))).otherwise("uppercase")

@@ -73,7 +73,7 @@ def project_discovery(spark, sf_dir):
 @query("select doc_id, coalesce(case when doc_id % 3 > 0 then 4000 * (doc_id % 3) end, 12000) <> 8000 as changed, 8000 as size, case when doc_id % 2 = 0 then case when doc_id % 4 = 0 then 'lowercase' else 'titlecase' end else 'uppercase' end as case_format from documents")
 def config_sync(spark, sf_dir):
     k = F.col("doc_id")
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.when(k % 3 > 0, 4000 * (k % 3)).cast("int").alias("size"), cat.case_of(F.when(k % 2 == 0, "itts-tr").otherwise("indextts"), F.when(k % 4 != 0, "titlecase")).alias("case_format"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.when(k % 3 > 0, 4000 * (k % 3)).cast("int").alias("size"), cat.case_of(k % 2 == 0, F.when(k % 4 != 0, "titlecase")).alias("case_format"))
     return cat.synced(rows, "size", F.lit(8000))
 
 
