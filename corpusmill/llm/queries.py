@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, editcount, hpylm, ordinal, quotes, secrets, simhash, topk, unit_dedup
+from . import audit, bpe, decontam, editcount, hpylm, ordinal, quotes, repair, secrets, simhash, topk, unit_dedup
 from .common import table
 
 
@@ -83,6 +83,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return editcount.count_with_edits(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), table(spark, sf_dir, "labels"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repair.repair(repair.damage(table(spark, sf_dir, "conversations")))
+    return out.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.sha2("repaired", 256).alias("repaired_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -96,6 +105,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_decontamination,
         op9_byte_bpe,
         op10_token_counts,
+        op11_filter_audit,
+        op13_conversation_repair,
     )
 }
 _ASSIGN = secrets.KINDS["assign"][0].replace("'", "''")
@@ -110,6 +121,8 @@ _MATCHES = " union all ".join(
     f"select doc_id, source, lang, {k} as kind, '{name}' as name, string_split_regex(text, '{p}') as b, regexp_extract_all(text, '{p}', 0) as w, regexp_extract_all(text, '{p}', {g}) as v from documents" for k, (name, (p, g, _)) in enumerate(_SECRETS.items())
 )
 _FITS = " or ".join(f"(kind = {k} and {c})" for k, (_, _, c) in enumerate(_SECRETS.values()))
+_STATE = lambda cost, audit: f"{{'c': {cost}, 'a': {audit}}}"
+_PLUS = lambda state, cost, initial: _STATE(f"{state}.c + {cost}", f"{state}.a || {initial}")
 _END = "[.!?]+[ \\t\\x0b\\x0c\\r]+"
 _LOWER = f"translate({{}}, '{''.join(map(chr, range(65, 91)))}', '{''.join(map(chr, range(97, 123)))}')"
 _WORDS = f"regexp_extract_all({_LOWER.format('text')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -149,4 +162,34 @@ occ as (select distinct doc_id, i, a.n, item_id from (select doc_id, n, i, array
 hit as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from occ) group by doc_id),
 its as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, cast(item_id as varchar) as item from occ) group by doc_id)
 select d.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated from d left join hit using (doc_id) left join its using (doc_id)""",
+    "op11_filter_audit": """with t as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text from documents),
+w as (select *, list_filter(string_split_regex(text, '[\\t-\\r ]+'), lambda x: x <> '') as w, min(doc_id) over (partition by text) as least from t),
+f as (select doc_id, part, [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w), 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text), regexp_matches(text, '[#$%&*|]'), coalesce(doc_id > least, false)] as f from w),
+l as (select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as bad from labels group by doc_id),
+c as (select part, f, count(*) as n, count(*) filter (where good) as g, count(*) filter (where bad) as x from f left join l using (doc_id) group by part, f),
+z as (select unnest(['A', 'B', 'C', 'D', 'E']) as z), orders as (select a.z || b.z || c.z || d.z || e.z as o from z a, z b, z c, z d, z e where len(list_distinct([a.z, b.z, c.z, d.z, e.z])) = 5),
+r as (select part, o, step, n, g, x, f[ascii(o[step]) - 64] as here, len(list_filter(range(1, step), lambda i: f[ascii(o[i]) - 64])) > 0 as before, len(list_filter(f, lambda b: b)) = 1 as single from c, orders, (select unnest(range(1, 6)) as step)),
+s as (select part, o as filter_order, cast(step as integer) as step, coalesce(sum(n) filter (where not here and not before), 0) as kept, coalesce(sum(n) filter (where here and not before), 0) as removed, coalesce(sum(n) filter (where here and before), 0) as redundant, coalesce(sum(n) filter (where here and single), 0) as unique_fails, coalesce(sum(g) filter (where here and not before), 0) as good_lost, coalesce(sum(x) filter (where here and not before), 0) as toxic_lost from r group by part, o, step)
+select part, filter_order, step, kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant, unique_fails::bigint as unique_fails, good_lost::bigint as good_lost, toxic_lost::bigint as toxic_lost, cast(sum(removed) over (partition by part, filter_order[step]) as bigint) as shapley from s""",
+    "op13_conversation_repair": f"""with recursive tbl as (select list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end)) as t),
+k as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as key from conversations),
+x as (select k.*, xor(list_reduce(list_concat([4294967295], list_transform(string_split(key, ''), lambda c: ascii(c)::bigint)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 20 as x from k, tbl),
+d as (select conv_id, turn, case x when 4 then 'user' else role end as role, case x when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(range(0, case x when 0 then 0 when 3 then 2 else 1 end)) as copy from x),
+o as (select conv_id, turn, role, text, role[1] as f, row_number() over c as place, lag(role[1]) over c as before, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))[-1] as e from d window c as (partition by conv_id order by turn nulls first, role, text)),
+g as (select *, row_number() over (partition by conv_id, role, text order by place) > 1 as again from o),
+p as (select *, case when e = '' then 'b' when again then 'd' when e not in ('.', '!', '?') then 't' else '' end as fault, case when e not in ('', '.', '!', '?') and not again then 5 else 0 end as extra from g),
+q as (select *, fault not in ('b', 'd') as stays, case when f = 'u' then {_STATE('extra', "'K'")} else {_STATE('extra + 1', "'R'")} end as tou, case when f = 'a' then {_STATE('extra', "'K'")} else {_STATE('extra + 1', "'R'")} end as toa from p),
+ids as (select distinct conv_id from conversations),
+fold(conv_id, place, n, s, u, a) as (select conv_id, 0::bigint, {_STATE('0::bigint', "''")}, {_STATE('1099511627776', "''")}, {_STATE('5::bigint', "'I'")}, {_STATE('10::bigint', "'II'")} from ids union all
+ select conv_id, place, n, s, u, list_min([a, {_PLUS('u', 5, "'I'")}]) from (select conv_id, place, n, s, list_min([u, {_PLUS('n', 5, "'I'")}, {_PLUS('s', 5, "'I'")}, {_PLUS('a', 5, "'I'")}]) as u, a from
+ (select q.conv_id, q.place, {_PLUS('n', 2, "'D'")} as n, list_min([{_PLUS('s', 2, "'D'")}] || case when stays and q.f = 's' then [{_PLUS('n', 'extra', "'K'")}] else [] end) as s,
+ list_min([{_PLUS('u', 2, "'D'")}] || case when stays then [{_PLUS('n', 'tou.c', 'tou.a')}, {_PLUS('s', 'tou.c', 'tou.a')}, {_PLUS('a', 'tou.c', 'tou.a')}] else [] end) as u, list_min([{_PLUS('a', 2, "'D'")}] || case when stays then [{_PLUS('u', 'toa.c', 'toa.a')}] else [] end) as a
+ from fold join q on q.conv_id is not distinct from fold.conv_id and q.place = fold.place + 1))),
+best as (select conv_id, place as turns, list_min([n, a]) as b from fold qualify row_number() over (partition by conv_id order by place desc) = 1),
+ch as (select conv_id, i, b.a[i] as ch, sum((b.a[i] <> 'I')::int) over e as place, sum((b.a[i] <> 'D')::int) over e as j from (select conv_id, b, unnest(range(1, length(b.a) + 1)) as i from best) window e as (partition by conv_id order by i)),
+ln as (select ch.conv_id, i, ch, j, coalesce(bool_or(j = 1 and ch = 'K' and f = 's') over (partition by ch.conv_id), false) as led, role, text from ch left join q on q.conv_id is not distinct from ch.conv_id and q.place = ch.place),
+said as (select conv_id, string_agg(case when ch = 'K' then role || ':' || text else (case when (j - led::int) % 2 = 1 then 'user:' else 'assistant:' end) || case when ch = 'R' then text else '' end end, chr(10) order by i) as repaired from ln where ch <> 'D' group by conv_id),
+n as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (where fault = 'b') as blank, count(*) filter (where fault = 'd') as duplicate, count(*) filter (where fault = 't') as truncated, count(*) filter (where before || f not in ('su', 'ua', 'au')) as illegal from p group by conv_id)
+select best.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, b.c::bigint as cost, b.a as audit, sha256(coalesce(repaired, '')) as repaired_sha256
+from best left join n on n.conv_id is not distinct from best.conv_id left join said on said.conv_id is not distinct from best.conv_id""",
 }
