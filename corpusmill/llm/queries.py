@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, bpe, decontam, editcount, hpylm, ordinal, quotes, repair, secrets, simhash, topk, unit_dedup
+from . import audit, bpe, decontam, editcount, hpylm, hyperminhash, ordinal, quotes, repair, secrets, simhash, topk, unit_dedup
 from .common import table
 
 
@@ -87,6 +87,11 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), table(spark, sf_dir, "labels"))
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = hyperminhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repair.repair(repair.damage(table(spark, sf_dir, "conversations")))
     return out.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.sha2("repaired", 256).alias("repaired_sha256"))
@@ -106,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_byte_bpe,
         op10_token_counts,
         op11_filter_audit,
+        op12_minhash,
         op13_conversation_repair,
     )
 }
@@ -171,6 +177,12 @@ z as (select unnest(['A', 'B', 'C', 'D', 'E']) as z), orders as (select a.z || b
 r as (select part, o, step, n, g, x, f[ascii(o[step]) - 64] as here, len(list_filter(range(1, step), lambda i: f[ascii(o[i]) - 64])) > 0 as before, len(list_filter(f, lambda b: b)) = 1 as single from c, orders, (select unnest(range(1, 6)) as step)),
 s as (select part, o as filter_order, cast(step as integer) as step, coalesce(sum(n) filter (where not here and not before), 0) as kept, coalesce(sum(n) filter (where here and not before), 0) as removed, coalesce(sum(n) filter (where here and before), 0) as redundant, coalesce(sum(n) filter (where here and single), 0) as unique_fails, coalesce(sum(g) filter (where here and not before), 0) as good_lost, coalesce(sum(x) filter (where here and not before), 0) as toxic_lost from r group by part, o, step)
 select part, filter_order, step, kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant, unique_fails::bigint as unique_fails, good_lost::bigint as good_lost, toxic_lost::bigint as toxic_lost, cast(sum(removed) over (partition by part, filter_order[step]) as bigint) as shapley from s""",
+    "op12_minhash": f"""with recursive w as (select doc_id, list_filter(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[\\t-\\r ]+'), lambda x: x <> '') as w from documents),
+g as (select distinct doc_id, unnest(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(w[i : i + 2], ' '))) as g from w where len(w) > 0), n as (select doc_id, count(*) as n from g group by doc_id),
+meet as (select a.doc_id as a, b.doc_id as b, count(*) as c from g a join g b on a.g = b.g and a.doc_id < b.doc_id group by all),
+link as (select a, b from meet join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)), way as (select a, b from link union all select b, a from link),
+reach(d, e) as (select doc_id, doc_id from documents union select d, b from reach join way on a = e),
+c as (select d, min(e) as component_id from reach group by d) select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id as kept from documents join c on d = doc_id left join n using (doc_id)""",
     "op13_conversation_repair": f"""with recursive tbl as (select list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end)) as t),
 k as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as key from conversations),
 x as (select k.*, xor(list_reduce(list_concat([4294967295], list_transform(string_split(key, ''), lambda c: ascii(c)::bigint)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 20 as x from k, tbl),
