@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as vc
 from ..operators import index as ix
 from ..operators.corpus import one_per_group
+from ..session import delete, own_folder, settled
 from .registry import query, table
 
 _E = "cast(embedding as double[])"
@@ -173,9 +174,17 @@ def ivf_assign(spark, sf_dir):
     return ix.assign(v, ix.first_centroids(v, ix.lists_of(v), "vec_id", "x"), "x").select("vec_id", "list")
 
 
-@query()
+_NEIGHBOURS = f"with v as (select vec_id, {_E} as x from embeddings), d as (select q.vec_id as query, v.vec_id, list_sum(list_transform(list_zip(q.x, v.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as distance from v q join v on q.vec_id <> v.vec_id where q.vec_id % 100 = 0)"
+
+
+@query(f"{_NEIGHBOURS} select query, cast(rank as integer) as rank, vec_id, round(distance, 6) as distance from (select *, row_number() over (partition by query order by distance, vec_id) as rank from d) where rank <= 3")
 def ivf_search(spark, sf_dir):
-    """The nearest neighbour of every hundredth vector by a trained index of all vectors, ten lists a query."""
+    """The three nearest neighbours of every hundredth vector, by a trained index of all vectors on disk."""
     v = _vectors(spark, sf_dir)
-    centroids = ix.train(v, "vec_id", "x", ix.lists_of(v), 3)
-    return ix.search(ix.assign(v, centroids, "x"), centroids, v.where("vec_id % 100 = 0"), "vec_id", "x", 1, 10)
+    folder = own_folder(spark, "index")
+    try:
+        indexed, lists = ix.write(v, ix.train(v, "vec_id", "x", ix.lists_of(v), 3), "vec_id", "x", folder)
+        found = settled(ix.search(indexed, lists, v.where("vec_id % 100 = 0"), "vec_id", "x", 3))
+    finally:
+        delete(spark, folder)
+    return found.select("query", "rank", "vec_id", F.round("distance", 6).alias("distance"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,3 +41,13 @@ def sql(spark: SparkSession, sf_dir: str, text: str, **args) -> DataFrame:
     """Runs text, in which {name} is a table of sf_dir and :name a bound value. Errors are raised."""
     frames = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in set(re.findall(r"\{(\w+)\}", text))}
     return spark.sql(text, args=args, **frames) if frames else spark.sql(text, args=args)
+
+
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -16,5 +16,5 @@ def test_rhyme_classes(spark, tmp_path):
     assert set(rows) == {w for w in words if split[w]}
     for a, b in itertools.permutations(rows, 2):
         want = sum(1 for _ in itertools.takewhile(lambda p: p[0] == p[1], zip(reversed(split[a]), reversed(split[b]))))
-        assert sum(x == y for x, y in zip(rows[a].tails, rows[b].tails)) == want
+        assert sum(x == y for x, y in zip(rows[a].tails.split(" "), rows[b].tails.split(" "))) == want
         assert (rows[a].rhyme == rows[b].rhyme) == (want > 0)
