@@ -7,14 +7,14 @@ bucket's own, so that any registers agree with about the sets' Jaccard similarit
 85 % shares no band in less than one of a million cases, a pair at 90 % in one of ten billion.
 
 Equal sets are one row throughout. In the groups that bands make no pairs are listed:
-1. The set whose groups are fullest leads a group: in a family of copies, the original. Each set goes to the leader that is nearest by
-   estimate, if that is near enough to be linked but for five deviations. Estimate: of the buckets that either fills, the share of
-   equal registers, less what sets of these sizes agree on by chance.
+1. The set whose groups are fullest leads a group: in a family of copies, the original. Of the leaders that are half alike by estimate, a
+   set goes to that of the fullest groups, so that a family comes together at one. Estimate: of the buckets that either fills, the
+   share of equal registers, less what sets of these sizes agree on by chance.
 2. Texts are dealt out to their leaders, hot leaders to many tasks, and compared as full sets. What a set lacks of its leader's set, and
    has besides, is kept.
 3. Sets of one leader that are not linked yet are compared, in blocks, by these differences; they give the exact intersection.
 4. Sets of one band but of different leaders and components are listed if their sizes, 256 bits of the registers, and then the estimate
-   allow a link; their full sets decide.
+   allow a link but for five deviations; their full sets decide.
 
 Links are confirmed on full sets. Null and empty texts have an empty set, are linked with nothing, and are each their own component.
 Repeated rows share a set and so a component. Rows without an id take part in linking, but give no component its id; where no row has
@@ -37,8 +37,8 @@ SHINGLE, SEED, PERCENT = 3, 12, 85
 BUCKET_BITS, MANTISSA_BITS = 8, 10
 BAND_ROWS, BANDS = 7, 36
 DEVIATIONS = 5
-#: Sets of a leader in one task, and in a block.
-STAR, BLOCK = 1000, 512
+#: How alike a set and its leader are; sets of a leader in one task, and in a block.
+ALIKE, STAR, BLOCK = 0.5, 1000, 512
 _BUCKETS, _REST, _EMPTY = 1 << BUCKET_BITS, 64 - BUCKET_BITS, 0xFFFF
 _J = PERCENT / 100
 
@@ -111,11 +111,11 @@ def estimates(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> tup
     return (equal - chance) / np.maximum(either - chance, 0.5), either
 
 
-def may_link(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether pairs may be linked, by sizes and estimate, and the estimate."""
+def may_link(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether pairs may be linked, by sizes and estimate."""
     j, either = estimates(x, y, n, m)
     sizes = 100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)
-    return sizes & (j >= _J - DEVIATIONS * np.sqrt(_J * (1 - _J) / np.maximum(either, 1))), j
+    return sizes & (j >= _J - DEVIATIONS * np.sqrt(_J * (1 - _J) / np.maximum(either, 1)))
 
 
 def _table(column: pa.Array) -> np.ndarray:
@@ -156,17 +156,18 @@ def bands(sets: DataFrame) -> DataFrame:
     return sets.select("s", "regs").mapInArrow(run, "k long, s binary")
 
 
-def estimated(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(x, y, j): the pairs (x, y) of digests that may be linked, with the estimate."""
+def estimated(pairs: DataFrame, sets: DataFrame, least: float | None = None) -> DataFrame:
+    """The pairs (x, y) of digests that may be linked; or those of an estimate of `least` or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                ok, j = may_link(_table(batch.column(2)), _table(batch.column(3)), *(batch.column(i).to_numpy() for i in (4, 5)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(j)], ["x", "y", "j"]).filter(pa.array(ok))
+                sides = [*map(_table, batch.columns[2:4]), *(c.to_numpy() for c in batch.columns[4:])]
+                ok = may_link(*sides) if least is None else estimates(*sides)[0] >= least
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["x", "y"]).filter(pa.array(ok))
 
     side = lambda k: sets.select(F.col("s").alias(k), F.col("regs").alias(f"r{k}"), F.col("n").alias(f"n{k}"))
-    return pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "rx", "ry", "nx", "ny").mapInArrow(run, "x binary, y binary, j double")
+    return pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "rx", "ry", "nx", "ny").mapInArrow(run, "x binary, y binary")
 
 
 _COMPARED = "y binary, x binary, ny long, nx long, same long, lacks array<long>, besides array<long>"
@@ -267,9 +268,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scores = members.groupBy("s").agg(F.sum("crowd").alias("score"))
     leaders = members.join(scores, "s").groupBy("k").agg(F.max(F.struct("score", "s")).alias("m")).select("k", F.col("m")["s"].alias("y"))
     pairs = members.join(leaders, "k").where("s <> y").select(F.col("s").alias("x"), "y").distinct()
-    nearest = estimated(pairs, sets).groupBy("x").agg(F.max(F.struct("j", "y")).alias("m")).select("x", F.col("m")["y"].alias("y"))
-    nearest = settle(nearest)
-    stars = settle(compared(nearest, sets, docs, id_col, text_col, True))
+    alike = estimated(pairs, sets, ALIKE).join(scores.withColumnRenamed("s", "y"), "y")
+    chosen = settle(alike.groupBy("x").agg(F.max(F.struct("score", "y")).alias("m")).select("x", F.col("m")["y"].alias("y")))
+    stars = settle(compared(chosen, sets, docs, id_col, text_col, True))
     edges = stars.where(linked(F.col("same"), F.col("nx"), F.col("ny"))).select("x", "y")
 
     def of_comp(found: DataFrame) -> DataFrame:
@@ -284,7 +285,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # what is left: sets of one band, of different components and leaders
     placed = with_comp(members, "s", "comp")
     split = placed.groupBy("k").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("k")
-    led = placed.join(split, "k").join(nearest.select(F.col("x").alias("s"), F.col("y").alias("lead")), "s", "left").withColumn("lead", F.coalesce("lead", "s"))
+    led = placed.join(split, "k").join(chosen.select(F.col("x").alias("s"), F.col("y").alias("lead")), "s", "left").withColumn("lead", F.coalesce("lead", "s"))
     led = led.join(sets.select("s", "n", "f0", "f1", "f2", "f3"), "s").drop("crowd")
     other = led.select("k", *[F.col(c).alias(f"{c}_") for c in led.columns if c != "k"])
     differ = sum((F.bit_count(F.col(f"f{i}").bitwiseXOR(F.col(f"f{i}_"))) for i in range(4)), F.lit(0))
@@ -292,7 +293,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     limit = 128 * (1 - _J + (DEVIATIONS + 1) * F.sqrt(F.lit(_J * (1 - _J)) / F.least(fewer, F.lit(_BUCKETS))))
     unseen = (F.col("comp") != F.col("comp_")) & (F.col("lead") != F.col("lead_")) & (F.col("lead") != F.col("s_")) & (F.col("lead_") != F.col("s"))
     rest = led.join(other, "k").where((F.col("s") < F.col("s_")) & unseen & (100 * fewer >= PERCENT * larger) & (differ <= limit))
-    last = settle(estimated(rest.select(F.col("s").alias("x"), F.col("s_").alias("y")).distinct(), sets).select("x", "y"))
+    last = settle(estimated(rest.select(F.col("s").alias("x"), F.col("s_").alias("y")).distinct(), sets))
     found = compared(last, sets, docs, id_col, text_col, False).where(linked(F.col("same"), F.col("nx"), F.col("ny"))).select("x", "y")
     comp = of_comp(edges.unionByName(found))
     rooted = with_comp(sets.select("s", "least"), "s", "root")
