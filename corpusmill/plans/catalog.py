@@ -89,7 +89,8 @@ def compare_words(spark, sf_dir):
     """Neighbours in the alphabet: their syllables, stress and vowels."""
     from ..operators.vocab import numbered
 
-    w = numbered(_vocab(spark, sf_dir), F.col("word")).select("place", F.col("word").alias("a"), sy.syllables(F.col("word")).alias("x"))
-    b = w.select((F.col("place") - 1).alias("place"), F.col("a").alias("b"), F.col("x").alias("y"))
-    out = w.join(b, "place").select(sy.compare(F.col("a"), F.col("b"), F.col("x"), F.col("y")).alias("c")).select("c.*")
+    cut = _vocab(spark, sf_dir).withColumn("s", sy.syllables(F.col("word")))
+    w = numbered(cut.select("word", sy.traits(F.col("word"), F.col("s")).alias("t")), F.col("word"))
+    b = w.select((F.col("place") - 1).alias("place"), F.col("word").alias("word2"), F.col("t").alias("u"))
+    out = w.join(b, "place").select(*sy.compared(F.col("word"), F.col("word2"), F.col("t"), F.col("u")))
     return out.withColumns({n: F.array_join(n, "-") for n in ("syllables1", "syllables2")})

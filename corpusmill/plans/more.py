@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import phonemes as ph
@@ -11,8 +9,11 @@ from ..functions import syllables as sy
 from ..functions import text as tx
 from ..operators import corpus as c
 from ..operators import segments as sg
-from ..session import shared_folder
+from ..session import delete, own_folder, settled
+from ..sources.store import Store
 from ..streaming import incremental as inc
+from ..streaming import stages
+from .corpus import _WORDS
 from .registry import query, set_apart, table, words
 
 
@@ -78,9 +79,46 @@ def phoneme_round_trip(spark, sf_dir):
 def incremental_counts(spark, sf_dir):
     """The same counts as at once, by a stream that takes the files there are and ends."""
     docs = table(spark, sf_dir, "documents")
-    base = f"{shared_folder(spark)}/incremental-{uuid.uuid4().hex}"
-    inc.ingest(spark, f"{sf_dir}/documents.parque*", docs.schema, f"{base}/counts", f"{base}/state", lambda b: c.dedup_count(b, "lang", "text"))
-    return inc.counts(spark, f"{base}/counts", ["lang", "text"])
+    base = own_folder(spark, "incremental")
+    try:
+        inc.ingest(spark, f"{sf_dir}/documents.parque*", docs.schema, f"{base}/counts", f"{base}/state", lambda b: c.dedup_count(b, "lang", "text"))
+        return settled(inc.counts(spark, f"{base}/counts", ["lang", "text"]))
+    finally:
+        delete(spark, base)
+
+
+@query(f"with {_WORDS} select lang, word, frequency from freq")
+def staged_words(spark, sf_dir):
+    """Words by stages that are stopped after their first batch and taken up again."""
+    base = own_folder(spark, "stages")
+    run = stages.Stages(spark, f"{sf_dir}/documents.parque*", table(spark, sf_dir, "documents").schema, base, stages.corpus_stages(), buckets=16)
+    try:
+        run.run(lambda *_: run.stop())
+        run.resume()
+        run.run()
+        return settled(run.store("words").read())
+    finally:
+        delete(spark, base)
+
+
+_PARTS = "select lang, text, count(*) as n from documents where {} group by all"
+
+
+@query(f"with old as ({_PARTS.format('doc_id % 2 = 0')}), new as ({_PARTS.format('doc_id % 2 <> 0 or doc_id % 3 = 0')}), both as (select lang, text, cast(sum(n) as bigint) as n from (select * from old union all select * from new) group by all) select lang, text, case when n > 1 then -n else n end as n from both".replace("both", "twice"))
+def stored_upserts(spark, sf_dir):
+    """Counts of texts in a stored table: two upserts, the second twice with one token, and an update of what was counted more than once."""
+    d = table(spark, sf_dir, "documents")
+    part = lambda rows: d.where(rows).groupBy("lang", "text").agg(F.count("*").alias("n"))
+    folder = own_folder(spark, "upserts")
+    try:
+        store = Store(spark, folder).create("lang string, text string, n long", ["lang", "text"], 16)
+        store.upsert(part("doc_id % 2 = 0"), add=["n"], token=("half", 0))
+        for _ in range(2):
+            store.upsert(part("doc_id % 2 <> 0 or doc_id % 3 = 0"), add=["n"], token=("half", 1))
+        store.update(F.col("n") > 1, n=-F.col("n"))
+        return settled(store.read())
+    finally:
+        delete(spark, folder)
 
 
 @query("select time_bucket(interval 1 hour, ts) as start, event_type as tag, count(*) as n, round(avg(value), 6) as mean from events group by all")
