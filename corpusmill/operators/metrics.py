@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -25,6 +25,16 @@ def _block(step: str, block: int) -> Column:
     return F.floor(F.col(step) / block)
 
 
+def numbered_steps(frame: DataFrame, tag: str, key: str, name: str = "step", width: int = 1 << 16) -> DataFrame:
+    """frame with the number of each row within its tag, from 1, by a key of whole numbers that don't repeat within a tag. Counts of each
+    `width` keys come first, so rows are dealt out once, and no task holds more rows of a tag than a block has keys."""
+    rows = frame.withColumn("_block", F.floor(F.col(key) / width))
+    earlier = Window.partitionBy(tag).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(tag, "_block").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    within = F.row_number().over(Window.partitionBy(tag, "_block").orderBy(key))
+    return rows.withColumn("_i", within).join(counts, [tag, "_block"]).withColumn(name, F.col("_before") + F.col("_i")).drop("_block", "_i", "_before")
+
+
 def rolling_mean(frame: DataFrame, tag: str, step: str, value: str, window: int = 50, block: int = BLOCK) -> DataFrame:
     """(tag, step, mean) of the last `window` values, every `window` steps. Steps are whole numbers without gaps; a block of them also
     takes the end of the one before."""
@@ -107,6 +117,50 @@ def runs(frame: DataFrame, tag: str, step: str, hit: Column, block: int = BLOCK)
     return last.withColumn("streak", F.col(step) - F.coalesce("_miss", F.lit(0))).drop("_miss")
 
 
+def overtrained_steps(frame: DataFrame, tag: str, step: str, value: str, last: int, change: float = 0.004, block: int = BLOCK) -> DataFrame:
+    """(tag, step, hit): what overtrained() says of the values up to each step. Steps are whole numbers without gaps, from 1; a block of
+    them also takes the end of the one before."""
+    own = _block(step, block)
+    each = F.explode(F.when(F.pmod(F.col(step), F.lit(block)) >= block - last, F.array(own, own + 1)).otherwise(F.array(own)))
+    order = Window.partitionBy(tag, "_block").orderBy(step)
+    rows = frame.select(tag, step, value, each.alias("_block")).withColumn("_by", F.col(value) - F.lag(value).over(order))
+    kind = F.when(F.col("_by") > 0, True).when(F.abs("_by") >= change, False)
+    first = F.first(kind, ignorenulls=True).over(order.rowsBetween(2 - last, 0)) if last > 1 else F.lit(None).cast("boolean")
+    rows = rows.withColumn("hit", F.when(F.col(step) <= last, False).otherwise(F.coalesce(first, F.lit(True))))
+    return rows.where(F.col("_block") == own).select(tag, step, "hit")
+
+
+def first_stop(frame: DataFrame, tag: str, step: str, generator: str, discriminator: str, patience: int, changes: tuple[float, float] = (0.01, 0.004), keep: float = 0.987, block: int = BLOCK) -> DataFrame:
+    """(tag, step): where training stops, null if it goes on. Both losses are smoothed; the generator's is judged by its last `patience`
+    values, the discriminator's by twice as many. Training stops at the first step at which the generator has been overtrained for
+    `patience` steps in a row, or the discriminator for twice as many.
+
+    Each counter is a count of hits in a row, so where it first stands at its limit is found by blocks of steps: a series is no one task's.
+    """
+    ends = []
+    for value, last, change in ((generator, patience, changes[0]), (discriminator, 2 * patience, changes[1])):
+        smoothed = smoothed_series(frame, tag, step, value, keep, block)
+        hits = overtrained_steps(smoothed, tag, step, "smoothed", last, change, block)
+        ends.append(runs(hits, tag, step, F.col("hit"), block).where(F.col("streak") == last).select(tag, step))
+    found = ends[0].unionByName(ends[1]).groupBy(tag).agg(F.min(step).alias(step))
+    return frame.select(tag).distinct().join(found, tag, "left")
+
+
+def write_history(frame: DataFrame, tag: str, step: str, values: list[str], folder: str, block: int = BLOCK) -> None:
+    """Histories of any length as lines of JSON, one for each block of steps of a series: its tag, its name, the step that it starts at,
+    its values. Steps are whole numbers without gaps. A folder that is there is an error."""
+    series = F.explode(F.array(*[F.struct(F.lit(v).alias("series"), F.col(v).cast("double").alias("value")) for v in values]))
+    rows = frame.select(F.col(tag).alias("tag"), F.col(step).cast("long").alias("step"), series.alias("s")).select("tag", "step", "s.*")
+    held = rows.groupBy("tag", "series", F.floor(F.col("step") / block).alias("block")).agg(F.min("step").alias("start"), F.array_sort(F.collect_list(F.struct("step", "value"))).alias("v"))  # a block
+    held.select("tag", "series", "start", F.transform("v", lambda x: x["value"]).alias("values")).write.option("ignoreNullFields", "false").json(folder)
+
+
+def read_history(spark: SparkSession, folder: str, kind: str = "string") -> DataFrame:
+    """(tag, series, step, value) of what write_history put down, each block by itself."""
+    lines = spark.read.schema(f"tag {kind}, series string, start long, values array<double>").json(folder)
+    return lines.select("tag", "series", "start", F.posexplode("values").alias("at", "value")).select("tag", "series", (F.col("start") + F.col("at")).alias("step"), "value")
+
+
 def dump_history(frame: DataFrame, tag: str, step: str, value: str) -> DataFrame:
     """(tag, history): the values of each tag in order, as JSON."""
     listed = F.array_sort(F.collect_list(F.struct(step, value)))
@@ -119,7 +173,13 @@ def load_history(dumped: DataFrame, tag: str, step: str, value: str) -> DataFram
     return dumped.select(tag, F.posexplode(values).alias("_at", value)).select(tag, (F.col("_at") + 1).cast("long").alias(step), value)
 
 
-def elapsed(frame: DataFrame, tag: str, order: str, at: Column) -> DataFrame:
-    """frame with seconds since the record before of the same tag; null for the first."""
-    over = Window.partitionBy(tag).orderBy(order)
-    return frame.withColumn("seconds", at.cast("timestamp").cast("double") - F.lag(at).over(over).cast("timestamp").cast("double"))
+def elapsed(frame: DataFrame, tag: str, order: str, at: Column, span: int = 86_400) -> DataFrame:
+    """frame with seconds since the record before of the same tag; null for the first. `order` goes with the time `at`. Times are taken by
+    blocks of `span` seconds; the last record of each is carried to the next one that there is."""
+    time = at.cast("timestamp").cast("double")
+    rows = frame.withColumns({"_at": time, "_block": F.floor(time / span)})
+    blocks = rows.groupBy(tag, "_block").agg(F.max_by("_at", order).alias("_end"))
+    blocks = blocks.withColumn("_carried", F.lag("_end").over(Window.partitionBy(tag).orderBy("_block"))).drop("_end")
+    before = F.lag("_at").over(Window.partitionBy(tag, "_block").orderBy(order))
+    joined = rows.withColumn("_before", before).join(blocks.select(F.col(tag).alias("_t"), F.col("_block").alias("_b"), "_carried"), F.col(tag).eqNullSafe(F.col("_t")) & F.col("_block").eqNullSafe(F.col("_b")))
+    return joined.withColumn("seconds", F.col("_at") - F.coalesce("_before", "_carried")).drop("_at", "_block", "_before", "_carried", "_t", "_b")

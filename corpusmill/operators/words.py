@@ -18,6 +18,31 @@ def rhymes(targets: DataFrame, candidates: DataFrame, word: str = "word", least:
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("word").orderBy(F.desc("matching"), "rhyme")))
 
 
+def best_rhymes(vocabulary: DataFrame, k: int = 10, word: str = "word") -> DataFrame:
+    """(word, rhyme, matching, rank): the k best rhymes of every word among all words, ranked as rhymes() does.
+
+    A word looks at its longest tail first, and at a shorter one only while longer ones leave it short of k. What it looks at is a list:
+    of the words with a tail, at most 2k, at most k of which go on with one syllable before the tail. As a word leaves out just those
+    that go on as it does itself, which its longer tail has dealt with, k others are always left. No pairs are formed within a tail.
+    """
+    cut = vocabulary.select(F.col(word).alias("word")).where(F.col("word").isNotNull()).distinct().withColumn("s", sy.syllables(F.col("word"))).where(F.size("s") > 0)
+    n = F.size("s")
+    each = cut.select("word", n.alias("n"), "s", F.explode(F.sequence(F.lit(1), n)).alias("matching"))
+    tail = F.array_join(F.slice("s", -F.col("matching"), F.col("matching")), "-")
+    before = F.when(F.col("n") > F.col("matching"), F.concat(F.lit("-"), F.element_at("s", -(F.col("matching") + 1)))).otherwise(F.lower("word"))
+    tails = each.select("word", "matching", tail.alias("tail"), before.alias("before"))
+    kinds = tails.groupBy("tail", "before").agg(F.count("*").alias("alike"))
+    sizes = kinds.groupBy("tail").agg(F.sum("alike").alias("all")).where("all > 1")
+    longer = Window.partitionBy("word").orderBy(F.desc("matching")).rowsBetween(Window.unboundedPreceding, -1)
+    others = tails.join(sizes, "tail").join(kinds, ["tail", "before"]).withColumn("others", F.col("all") - F.col("alike"))
+    asked = others.withColumn("had", F.coalesce(F.sum("others").over(longer), F.lit(0))).where((F.col("had") < k) & (F.col("others") > 0))
+    few = tails.withColumn("r", F.row_number().over(Window.partitionBy("tail", "before").orderBy("word"))).where(F.col("r") <= k)
+    lists = few.withColumn("r", F.row_number().over(Window.partitionBy("tail").orderBy("word"))).where(F.col("r") <= 2 * k)
+    found = asked.select("word", "matching", "tail", "before").join(lists.select("tail", F.col("before").alias("_b"), F.col("word").alias("rhyme")), "tail").where(F.col("before") != F.col("_b"))
+    rank = F.row_number().over(Window.partitionBy("word").orderBy(F.desc("matching"), "rhyme"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("word", "rhyme", "matching", "rank")
+
+
 def valid_exceptions(exceptions: DataFrame, word: str = "word", position: str = "position") -> DataFrame:
     """(word, position) of the exceptions whose word has the syllable, as they are kept; of several for a word the largest."""
     valid = exceptions.where(sy.valid_exception(F.col(word), F.col(position)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import syllables as sy
 from ..functions import text as tx
 from ..operators import catalog as cat
+from ..session import settled
 from .registry import query, table
 from .turkish import _BACK, _STRESS, _SYLLABLES, _V, _vocab
 
@@ -89,8 +90,8 @@ def compare_words(spark, sf_dir):
     """Neighbours in the alphabet: their syllables, stress and vowels."""
     from ..operators.vocab import numbered
 
-    cut = _vocab(spark, sf_dir).withColumn("s", sy.syllables(F.col("word")))
-    w = numbered(cut.select("word", sy.traits(F.col("word"), F.col("s")).alias("t")), F.col("word"))
+    cut = numbered(_vocab(spark, sf_dir), F.col("word")).withColumn("s", sy.syllables(F.col("word")))
+    w = settled(cut.select("place", "word", sy.traits(F.col("word"), F.col("s")).alias("t")))  # both sides of the join read it
     b = w.select((F.col("place") - 1).alias("place"), F.col("word").alias("word2"), F.col("t").alias("u"))
     out = w.join(b, "place").select(*sy.compared(F.col("word"), F.col("word2"), F.col("t"), F.col("u")))
     return out.withColumns({n: F.array_join(n, "-") for n in ("syllables1", "syllables2")})

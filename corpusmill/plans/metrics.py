@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import metrics as m
-from ..operators.vocab import numbered_within
+from ..session import delete, own_folder, settled
 from .registry import query, table
 
 _STEPS = "steps as (select event_type as tag, row_number() over (partition by event_type order by event_id) as step, event_id, value from events)"
@@ -13,7 +13,7 @@ _STEPS = "steps as (select event_type as tag, row_number() over (partition by ev
 
 def _steps(spark, sf_dir):
     events = table(spark, sf_dir, "events").select(F.col("event_type").alias("tag"), "event_id", "value")
-    return numbered_within(events, ["tag"], "event_id", "step").select("tag", "step", "event_id", "value")
+    return m.numbered_steps(events, "tag", "event_id").select("tag", "step", "event_id", "value")
 
 
 @query(f"with {_STEPS} select tag, step, round(mean, 6) as mean from (select tag, step, avg(value) over (partition by tag order by step rows between 49 preceding and current row) as mean from steps) where step % 50 = 0")
@@ -95,6 +95,25 @@ def history_round_trip(spark, sf_dir):
     return m.load_history(m.dump_history(_steps(spark, sf_dir), "tag", "step", "value"), "tag", "step", "value")
 
 
+@query(f"with {_STEPS} select tag, 'loss' as series, step, value from steps union all select tag, 'half', step, value / 2 from steps")
+def history_blocks(spark, sf_dir):
+    """The history of each tag, and another beside it, written by blocks and read back."""
+    folder = own_folder(spark, "history")
+    rows = _steps(spark, sf_dir).select("tag", "step", F.col("value").alias("loss"), (F.col("value") / 2).alias("half"))
+    try:
+        m.write_history(rows, "tag", "step", ["loss", "half"], folder, 1000)
+        return settled(m.read_history(spark, folder))
+    finally:
+        delete(spark, folder)
+
+
+@query()
+def stop_step(spark, sf_dir):
+    """Where the stop rule would end the training of each tag; tests hold it against the plain loop."""
+    rows = _steps(spark, sf_dir).select("tag", "step", F.col("value").alias("g"), (100 - F.col("value")).alias("d"))
+    return m.first_stop(rows, "tag", "step", "g", "d", 4)
+
+
 @query("select event_id, round(epoch(ts) - lag(epoch(ts)) over (partition by event_type order by ts, event_id), 4) as seconds from events")
 def elapsed_time(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("tag"), F.struct("ts", "event_id").alias("at"))

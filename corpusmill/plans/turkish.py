@@ -99,6 +99,16 @@ def tr_rhymes(spark, sf_dir):
     return words_op.rhymes(first, _vocab(spark, sf_dir))
 
 
+@query(
+    f"""{_SYLLABLES}, r as (select word, list_reverse(s) as x from syl where len(s) > 0), pairs as (select a.word, b.word as rhyme, a.x, b.x as y from r a join r b on a.x[1] = b.x[1] and lower(a.word) <> lower(b.word)),
+m as (select word, rhyme, cast(coalesce(list_position(list_transform(range(1, least(len(x), len(y)) + 1), lambda i: x[i] = y[i]), false) - 1, least(len(x), len(y))) as integer) as matching from pairs)
+select word, rhyme, matching, cast(row_number() over (partition by word order by matching desc, rhyme) as integer) as rank from m qualify rank <= 3"""
+)
+def tr_best_rhymes(spark, sf_dir):
+    """The three best rhymes of every word."""
+    return words_op.best_rhymes(_vocab(spark, sf_dir), 3)
+
+
 @query(f"{_SYLLABLES} select word, s[-1] as rhyme, array_to_string(list_transform(range(1, len(s) + 1), lambda n: array_to_string(s[len(s) - n + 1:], '-')), ' ') as tails from syl where len(s) > 0")
 def tr_rhyme_classes(spark, sf_dir):
     """Every word with a syllable and its tails, from the last syllable to the whole word: words rhyme by n syllables if their n-th
