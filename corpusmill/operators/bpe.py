@@ -21,11 +21,14 @@ from pyspark.sql import functions as F
 
 from ..session import settled
 
-#: Pairs proposed in a round, and rounds between two times that words are stored anew.
-PROPOSED, KEPT_FOR = 64, 24
+#: Pairs proposed in a round at most, and rounds between two times that words are stored anew.
+PROPOSED, KEPT_FOR = 64, 6
 #: Pairs whose counts the driver holds. Where a rarer one may be next, all pairs are counted again.
 HELD = 1 << 16
 
+#: Control characters, one of which stands between symbols.
+SEPARATORS = [0x1F, 0x1E, 0x1D, 0x1C, 0x01, 0x02, 0x03]
+
 Pair = tuple[str, str]
 
 
@@ -93,17 +96,26 @@ def _once(parts: list[str], a: str, b: str) -> list[str]:
     return out
 
 
-def _applied(words: DataFrame, pending: list[Pair]) -> DataFrame:
+def _separator(words: DataFrame, word: str) -> str:
+    """A character that no word holds; symbols are kept as one string, which Arrow reads faster than a list."""
+    held = words.agg(*[F.coalesce(F.bool_or(F.contains(F.col(word), F.lit(chr(c)))), F.lit(False)).alias(f"c{c}") for c in SEPARATORS]).first()
+    free = [chr(c) for c, x in zip(SEPARATORS, held) if not x]
+    if not free:
+        raise ValueError("the words hold every control character")
+    return free[0]
+
+
+def _applied(words: DataFrame, pending: list[Pair], mark: str) -> DataFrame:
     ranks = by_pair(pending)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([merged(s, ranks) for s in batch.column(0).to_pylist()], pa.list_(pa.string())), batch.column(1)], ["symbols", "frequency"])
+            yield pa.RecordBatch.from_arrays([pa.array([mark.join(merged(s.split(mark), ranks)) for s in batch.column(0).to_pylist()], pa.string()), batch.column(1)], ["symbols", "frequency"])
 
-    return words.mapInArrow(run, "symbols array<string>, frequency long") if pending else words
+    return words.mapInArrow(run, "symbols string, frequency long") if pending else words
 
 
-def _changes(words: DataFrame, pending: list[Pair], proposed: list[Pair]) -> DataFrame:
+def _changes(words: DataFrame, pending: list[Pair], proposed: list[Pair], mark: str) -> DataFrame:
     """(step, a, b, n): by how much each proposed merge, after those before it, changes the count of a pair."""
     ranks, steps = by_pair(pending), {p: i for i, p in enumerate(proposed)}
 
@@ -111,7 +123,7 @@ def _changes(words: DataFrame, pending: list[Pair], proposed: list[Pair]) -> Dat
         total: dict[tuple[int, str, str], int] = defaultdict(int)
         for batch in batches:
             for s, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                s = merged(s, ranks) if ranks else s
+                s = merged(s.split(mark), ranks) if ranks else s.split(mark)
                 for step in sorted({steps[p] for p in zip(s, s[1:]) if p in steps}):
                     for p in zip(s, s[1:]):
                         total[step, *p] -= n
@@ -168,16 +180,20 @@ class _Held:
 def train(words: DataFrame, merges: int, word: str = "word", count: str = "frequency", mark: str = "▁", proposed: int = PROPOSED, held: int = HELD) -> list[tuple[str, str, int]]:
     """The first merges (a, b, n) of byte-pair counting over a table of distinct words; ties go to the smaller pair. Pairs are merged as
     long as one is left; null words and counts below one do not count."""
-    state = settled(words.where(F.col(word).isNotNull() & (F.col(count) > 0)).select(symbols(F.col(word), mark).alias("symbols"), F.col(count).cast("long").alias("frequency")))
+    spark = words.sparkSession
+    spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)  # small words, but much to do for each
+    rows = words.where(F.col(word).isNotNull() & (F.col(count) > 0)).select(symbols(F.col(word), mark).alias("symbols"), F.col(count).cast("long").alias("frequency"))
+    apart = _separator(words, word)
+    state = settled(rows.select(F.array_join("symbols", apart).alias("symbols"), "frequency").repartition(spread, "symbols"))
     found: list[tuple[str, str, int]] = []
     pending: list[Pair] = []
     known: _Held | None = None
     made, rounds = set(), 0
     while len(found) < merges:
         if pending and (known is None or rounds >= KEPT_FOR):
-            state, pending, rounds = settled(_applied(state, pending)), [], 0
+            state, pending, rounds = settled(_applied(state, pending, apart)), [], 0
         if known is None:
-            known = _Held(pair_counts(state), held)
+            known = _Held(pair_counts(state.select(F.split("symbols", apart).alias("symbols"), "frequency")), held)
         best = known.best()
         if best is None:
             if not known.n and known.floor is None:
@@ -186,7 +202,7 @@ def train(words: DataFrame, merges: int, word: str = "word", count: str = "frequ
             continue
         plan = known.proposed(min(proposed, merges - len(found)))
         by: dict[int, list] = defaultdict(list)
-        for r in _changes(state, pending, plan).collect():
+        for r in _changes(state, pending, plan, apart).collect():
             by[r.step].append(r)
         rounds += 1
         for step, pair in enumerate(plan):

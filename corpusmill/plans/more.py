@@ -8,6 +8,7 @@ from ..functions import phonemes as ph
 from ..functions import syllables as sy
 from ..functions import text as tx
 from ..operators import corpus as c
+from ..operators import recordings as rc
 from ..operators import segments as sg
 from ..session import delete, own_folder, settled
 from ..sources.store import Store
@@ -61,6 +62,35 @@ def voiced_spans(spark, sf_dir):
     return v.select("doc_id", "no", "v.start", F.col("v.end").alias("stop"))
 
 
+_FRAMES = f"""with t as (select doc_id, list_transform({words('text')}, lambda x: length(x)) as w from documents), f as (select doc_id, unnest(w) as x, unnest(range(0, len(w))) as i from t where len(w) > 0),
+e as (select doc_id, i, sqrt(avg(x * x) over k) as level, count(*) over k as whole from f window k as (partition by doc_id order by i rows between current row and 3 following)),
+v as (select doc_id, i // 2 as i, level from e where whole = 4 and i % 2 = 0), ends as (select doc_id, count(*) as n from v group by doc_id), loud as (select doc_id, i, i - lag(i) over (partition by doc_id order by i) as d from v where level > 4),
+runs as (select doc_id, i, sum(case when d is null or d - 1 >= 3 then 1 else 0 end) over (partition by doc_id order by i) as r from loud), spans as (select doc_id, greatest(min(i) - 1, 0) as start, least(max(i) + 2, any_value(n)) as stop from runs join ends using (doc_id) group by doc_id, r),
+every as (select * from spans union all select doc_id, 0, n from (select distinct doc_id from f) left join ends using (doc_id) where doc_id not in (select doc_id from loud))"""
+
+
+def _recordings(spark, sf_dir):
+    """Words as samples, their length as the value, in blocks of 64."""
+    w = table(spark, sf_dir, "documents").select("doc_id", tx.words(F.col("text")).alias("w")).select("doc_id", F.posexplode("w").alias("at", "word"))
+    return rc.in_blocks(w.select("doc_id", "at", F.length("word").alias("v")), "doc_id", "at", "v", 64)
+
+
+@query(f"{_FRAMES} select doc_id, start, coalesce(stop, 0) as stop from every")
+def recording_spans(spark, sf_dir):
+    """What lies between silences, in frames of four samples every two, over recordings in blocks."""
+    found = rc.voiced(rc.levels(_recordings(spark, sf_dir), "doc_id", 64, 4, 2), "doc_id", 4.0, 3, 1)
+    return found.select("doc_id", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"))
+
+
+@query(f"{_FRAMES} select doc_id, cast(sum(case when exists (select 1 from every s where s.doc_id = f.doc_id and 2 * s.start <= f.i and f.i < 2 * coalesce(s.stop, 0)) then x else 0 end) as double) as total from f group by doc_id")
+def recording_masks(spark, sf_dir):
+    """The samples within the spans, added up."""
+    blocks = _recordings(spark, sf_dir)
+    spans = rc.voiced(rc.levels(blocks, "doc_id", 64, 4, 2), "doc_id", 4.0, 3, 1).select("doc_id", (2 * F.col("start")).alias("start"), (2 * F.col("stop")).alias("stop"))
+    out = rc.masked(blocks, spans, "doc_id", 64)
+    return out.groupBy("doc_id").agg(F.sum(F.aggregate("samples", F.lit(0.0), lambda s, x: s + x)).alias("total"))
+
+
 @query(f"select vec_id, round(list_sum(list_transform(cast(embedding as double[]), lambda x, i: case when (i - 1 between 4 and 9) or (i - 1 between 30 and 39) then x else 0.0 end)), 6) as total from embeddings")
 def speaker_mask(spark, sf_dir):
     spans = F.array(F.struct(F.lit(4).alias("start"), F.lit(10).alias("end")), F.struct(F.lit(30).alias("start"), F.lit(40).alias("end")))

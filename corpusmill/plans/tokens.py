@@ -8,6 +8,8 @@ from ..functions import text as tx
 from ..operators import corpus as c
 from ..operators import dataset as ds
 from ..operators import vocab as v
+from ..session import delete, own_folder, settled
+from ..sources import model_file
 from .corpus import _CHUNKS, _NORMALIZED, _WORDS, chunks, frequencies, normal
 from .registry import normalized, query, table, words
 from .turkish import _SYLLABLES
@@ -52,47 +54,70 @@ def training_lines(spark, sf_dir):
     return ds.training_lines(lines, corpus, lambda t: c.normalize(t, F.lit("en")))
 
 
-#: Merges that the queries train; each needs a count over all distinct words.
-MERGES = 6
-
-
-def _merge_steps(n: int) -> str:
-    """Tables m0 .. m{n-1}, each the best pair, and w0 .. w{n}, the words' symbols, each symbol between spaces of its own."""
-    out = [f"{_WORDS}, w0 as materialized (select word, regexp_replace('▁' || word, '(.)', ' \\1 ', 'g') as s, frequency from (select word, cast(sum(frequency) as bigint) as frequency from freq group by word))"]
-    for i in range(n):
-        out.append(f"p{i} as (select list_filter(string_split_regex(s, ' +'), lambda x: x <> '') as x, frequency from w{i})")
-        out.append(f"m{i} as materialized (select p[1] as a, p[2] as b, cast(sum(frequency) as bigint) as n from (select unnest(list_zip(x[:-2], x[2:])) as p, frequency from p{i} where len(x) > 1) group by all order by n desc, a, b limit 1)")
-        out.append(f"w{i + 1} as materialized (select word, replace(s, ' ' || a || '  ' || b || ' ', ' ' || a || b || ' ') as s, frequency from w{i}, m{i})")
-    return ", ".join(out)
+#: Merges of the queries that SQL stands beside, which passes over all words for each; and of the one that tests hold against plain loops.
+MERGES, MANY = 100, 2000
+_STEPS = f"""with recursive {_WORDS}, w0 as materialized (select word, regexp_replace('▁' || word, '(.)', ' \\1 ', 'g') as s, cast(sum(frequency) as bigint) as frequency from freq group by word),
+t(i, word, s, frequency, a, b, n) as (select 0, word, s, frequency, '', '', 0::bigint from w0 union all
+ select t.i + 1, word, replace(s, ' ' || m.a || '  ' || m.b || ' ', ' ' || m.a || m.b || ' '), frequency, m.a, m.b, m.n from t,
+ (select p[1] as a, p[2] as b, cast(sum(frequency) as bigint) as n from (select unnest(list_zip(x[:-2], x[2:])) as p, frequency from (select string_split(trim(s), '  ') as x, frequency from t) where len(x) > 1) group by all order by n desc, a, b limit 1) m where t.i < {MERGES}),
+merges as (select i - 1 as rank, any_value(a) as a, any_value(b) as b, any_value(n) as n from t where i > 0 group by i)"""
 
 
 def _vocabulary(spark, sf_dir):
     return frequencies(spark, sf_dir).groupBy("word").agg(F.sum("frequency").cast("long").alias("frequency"))
 
 
-@query("with " + _merge_steps(MERGES) + " " + " union all ".join(f"select {i} as rank, a, b, n from m{i}" for i in range(MERGES)))
+@query(f"{_STEPS} select rank, a, b, n from merges")
 def bpe_train(spark, sf_dir):
     found = v.train_pairs(_vocabulary(spark, sf_dir), MERGES)
     return spark.createDataFrame([(i, *m) for i, m in enumerate(found)], "rank int, a string, b string, n long")
 
 
-@query(f"with {_merge_steps(MERGES)}, x as (select word, list_filter(string_split_regex(s, ' +'), lambda z: z <> '') as x from w{MERGES}) select word, array_to_string(x, ' ') as pieces, replace(array_to_string(x, ''), '▁', '') as decoded, cast(len(x) as integer) as n from x")
+@query(f"{_STEPS}, x as (select word, string_split(trim(s), '  ') as x from t where i = {MERGES}) select word, array_to_string(x, ' ') as pieces, replace(array_to_string(x, ''), '▁', '') as decoded, cast(len(x) as integer) as n from x")
 def bpe_encode(spark, sf_dir):
     """Every distinct word in the pieces of the trained merges, and back."""
-    w = _vocabulary(spark, sf_dir)
+    w = settled(_vocabulary(spark, sf_dir))
     merges = [(a, b) for a, b, _ in v.train_pairs(w, MERGES)]
     out = w.select("word", v.encode(F.col("word"), merges).alias("x"))
     return out.select("word", F.array_join("x", " ").alias("pieces"), v.decode(F.col("x")).alias("decoded"), F.size("x").alias("n"))
 
 
-@query(
-    f"with {_merge_steps(MERGES)}, listed as (select unnest(range(0, {3 + MERGES})) as id, unnest(['<s>', '</s>', '<unk>', {', '.join(f'(select a || b from m{i})' for i in range(MERGES))}]) as piece), ch as (select piece, sum(frequency) as n from (select unnest(list_filter(string_split('▁' || word, ''), lambda x: x <> '')) as piece, frequency from w0) where piece not in (select piece from listed) group by piece), every as (select id, piece from listed union all select row_number() over (order by n desc, piece) - 1 + {3 + MERGES}, piece from ch) select cast(id as integer) as id, piece, case when id < 3 then 0.0 else cast(3 - id as double) end as score from every"
-)
+_LISTED = f"""{_STEPS}, firsts as (select piece, min(o) as o from (select a || b as piece, rank + 3 as o from merges union all select unnest(['<s>', '</s>', '<unk>']), unnest([0, 1, 2])) group by piece), listed as (select piece, row_number() over (order by o) - 1 as id from firsts),
+ch as (select piece, sum(frequency) as n from (select unnest(list_filter(string_split('▁' || word, ''), lambda x: x <> '')) as piece, frequency from w0) where piece not in (select piece from listed) group by piece),
+every as (select id, piece from listed union all select row_number() over (order by n desc, piece) - 1 + (select count(*) from listed), piece from ch)"""
+
+
+@query(f"{_LISTED} select cast(id as integer) as id, piece, case when id < 3 then 0.0 else cast(3 - id as double) end as score from every")
 def bpe_vocabulary(spark, sf_dir):
-    w = _vocabulary(spark, sf_dir)
+    w = settled(_vocabulary(spark, sf_dir))
     return v.trained_vocabulary(w, v.train_pairs(w, MERGES), [])
 
 
+@query(f"{_LISTED} select cast(id as integer) as id, piece, cast(case when id < 3 then 0.0 else 3 - id end as float) as score, case when piece = '<unk>' then 2 when piece in ('<s>', '</s>') then 3 else 1 end as type from every")
+def bpe_model_file(spark, sf_dir):
+    """The trained vocabulary as a .model file, read back."""
+    w = settled(_vocabulary(spark, sf_dir))
+    rows = v.trained_vocabulary(w, v.train_pairs(w, MERGES), []).withColumn("type", model_file.kind(F.col("piece")))
+    folder = own_folder(spark, "model")
+    try:
+        model_file.write_model(rows, f"{folder}/trained.model")
+        return settled(model_file.read_models(spark, f"{folder}/trained.model").drop("path"))
+    finally:
+        delete(spark, folder)
+
+
+@query()
+def bpe_ids(spark, sf_dir):
+    """Every distinct word as the ids of a vocabulary of 2,000 merges, and back from the ids."""
+    w = settled(_vocabulary(spark, sf_dir))
+    merges = v.train_pairs(w, MANY)
+    ids = v.trained_vocabulary(w, merges, []).select("id", "piece")
+    each = w.select("word", F.posexplode(v.encode(F.col("word"), [m[:2] for m in merges])).alias("at", "piece"))
+    listed = F.array_sort(F.collect_list(F.struct("at", "id", "piece")))
+    out = each.join(ids, "piece").groupBy("word").agg(listed.alias("x"))
+    return out.select("word", F.transform("x", lambda x: x["id"]).alias("ids"), v.decode(F.transform("x", lambda x: x["piece"])).alias("decoded"))
+
+
 @query(f"with w as (select item_id, {words('text')} as w from benchmark) select item_id, array_to_string(list_transform(w, lambda x: '[' || length(x) || '] ▁' || x), ' | ') as report, cast(len(w) as integer) as n from w")
 def token_report(spark, sf_dir):
     w = table(spark, sf_dir, "benchmark").select("item_id", tx.words(F.col("text")).alias("w"))
