@@ -16,6 +16,19 @@ from ..functions import text as tx
 from ..functions import turkish as tr
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """frame in as many partitions as there are cores at least: a file of few row groups would leave costly rules to few tasks. Input that
+    is large enough to be read in more parts stays as it is read."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    few = not frame.isStreaming and frame.rdd.getNumPartitions() < cores
+    return frame.repartition(cores, F.xxhash64(*frame.columns)) if few else frame  # by digest, as dealing round would sort rows first
+
+
+def once(value: Column) -> Column:
+    """value as a row of its own, so that no condition on it moves below, where it would be computed again."""
+    return F.explode(F.array(value))
+
+
 def chunks_of(words: Column, size: int) -> Column:
     """Groups of `size` words, joined by a space."""
     n = F.size(words)
@@ -76,7 +89,7 @@ def dedup_count(texts: DataFrame, *keys: str, weight: Column | None = None) -> D
 def normalized_chunks(chunks: DataFrame, lang: str = "lang", text: str = "text", count: str | None = None) -> DataFrame:
     """(lang, text, occurrence_count): each distinct chunk is normalised once."""
     distinct = dedup_count(chunks, lang, text, weight=F.col(count) if count else None)
-    made = distinct.select(lang, normalize(F.col(text), F.col(lang)).alias(text), "occurrence_count").where(F.trim(text) != "")
+    made = distinct.select(lang, once(normalize(F.col(text), F.col(lang))).alias(text), "occurrence_count").where(F.trim(text) != "")
     return dedup_count(made, lang, text, weight=F.col("occurrence_count"))
 
 

@@ -22,7 +22,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return c.chunk(_docs(spark, sf_dir), "text", 10, ("doc_id", "lang"))
+    return c.chunk(c.spread(_docs(spark, sf_dir).select("doc_id", "lang", "text")), "text", 10, ("doc_id", "lang"))
 
 
 def normal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,8 +129,8 @@ def sample_rows(spark, sf_dir):
 
 
 def _one(text: Column, spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
-    """An expression over each distinct text, joined back to the documents."""
-    return _docs(spark, sf_dir).where(where).select("doc_id", text.alias("out"))
+    """An expression over the text of each document."""
+    return c.spread(_docs(spark, sf_dir).where(where).select("doc_id", "lang", "text")).select("doc_id", text.alias("out"))
 
 
 @query(f"select doc_id, {stripped(squeezed('nfc_normalize(text)'))} as out from documents")

@@ -31,8 +31,12 @@ def _syllables(w: str) -> str:
 _SYLLABLES = f"with {_VOCAB}, syl as (select word, c, {_syllables('c')} as s from cleaned)"
 
 
+def _words(spark, sf_dir):
+    return c.spread(table(spark, sf_dir, "documents").select("text")).select(F.explode(tx.words(F.col("text"))).alias("word"))
+
+
 def _vocab(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.explode(tx.words(F.col("text"))).alias("word")).distinct()
+    return _words(spark, sf_dir).distinct()
 
 
 @query(f"{_SYLLABLES} select word, array_to_string(s, '-') as syllables, cast(len(s) as integer) as n from syl")
@@ -124,7 +128,7 @@ select 'tr' as lang, syllable, cast(sum(n) as bigint) as frequency from pieces g
 )
 def syllable_freq(spark, sf_dir):
     """Weighted syllables, with every word read as Turkish."""
-    w = table(spark, sf_dir, "documents").select(F.explode(tx.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("frequency"))
+    w = _words(spark, sf_dir).groupBy("word").agg(F.count("*").alias("frequency"))
     return c.syllable_frequency(w.withColumn("lang", F.lit("tr")))
 
 
