@@ -17,6 +17,7 @@ documents are read once for each block and the hit spans of a document are merge
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 from itertools import chain
 
 import numpy as np
@@ -218,9 +219,10 @@ def _pass(source: DataFrame, items: list, text_col: str, names: list[str], found
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, least: float = 0.05, **options) -> DataFrame:
-    """find_windows with n_hit, n_items and contaminated: words are hit, and they are `least` of all or more."""
+    """find_windows with n_hit, n_items and contaminated: words are hit, and they are `least` of all or more, as the decimal number that
+    it is written as."""
     out = find_windows(docs, benchmark, **options)
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, x: n + x[1] - x[0])
     out = out.withColumns({"n_hit": n_hit, "n_items": F.size("items").cast("long")})
-    share = round(1 / least)
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
+    share = Fraction(str(least))
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share.denominator >= F.col("n_words") * share.numerator))
