@@ -61,8 +61,8 @@ def trimmed(wave: Column, rate: int, db: float = 30.0) -> Column:
     return F.when(loudest > 0, F.slice(wave, F.lit(1), F.least(last + 1 + int(rate * 0.1), F.size(wave)))).otherwise(wave)
 
 
-def silence(rate: int, ms: int) -> Column:
-    return F.array_repeat(F.lit(0.0), int(rate * ms / 1000))
+def silence(rate: int, ms: int | Column) -> Column:
+    return F.array_repeat(F.lit(0.0), F.floor(rate * ms / 1000).cast("int") if isinstance(ms, Column) else int(rate * ms / 1000))
 
 
 def peak_normalized(wave: Column, ceiling: float = 0.675, dry: float = 0.25) -> Column:
@@ -140,5 +140,5 @@ def usable(wave: Column, rate: int, seconds: float = 1.5, peak: float = 2.5) ->
     return (F.size(wave) >= int(rate * seconds)) & (F.array_max(F.transform(wave, F.abs)) <= peak)
 
 
-def silent_frames(frames: int, size: int) -> Column:
+def silent_frames(frames: int | Column, size: int) -> Column:
     return F.array_repeat(F.array_repeat(F.lit(0.0), size), frames)

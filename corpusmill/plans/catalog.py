@@ -8,7 +8,7 @@ from ..functions import syllables as sy
 from ..functions import text as tx
 from ..operators import catalog as cat
 from ..session import settled
-from .registry import query, table
+from .registry import met, met_sql, query, table
 from .turkish import _BACK, _STRESS, _SYLLABLES, _V, _vocab
 
 
@@ -57,19 +57,26 @@ def tokenizer_guard(spark, sf_dir):
     return cat.mismatched(runs, "used", "wanted").select("doc_id")
 
 
-@query("select cast(case when r < 2200 then r else r - 10201 + 2200 end as bigint) as row, r * cast(0.5 as double) as w from range(0, 12002) t(r) where r < 2200 or r between 10201 and 12000")
+_ROWS = "rows_ as (select o_orderkey as r, o_totalprice as w, o_orderpriority as p, (select count(*) from orders) as n from orders)"
+
+
+@query(f"with {_ROWS} select case when n <= 4000 or r < 2200 then r else r - 10201 + 2200 end as row, w from rows_ where case when n <= 4000 then r < 4000 else r < 2200 or r between 10201 and 12000 end")
 def embedding_resize(spark, sf_dir):
-    return cat.resized(spark.range(12002).select(F.col("id").alias("row"), (F.col("id") * F.expr("0.5D")).alias("w")), 4000)
+    """Orders as the rows of a weight table, for a vocabulary of 4,000."""
+    return cat.resized(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row"), F.col("o_totalprice").alias("w")), 4000)
 
 
-@query("select cast(r - 10200 + 2200 as bigint) as id, 'p' || r as piece from range(10201, 12000) t(r)")
+@query(f"with {_ROWS} select r - 10200 + 2200 as id, p || r as piece from rows_ where r between 10201 and 11999")
 def english_block(spark, sf_dir):
-    return cat.english_block(spark.range(12001).select("id", F.concat(F.lit("p"), F.col("id").cast("string")).alias("piece")), 4000)
+    """Orders as the pieces of a full vocabulary, of which the English block moves."""
+    pieces = F.concat("o_orderpriority", F.col("o_orderkey").cast("string"))
+    return cat.english_block(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), pieces.alias("piece")), 4000)
 
 
-@query("select i as place, g as genre from (select unnest(range(0, 46)) as i, unnest([" + ", ".join(f"'{g}'" for g in cat.GENRES) + "]) as g)")
+@query(f"select ord::bigint as place, genre, n from ({met_sql(sorted(cat.GENRES), 'genre')})")
 def genres(spark, sf_dir):
-    return spark.range(1).select(F.posexplode(F.array_sort(F.array(*map(F.lit, cat.GENRES)))).alias("place", "genre")).select(F.col("place").cast("long"), "genre")
+    """The genres in order, and how many documents name each."""
+    return met(spark, sf_dir, sorted(cat.GENRES), "genre").select(F.col("ord").cast("long").alias("place"), "genre", "n")
 
 
 @query("select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace('漢' || text || '字 ' || lang, '([ᄀ-ᇿ⺀-꓏ꡀ-힯豈-﫿︰-﹏･-ￜ𠀀-𯿿])', ' \\1 ', 'g'), '\\s+', ' ', 'g'), '^\\s+', ''), '\\s+$', '') as out from documents")

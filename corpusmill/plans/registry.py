@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,7 +28,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def met(spark: SparkSession, sf_dir: str, items: list[str], name: str) -> DataFrame:
+    """(ord, name, n): of each item in how many documents it stands, without the word mark."""
+    from ..operators.corpus import spread
+
+    listed = spark.createDataFrame(list(enumerate(items)), f"ord int, {name} string")
+    each = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(x.replace("▁", "")).alias("x")) for i, x in enumerate(items)])
+    docs = spread(table(spark, sf_dir, "documents").select("text"))
+    found = docs.select(F.explode(F.filter(each, lambda e: F.contains(F.col("text"), e["x"]))).alias("e")).groupBy("e.ord").agg(F.count("*").alias("n"))
+    return listed.join(found, "ord", "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+
+
 # Pieces of SQL that several queries share.
+def met_sql(items: list[str], name: str) -> str:
+    rows = ", ".join(f"({i}, '{x.replace(chr(39), chr(39) * 2)}')" for i, x in enumerate(items))
+    return f"select ord, {name}, coalesce(n, 0) as n from (values {rows}) t(ord, {name}) left join (select ord, count(*) as n from documents, (values {rows}) u(ord, x) where contains(text, replace(x, '▁', '')) group by ord) using (ord)"
+
+
 def words(text: str) -> str:
     return f"list_filter(string_split_regex({text}, '\\s+'), lambda w: w <> '')"
 

@@ -96,9 +96,16 @@ def syllable_report(spark, sf_dir):
     return b.where("report <> ''")
 
 
-@query(f"select * from (values {', '.join(f'({_quoted(k)}, {_quoted(str(v))})' for k, v in sy.statistics().items())}) t(name, value)")
+@query(
+    f"""{_SYLLABLES}, n as (select count(*) as words, count(*) filter (where {_EXC}[replace(lower(word), '''', '')] is not null) as e, count(*) filter (where len(s) > 0 and s[-1] in {_LIST(sy.NEUTRAL)}) as t, count(distinct s[1]) filter (where len(s) > 0) as b from syl)
+select * from (values {', '.join(f'({_quoted(k)}, {_quoted(str(v))})' for k, v in sy.statistics().items())}) t(name, value) union all select unnest(['words', 'exceptions_met', 'neutral_suffixes_met', 'first_syllables']), unnest([words::varchar, e::varchar, t::varchar, b::varchar]) from n"""
+)
 def syllabifier_statistics(spark, sf_dir):
-    return spark.createDataFrame([(k, str(v)) for k, v in sy.statistics().items()], "name string, value string")
+    """What the rules are made of, and what of it the vocabulary meets."""
+    s = _vocab(spark, sf_dir).withColumn("s", sy.syllables(F.col("word")))
+    met = s.agg(F.count("*").alias("words"), F.count_if(sy.exception_word(F.col("word")).isin(list(sy.EXCEPTIONS))).alias("exceptions_met"), F.count_if(sy.has_neutral_suffix(F.col("s"))).alias("neutral_suffixes_met"), F.count_distinct(F.when(F.size("s") > 0, F.get("s", F.lit(0)))).alias("first_syllables"))
+    rows = met.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in met.columns])).alias("r")).select("r.*")
+    return spark.createDataFrame([(k, str(v)) for k, v in sy.statistics().items()], "name string, value string").unionByName(rows)
 
 
 @query(

@@ -11,19 +11,25 @@ from ..operators import vocab as v
 from ..session import delete, own_folder, settled
 from ..sources import model_file
 from .corpus import _CHUNKS, _NORMALIZED, _WORDS, chunks, frequencies, normal
-from .registry import normalized, query, table, words
+from .registry import met, met_sql, normalized, query, table, words
 from .turkish import _SYLLABLES
-from .vocab import _FORCED, _symbols, _values
 
 
-@query(f"select ord, upper(piece) as piece from (values {_values(_FORCED)}) t(ord, piece)")
+_UPPER = v.forced_symbols(["zh", "en", "tr", "es"], upper=True)
+
+
+@query(met_sql(_UPPER, "piece"))
 def forced_symbols_upper(spark, sf_dir):
-    return _symbols(spark, v.forced_symbols(["zh", "en", "tr", "es"], upper=True))
+    """The same in capitals."""
+    return met(spark, sf_dir, _UPPER, "piece")
 
 
-@query("select 'unk_token' as name, '<unk>' as token, 2 as id union all select 'pad_token', null, -1 union all select 'bos_token', '<s>', 0 union all select 'eos_token', '</s>', 1")
+@query("with t as (select 'unk_token' as name, '<unk>' as token, 2 as id union all select 'pad_token', null, -1 union all select 'bos_token', '<s>', 0 union all select 'eos_token', '</s>', 1), d as (select cast(doc_id % 4 as integer) as id, count(*) as n from documents where text is not null group by 1) select name, token, t.id, case when token is null then 0 else coalesce(n, 0) end as n from t left join d on d.id = t.id")
 def special_tokens(spark, sf_dir):
-    return spark.createDataFrame([(k, t, v.SPECIAL_IDS[f"{k}_id"]) for k, t in v.SPECIAL_TOKENS.items()], "name string, token string, id int")
+    """The special tokens, and how many texts would get each at their end, dealt by number."""
+    tokens = spark.createDataFrame([(k, t, v.SPECIAL_IDS[f"{k}_id"]) for k, t in v.SPECIAL_TOKENS.items()], "name string, token string, id int")
+    ends = table(spark, sf_dir, "documents").where("text is not null").groupBy((F.col("doc_id") % 4).cast("int").alias("id")).agg(F.count("*").alias("n"))
+    return tokens.join(ends, "id", "left").select("name", "token", "id", F.when(F.col("token").isNotNull(), F.coalesce("n", F.lit(0))).otherwise(0).cast("long").alias("n"))
 
 
 _RANKED = "select piece, row_number() over (order by frequency desc, piece) - 1 as r from"

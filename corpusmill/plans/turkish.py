@@ -11,7 +11,7 @@ from ..functions import text as tx
 from ..functions import turkish as tr
 from ..operators import corpus as c
 from ..operators import words as words_op
-from .registry import query, table, words
+from .registry import met, met_sql, query, table, words
 
 _DROPPED = "".join(f"\\x{{{i:02x}}}" for i in range(256) if chr(i) not in sy.VOWELS + sy.CONSONANTS)
 _CLEAN = f"regexp_replace(lower(word), '[{_DROPPED}]', '', 'g')"
@@ -199,9 +199,10 @@ def upper_tr(spark, sf_dir):
     return _texts(tr.upper(F.col("text")), spark, sf_dir)
 
 
-@query("select row_number() over () - 1 as id, v.p as phoneme from (values " + ", ".join("('" + p.replace("'", "''") + "')" for p in ph.VOCABULARY) + ") v(p)")
+@query(f"select ord::bigint as id, phoneme, n from ({met_sql(list(ph.VOCABULARY), 'phoneme')})")
 def phoneme_vocabulary(spark, sf_dir):
-    return spark.range(1).select(F.posexplode(F.array(*map(F.lit, ph.VOCABULARY))).alias("id", "phoneme")).select(F.col("id").cast("long"), "phoneme")
+    """The phonemes by id, and how many documents show each as a character."""
+    return met(spark, sf_dir, list(ph.VOCABULARY), "phoneme").select(F.col("ord").cast("long").alias("id"), "phoneme", "n")
 
 
 _PAUSED = "text"

@@ -157,11 +157,11 @@ def usable_waves(spark, sf_dir):
     return _vectors(spark, sf_dir).select("vec_id", vc.usable(w, 40).alias("usable"))
 
 
-@query("select 66150 as samples, cast(0 as double) as loudest, 300 as frames, 256 as size")
+@query("select doc_id, cast(floor(22050 * (n_chars % 500 + 1) / 1000) as integer) as samples, cast(0 as double) as loudest, cast(doc_id % 7 + 1 as integer) as frames, 256 as size from documents")
 def silence_templates(spark, sf_dir):
-    """Three seconds of nothing, and frames of it."""
-    row = spark.range(1).select(vc.silence(22050, 3000).alias("s"), vc.silent_frames(300, 256).alias("f"))
-    return row.select(F.size("s").alias("samples"), F.array_max("s").alias("loudest"), F.size("f").alias("frames"), F.size(F.element_at("f", 1)).alias("size"))
+    """As many milliseconds of nothing as a document's length asks for, and frames of it."""
+    made = table(spark, sf_dir, "documents").select("doc_id", vc.silence(22050, F.col("n_chars") % 500 + 1).alias("s"), vc.silent_frames((F.col("doc_id") % 7 + 1).cast("int"), 256).alias("f"))
+    return made.select("doc_id", F.size("s").alias("samples"), F.array_max("s").alias("loudest"), F.size("f").alias("frames"), F.size(F.element_at("f", 1)).alias("size"))
 
 
 _NEAR = f"c as (select row_number() over (order by md5('0:' || vec_id), vec_id) - 1 as list, x from v qualify list < (select greatest(1, least(floor(16 * sqrt(count(*))), count(*) // 39)) from v))"

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..operators import corpus as c
 from ..operators import vocab as v
 from .corpus import _WORDS, frequencies
-from .registry import query, table
+from .registry import met, met_sql, query, table, words
 
 _FORCED = v.forced_symbols(["zh", "en", "tr", "es"])
 
@@ -17,17 +18,20 @@ def _values(xs: list[str]) -> str:
 
 
 def _symbols(spark, xs):
-    return spark.range(1).select(F.posexplode(F.array(*map(F.lit, xs))).alias("ord", "piece"))
+    return spark.createDataFrame(list(enumerate(xs)), "ord int, piece string")
 
 
-@query(f"select ord, piece from (values {_values(_FORCED)}) t(ord, piece)")
+@query(met_sql(_FORCED, "piece"))
 def forced_symbols(spark, sf_dir):
-    return _symbols(spark, _FORCED)
+    """The symbols that a vocabulary must hold, and how many documents show each."""
+    return met(spark, sf_dir, _FORCED, "piece")
 
 
-@query(f"with f as (select piece from (values {_values(_FORCED)}) t(ord, piece)) select count(*) as forced, 8000 as target, round(count(*) * 100 / 8000, 6) as percent, count(*) < 8000 - 256 as fits from f")
+@query(f"with f as (select distinct unnest({words('text')}) as piece from benchmark) select count(*) as forced, 8000 as target, round(count(*) * 100 / 8000, 6) as percent, count(*) < 8000 - 256 as fits from f")
 def vocab_capacity(spark, sf_dir):
-    return v.capacity(_symbols(spark, _FORCED), 8000)
+    """What room a vocabulary of 8,000 has beside the words of the benchmark."""
+    w = table(spark, sf_dir, "benchmark").select(F.explode(tx.words(F.col("text"))).alias("piece")).distinct()
+    return v.capacity(w, 8000)
 
 
 _PIECES = f"{_WORDS}, ranked as (select word as piece, frequency, row_number() over (order by frequency desc, word) as r from (select word, cast(sum(frequency) as bigint) as frequency from freq group by word))"

@@ -6,23 +6,18 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions import phonemes as ph
+from ..functions import text as tx
 from ..functions.naming import is_pdf
 from ..operators import catalog as cat
 from ..operators import tables as tb
-from ..session import shared_folder
+from ..session import delete, own_folder, settled
 from ..sources import files as fl
 from ..sources import projects as pj
-from .registry import query, table
+from .registry import query, table, words
 
 
 def _folder(spark) -> str:
-    return f"{shared_folder(spark)}/workspace-{uuid.uuid4().hex}"
-
-
-def _rows(values: list[tuple]) -> str:
-    said = lambda x: str(x).lower() if isinstance(x, (bool, int, float)) else "'" + x.replace("'", "''") + "'"
-    return ", ".join(f"({', '.join(map(said, v))})" for v in values)
+    return own_folder(spark, "workspace")
 
 
 @query(
@@ -50,16 +45,23 @@ def table_life(spark, sf_dir):
     return spark.createDataFrame(steps, "step string, n long")
 
 
-_LIFE = [(0, "a", True, "a"), (1, "a", False, "a"), (2, "  ", False, "a"), (3, "b", True, "a,b"), (4, "b to c", True, "a,c"), (5, "c to a", False, "a,c"), (6, "no c", False, "a,c"), (7, "c", True, "a"), (8, "a", True, "myproject")]
-
-
-@query(f"select n, said, done, projects from (values {_rows(_LIFE)}) t(n, said, done, projects)")
+@query(
+    """with l as (select list(lang order by lang) as l from (select distinct lang from documents)), k as (select l, unnest(range(1, len(l) + 1)) as k from l),
+s as (select 0 as turn, k, l[k] as said, true as done, l[1:k] as p from k union all select 1, k, ' ' || l[k] || ' ', false, l from k union all select 2, k, l[k] || ' to ' || l[k] || '2', true, list_concat(list_transform(l[1:k], lambda x: x || '2'), l[k + 1:]) from k
+ union all select 3, k, 'not ' || l[k], false, list_transform(l, lambda x: x || '2') from k union all select 4, k, l[k] || '2', true, case when k = len(l) then ['myproject'] else list_transform(l[k + 1:], lambda x: x || '2') end from k)
+select cast(row_number() over (order by turn, k) - 1 as integer) as n, said, done, array_to_string(list_sort(p), ',') as projects from s"""
+)
 def project_life(spark, sf_dir):
-    """Projects made, renamed and deleted, and what is refused."""
+    """A project for each language: made, made again, renamed, deleted without consent, deleted; and what is refused of that."""
     root = _folder(spark)
-    steps = [("a", lambda: pj.create(spark, root, "a")), ("a", lambda: pj.create(spark, root, " a ")), ("  ", lambda: pj.create(spark, root, "  ")), ("b", lambda: pj.create(spark, root, "b"))]
-    steps += [("b to c", lambda: pj.rename(spark, root, "b", "c")), ("c to a", lambda: pj.rename(spark, root, "c", "a")), ("no c", lambda: pj.delete(spark, root, "c", "x")), ("c", lambda: pj.delete(spark, root, "c", "c")), ("a", lambda: pj.delete(spark, root, "a", "a"))]
-    rows = [(n, said, bool(run()), ",".join(pj.listed(spark, root))) for n, (said, run) in enumerate(steps)]
+    names = sorted(r.lang for r in table(spark, sf_dir, "documents").select("lang").distinct().collect())
+    steps = [(x, lambda x=x: pj.create(spark, root, x)) for x in names] + [(f" {x} ", lambda x=x: pj.create(spark, root, f" {x} ")) for x in names]
+    steps += [(f"{x} to {x}2", lambda x=x: pj.rename(spark, root, x, f"{x}2")) for x in names]
+    steps += [(f"not {x}", lambda x=x: pj.delete(spark, root, f"{x}2", x)) for x in names] + [(f"{x}2", lambda x=x: pj.delete(spark, root, f"{x}2", f"{x}2")) for x in names]
+    try:
+        rows = [(n, said, bool(run()), ",".join(pj.listed(spark, root))) for n, (said, run) in enumerate(steps)]
+    finally:
+        delete(spark, root)
     return spark.createDataFrame(rows, "n int, said string, done boolean, projects string")
 
 
@@ -119,32 +121,52 @@ def vocabulary_files(spark, sf_dir):
     return spark.read.text(path).select(parts[0].alias("piece"), parts[1].cast("double").alias("score"))
 
 
-@query(f"select piece, id from (values {_rows([(p, i) for i, p in enumerate(ph.VOCABULARY)])}) t(piece, id)")
+@query("select c as piece, cast(row_number() over (order by c) - 1 as integer) as id from (select distinct unnest(string_split(text, '')) as c from benchmark) where c <> ''")
 def vocabulary_json(spark, sf_dir):
-    """The phoneme vocabulary as JSON, written and read."""
+    """The characters of the benchmark as a vocabulary in JSON, written and read."""
     path = _folder(spark)
-    fl.write_map(spark, path, {p: i for i, p in enumerate(ph.VOCABULARY)})
-    return fl.read_map(spark, path)
+    each = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", "")).alias("c")).where("c <> ''").distinct()
+    fl.write_map(spark, path, {c: i for i, c in enumerate(sorted(r.c for r in each.collect()))})  # an alphabet
+    try:
+        return settled(fl.read_map(spark, path))
+    finally:
+        delete(spark, path)
 
 
-@query("select key, value from (values ('dr.', 'doctor'), ('st.', 'street'), ('a=b', 'c:d')) t(key, value) where key <> 'a=b' union all select 'a', 'b=c:d'")
+@query("select source || '.' as key, case when source < 'src2' then 'b=c:' else '' end || lang as value from (select source, min(lang) as lang from documents group by source)")
 def abbreviation_files(spark, sf_dir):
+    """A line for each source, of either kind, among comments, blank lines and lines that say nothing; read back."""
     path = _folder(spark)
-    lines = ["# rules", "", "dr. = doctor", "st.:street", "a=b=c:d", "nothing", "=empty", "empty="]
-    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
-    return spark.createDataFrame(sorted(fl.read_abbreviations(spark, path).items()), "key string, value string")
+    s = table(spark, sf_dir, "documents").groupBy("source").agg(F.min("lang").alias("lang"))
+    line = F.when(F.col("source") < "src2", F.concat("source", F.lit(". = b=c:"), "lang")).otherwise(F.concat(F.lit("  "), "source", F.lit(".:"), "lang"))
+    noise = [F.concat(F.lit("# "), "source"), F.lit(""), F.concat(F.lit("="), "lang"), F.concat("source", F.lit("=")), F.col("source")]
+    s.select(F.explode(F.array(line, *noise)).alias("value")).write.text(path)
+    try:
+        return spark.createDataFrame(sorted(fl.read_abbreviations(spark, path).items()), "key string, value string")
+    finally:
+        delete(spark, path)
 
 
-@query("select 'one one three three two two' as line")
+@query(
+    f"""with w as (select distinct unnest({words('text')}) as word from benchmark), e as (select word, time, row_number() over (order by md5('7:' || time || ':' || word), word, time) - 1 as place from w, (select unnest([1, 2]) as time))
+select place // 50 as no, string_agg(word, ' ' order by place) as line from e group by place // 50"""
+)
 def lexicon_line(spark, sf_dir):
-    return fl.lexicon(spark, [["two", "one"], ["three", "one"]], 2)
+    """Every word of the benchmark twice, shuffled by a seed, fifty to a line."""
+    w = table(spark, sf_dir, "benchmark").select(F.explode(tx.words(F.col("text"))).alias("word"))
+    return fl.lexicon_lines(w, "word", 2, 7, 50)
 
 
-@query("select 12000 as size, 'a' as name, true as merged")
+@query("select cast(count(*) as integer) as size, max(source) as name, count(distinct lang) > 1 as merged from documents")
 def config_files(spark, sf_dir):
+    """What is known of the documents as a file of settings, written and read."""
     path = _folder(spark)
-    fl.write_config(spark, path, size=12000, name="a", merged=True)
-    return spark.read.schema("size int, name string, merged boolean").json(path)
+    r = table(spark, sf_dir, "documents").agg(F.count("*").alias("size"), F.max("source").alias("name"), (F.count_distinct("lang") > 1).alias("merged")).first()
+    fl.write_config(spark, path, size=r["size"], name=r["name"], merged=r["merged"])
+    try:
+        return settled(spark.read.schema("size int, name string, merged boolean").json(path))
+    finally:
+        delete(spark, path)
 
 
 @query("select doc_id, doc_id % 3 = 0 as pdf from documents")

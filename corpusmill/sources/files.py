@@ -70,6 +70,19 @@ def lexicon(spark: SparkSession, groups: list[list[str]], times: int = 1) -> Dat
     return listed.select(F.array_join(F.flatten(F.transform("w", lambda x: F.array_repeat(x, times))), " ").alias("line"))
 
 
+def lexicon_lines(words: DataFrame, word: str, times: int = 1, seed: int = 0, size: int = 1000) -> DataFrame:
+    """(no, line): the distinct words, each `times` times, in an order shuffled by a seeded digest, `size` of them to a line. Lines are cut
+    from ranges of the order, so no task holds more than its own."""
+    from ..operators.vocab import numbered
+
+    if times < 1:
+        raise ValueError("times must be at least 1")
+    each = words.where(F.col(word).isNotNull()).select(F.col(word).alias("word")).distinct().withColumn("time", F.explode(F.sequence(F.lit(1), F.lit(times))))
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), "time", "word"))
+    placed = numbered(each.withColumn("d", order), F.col("d"), F.col("word"), F.col("time"), name="at").withColumn("no", F.floor((F.col("at") - 1) / size))
+    return placed.groupBy("no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("line"))
+
+
 def read_dataset(spark: SparkSession, root: str, dataset: str, lang: str) -> DataFrame:
     """A dataset by language: the folder of the language, else that of the converted branch, else the dataset as a whole."""
     tries = [f"{root}/{dataset}/{lang}", f"{root}/{dataset}/refs/convert/parquet/{lang}", f"{root}/{dataset}", f"{root}/{dataset}.parquet"]
