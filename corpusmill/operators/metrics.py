@@ -17,6 +17,11 @@ def masked_mean(values: Column, mask: Column) -> Column:
     return total / F.greatest(F.aggregate(mask, F.lit(0.0), lambda a, m: a + m), F.lit(1.0))
 
 
+def hit_at_1(scores: Column, target: Column) -> Column:
+    """Whether the first of the highest scores is at the target's place, from 0; null without scores."""
+    return F.array_position(scores, F.array_max(scores)) - 1 == target
+
+
 #: Steps that one task takes in order.
 BLOCK = 100_000
 

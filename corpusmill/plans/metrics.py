@@ -40,6 +40,13 @@ def top1_accuracy(spark, sf_dir):
     return table(spark, sf_dir, "labels").groupBy("toxic").agg(F.avg((F.col("quality") == 1 - F.col("toxic")).cast("int")).alias("accuracy"), F.count("*").alias("n"))
 
 
+@query("with s as (select label, embedding[1:10] as s from embeddings) select label, avg(cast(list_position(s, list_max(s)) - 1 = label as integer)) as accuracy, count(*) as n from s group by label")
+def argmax_accuracy(spark, sf_dir):
+    """The first ten components as scores of the ten labels."""
+    hit = m.hit_at_1(F.slice("embedding", 1, 10), F.col("label"))
+    return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.avg(hit.cast("int")).alias("accuracy"), F.count("*").alias("n"))
+
+
 @query("select vec_id, round(list_sum(list_transform(embedding[1:16], lambda x, i: cast(x as double) * (i % 3))) / greatest(list_sum(list_transform(range(1, 17), lambda i: i % 3)), 1), 5) as mean from embeddings")
 def masked_mean(spark, sf_dir):
     v = F.transform(F.slice("embedding", 1, 16), lambda x: x.cast("double"))

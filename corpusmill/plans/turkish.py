@@ -11,7 +11,7 @@ from ..functions import text as tx
 from ..functions import turkish as tr
 from ..operators import corpus as c
 from ..operators import words as words_op
-from .registry import met, met_sql, query, table, words
+from .registry import SQL, met, met_sql, query, table, words
 
 _DROPPED = "".join(f"\\x{{{i:02x}}}" for i in range(256) if chr(i) not in sy.VOWELS + sy.CONSONANTS)
 _CLEAN = f"regexp_replace(lower(word), '[{_DROPPED}]', '', 'g')"
@@ -132,6 +132,11 @@ def syllable_freq(spark, sf_dir):
     return c.syllable_frequency(w.withColumn("lang", F.lit("tr")))
 
 
+@query(f"select 'tr' as lang, syllable, frequency, cast(rank as integer) as rank from (select *, row_number() over (order by frequency desc, syllable) as rank from ({SQL['syllable_freq']})) where rank <= 10")
+def syllable_top10(spark, sf_dir):
+    return c.top(syllable_freq(spark, sf_dir), 10, "frequency", "syllable", "lang")
+
+
 def _three(n: str, space: str = "") -> str:
     units, tens = (f"[{', '.join(repr(x) for x in xs)}]" for xs in (tr.UNITS, tr.TENS))
     if not space:

@@ -8,7 +8,7 @@ from ..functions import text as tx
 from ..operators import corpus as c
 from ..operators import vocab as v
 from .corpus import _WORDS, frequencies
-from .registry import met, met_sql, query, table, words
+from .registry import SQL, met, met_sql, query, table, words
 
 _FORCED = v.forced_symbols(["zh", "en", "tr", "es"])
 
@@ -92,6 +92,16 @@ def vocab_design(spark, sf_dir):
     return v.design(voc, 12000, ("[the]",), strip_punctuation=True)
 
 
+@query(
+    f"""with d as ({SQL['vocab_design']}), need as (select ord, piece from (values {_values(_FORCED)}) t(ord, piece) where piece not in (select piece from d)),
+free as (select id, row_number() over (order by id) as k from (select cast(i as integer) as id from range(0, 12000) t(i) where i not in (select id from d))), given as (select piece, row_number() over (order by ord) as k from need)
+select id, piece, cast(score as double) as score from d union all select id, piece, cast(0 as double) from given join free using (k)"""
+)
+def vocab_rebuild(spark, sf_dir):
+    """The designed vocabulary with the required symbols put in where ids are free."""
+    return v.rebuilt(vocab_design(spark, sf_dir), _symbols(spark, _FORCED), 12000)
+
+
 @query(f"with {_WORDS}, sym as (select list_filter(string_split('▁' || word, ''), lambda c: c <> '') as s, frequency from freq where lang = 'en'), p as (select unnest(list_zip(s[:-2], s[2:])) as p, frequency from sym where len(s) > 1) select p[1] as a, p[2] as b, cast(sum(frequency) as bigint) as n from p group by all")
 def bpe_pairs(spark, sf_dir):
     w = frequencies(spark, sf_dir).where("lang = 'en'")
