@@ -28,6 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents for rules that cost much by row."""
+    from ..operators.corpus import spread
+
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def met(spark: SparkSession, sf_dir: str, items: list[str], name: str) -> DataFrame:
     """(ord, name, n): of each item in how many documents it stands, without the word mark."""
     from ..operators.corpus import spread

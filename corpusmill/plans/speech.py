@@ -9,7 +9,7 @@ from ..functions import syllables as sy
 from ..functions import text as tx
 from ..functions import turkish as tr
 from ..operators import words as words_op
-from .registry import query, set_apart, squeezed, stripped, table, words
+from .registry import documents, query, set_apart, squeezed, stripped, table, words
 from .turkish import _ANY, _BACK, _CLEAN, _EXC, _IDS, _LIST, _PAUSED, _STRESS, _SYLLABLES, _number, _spoken, _syllables, _vocab
 
 
@@ -47,7 +47,7 @@ _BY_WORD = f"said as (select w, count(*) as n from (select unnest({words('lower(
 @query(f"with {_BY_WORD}, {_spelled('said')}, ids as (select n, unnest(list_transform(regexp_extract_all(array_to_string(p, '-'), '(?s){_ANY}'), lambda x: coalesce({_IDS}[x], 1))) as id from spelled) select cast(id as integer) as id, {_NAMES}[id + 1] as phoneme, cast(sum(n) as bigint) as n from ids group by id")
 def phoneme_frequency(spark, sf_dir):
     """How often each phoneme occurs in the corpus read as Turkish: each distinct word is converted once."""
-    w = table(spark, sf_dir, "documents").select(F.explode(tx.words(F.lower("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    w = documents(spark, sf_dir).select(F.explode(tx.words(F.lower("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     ids = ph.to_ids(ph.phoneme_string(F.col("word"), False))
     counts = w.select("n", F.explode(ids).alias("id")).groupBy("id").agg(F.sum("n").alias("n"))
     return counts.select("id", F.element_at(F.array(*map(F.lit, ph.VOCABULARY)), F.col("id") + 1).alias("phoneme"), "n")
@@ -187,7 +187,7 @@ def abbreviations_tr(spark, sf_dir):
     """Every short form, in turn, in capitals where that is no other letter."""
     short = F.element_at(F.array(*map(F.lit, tr.ABBREVIATIONS)), (F.col("doc_id") % len(tr.ABBREVIATIONS) + 1).cast("int"))
     said = F.concat_ws(" ", "source", F.when(short.rlike("^[a-hj-z.]+$"), F.upper(short)).otherwise(short), "lang")
-    return table(spark, sf_dir, "documents").select("doc_id", tr.expand_abbreviations(said).alias("out"))
+    return documents(spark, sf_dir).select("doc_id", tr.expand_abbreviations(said).alias("out"))
 
 
 _FIXED = "text"
@@ -198,7 +198,7 @@ for _a, _b in ph.CONTRACTIONS.items():
 @query(f"select doc_id, {_FIXED.replace('text', '(text || chr(32) || CON)').replace('CON', _quoted(' '.join(ph.CONTRACTIONS)))} as out from documents")
 def contractions_tr(spark, sf_dir):
     text = F.concat_ws(" ", "text", F.lit(" ".join(ph.CONTRACTIONS)))
-    return table(spark, sf_dir, "documents").select("doc_id", ph.contractions(text).alias("out"))
+    return documents(spark, sf_dir).select("doc_id", ph.contractions(text).alias("out"))
 
 
 @query("select page_id, '<URL> and <EMAIL>, ' || page_id as out from pages")
@@ -221,4 +221,4 @@ _DOTS = f"regexp_replace({squeezed('x')}, '(?:\\.\\s*){{2,}}', ' ^ ', 'g')"
     f"with a as (select doc_id, lower(translate({_LIKE}, 'IİƏÑŊÝ', 'ıiəñŋý')) as x from documents), b as (select doc_id, {_SINGLE} as x from a), c as (select doc_id, {_DOTS} as x from b), d as (select doc_id, replace(replace({set_apart('x')}, '^', '...'), '\"', '''''') as x from c) select doc_id, {stripped(f"regexp_replace({squeezed('x')}, '{_KEPT}', '', 'g')")} as out from d"
 )
 def norm_tr(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", tr.normalize(F.col("text")).alias("out"))
+    return documents(spark, sf_dir).select("doc_id", tr.normalize(F.col("text")).alias("out"))

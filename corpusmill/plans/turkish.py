@@ -11,7 +11,7 @@ from ..functions import text as tx
 from ..functions import turkish as tr
 from ..operators import corpus as c
 from ..operators import words as words_op
-from .registry import SQL, met, met_sql, query, table, words
+from .registry import SQL, documents, met, met_sql, query, table, words
 
 _DROPPED = "".join(f"\\x{{{i:02x}}}" for i in range(256) if chr(i) not in sy.VOWELS + sy.CONSONANTS)
 _CLEAN = f"regexp_replace(lower(word), '[{_DROPPED}]', '', 'g')"
@@ -186,7 +186,7 @@ def spoken_number_tr(spark, sf_dir):
 
 
 def _texts(text: Column, spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.alias("out"))
+    return documents(spark, sf_dir).select("doc_id", text.alias("out"))
 
 
 @query()
@@ -223,7 +223,7 @@ def prosody(spark, sf_dir):
 @query("select doc_id, case when lang = 'en' then '<EMOTION_HAPPY> ' || source || ' <EMOTION_END>' when lang = 'de' then '<EMOTION_CALM> ' || source || ' <EMOTION_END>' else source end as out from documents")
 def emotion_markers(spark, sf_dir):
     name = F.when(F.col("lang") == "en", "happy").when(F.col("lang") == "de", "calm").when(F.col("lang") == "fr", "neutral").otherwise("bored")
-    return table(spark, sf_dir, "documents").select("doc_id", ph.emotion(F.col("source"), name).alias("out"))
+    return documents(spark, sf_dir).select("doc_id", ph.emotion(F.col("source"), name).alias("out"))
 
 
 _IDS = "map {" + ", ".join("'" + p.replace("'", "''") + f"': {i}" for i, p in enumerate(ph.VOCABULARY)) + "}"
