@@ -97,7 +97,7 @@ def metadata_files(spark, sf_dir):
     path = _folder(spark)
     for even in (True, False):
         d = table(spark, sf_dir, "documents").where((F.col("doc_id") % 2 == 0) == even)
-        fl.write_metadata(d.select("lang", F.col("source").alias("dataset"), F.col("doc_id").cast("string").alias("filename"), F.concat(F.lit("spk"), (F.col("doc_id") % 7).cast("string")).alias("speaker"), F.trim(F.translate("text", "|\n\r", "   ")).alias("text")), path)
+        fl.write_metadata(d.select("lang", F.col("source").alias("dataset"), F.col("doc_id").cast("string").alias("filename"), F.concat(F.lit("spk"), (F.col("doc_id") % 7).cast("string")).alias("speaker"), "text"), path)
     return fl.read_metadata(spark, path)
 
 

@@ -19,7 +19,7 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 
 def scan_pdfs(spark: SparkSession, path: str, done: DataFrame | None = None) -> DataFrame:
     """(name, length, content) of the files that begin as PDFs do and aren't done yet (name)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[pP][dD][fF]").load(path)  # others are not opened
     found = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", "content").where(F.lower("name").endswith(".pdf") & is_pdf(F.col("content")))
     return found if done is None else found.join(done.select("name"), "name", "left_anti")
 
@@ -31,7 +31,9 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_metadata(clips: DataFrame, path: str, mode: str = "append") -> None:
-    clips.select(F.concat_ws("|", "lang", "dataset", "filename", "speaker", "text").alias("value")).write.mode(mode).text(path)
+    """A line for each clip. Marks and line ends within a part become spaces and nulls are empty, so that a line stays one line of five parts."""
+    part = lambda c: F.trim(F.translate(F.coalesce(F.col(c), F.lit("")), "|\n\r", "   "))
+    clips.select(F.concat_ws("|", *map(part, ("lang", "dataset", "filename", "speaker", "text"))).alias("value")).write.mode(mode).text(path)
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:

@@ -154,3 +154,10 @@ def test_tables_refuse_what_does_not_fit(spark, tmp_path):
     finally:
         tb.drop_corpus(spark, "odd_corpus")
     assert projects.listed(spark, f"{tmp_path}/none") == [] and not projects.rename(spark, f"{tmp_path}", "no", "x")
+
+
+def test_metadata_lines_hold(spark, tmp_path):
+    rows = [("en", "d|1", "a.wav", None, "one | two\nthree\r\nfour"), (None, "d", "b.wav", "s", ""), ("tr", "d", "c.wav", "s", None)]
+    files.write_metadata(spark.createDataFrame(rows, "lang string, dataset string, filename string, speaker string, text string"), f"{tmp_path}/m")
+    got = {r.filename: tuple(r) for r in files.read_metadata(spark, f"{tmp_path}/m").collect()}
+    assert got == {"a.wav": ("en", "d 1", "a.wav", "", "one   two three  four"), "b.wav": ("", "d", "b.wav", "s", ""), "c.wav": ("tr", "d", "c.wav", "s", "")}
