@@ -70,5 +70,5 @@ def test_redaction_updates_lengths(spark, small):
 
 
 def test_queries_run(spark, sf_dir):
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 14)]
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
