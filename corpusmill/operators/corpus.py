@@ -101,7 +101,8 @@ def word_frequency(chunks: DataFrame, lang: str = "lang", text: str = "text", co
 def syllable_frequency(words: DataFrame, lang: str = "lang", word: str = "word", count: str = "frequency") -> DataFrame:
     """(lang, syllable, frequency) of Turkish words; each distinct word is cut once. Other languages have no syllables."""
     turkish = words.where(F.lower(F.col(lang)) == "tr").groupBy(lang, word).agg(F.sum(count).alias("_n"))
-    return turkish.select(lang, F.explode(sy.corpus_syllables(F.col(word))).alias("syllable"), "_n").groupBy(lang, "syllable").agg(F.sum("_n").cast("long").alias("frequency"))
+    clean = turkish.select(lang, once(sy.clean(F.col(word))).alias("_c"), "_n")
+    return clean.select(lang, F.explode(sy.corpus_syllables(F.col("_c"))).alias("syllable"), "_n").groupBy(lang, "syllable").agg(F.sum("_n").cast("long").alias("frequency"))
 
 
 def top(frame: DataFrame, n: int, by: str, tie: str, *within: str) -> DataFrame:

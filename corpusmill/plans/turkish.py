@@ -41,7 +41,7 @@ def _vocab(spark, sf_dir):
 
 @query(f"{_SYLLABLES} select word, array_to_string(s, '-') as syllables, cast(len(s) as integer) as n from syl")
 def tr_syllables(spark, sf_dir):
-    v = _vocab(spark, sf_dir).withColumn("s", sy.syllables(F.col("word")))
+    v = _vocab(spark, sf_dir).select("word", c.once(sy.clean(F.col("word"))).alias("c")).withColumn("s", sy.of_clean(F.col("c")))
     return v.select("word", F.array_join("s", "-").alias("syllables"), F.size("s").alias("n"))
 
 
