@@ -182,9 +182,9 @@ def train(words: DataFrame, merges: int, word: str = "word", count: str = "frequ
     long as one is left; null words and counts below one do not count."""
     spark = words.sparkSession
     spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)  # small words, but much to do for each
-    rows = words.where(F.col(word).isNotNull() & (F.col(count) > 0)).select(symbols(F.col(word), mark).alias("symbols"), F.col(count).cast("long").alias("frequency"))
-    apart = _separator(words, word)
-    state = settled(rows.select(F.array_join("symbols", apart).alias("symbols"), "frequency").repartition(spread, "symbols"))
+    rows = settled(words.where(F.col(word).isNotNull() & (F.col(count) > 0)).select(F.col(word).alias("word"), F.col(count).cast("long").alias("frequency")))
+    apart = _separator(rows, "word")
+    state = settled(rows.select(F.array_join(symbols(F.col("word"), mark), apart).alias("symbols"), "frequency").repartition(spread, "symbols"))
     found: list[tuple[str, str, int]] = []
     pending: list[Pair] = []
     known: _Held | None = None

@@ -61,7 +61,7 @@ def training_lines(spark, sf_dir):
 
 
 #: Merges of the queries that SQL stands beside, which passes over all words for each; and of the one that tests hold against plain loops.
-MERGES, MANY = 100, 2000
+MERGES, MANY = 60, 2000
 _STEPS = f"""with recursive {_WORDS}, w0 as materialized (select word, regexp_replace('▁' || word, '(.)', ' \\1 ', 'g') as s, cast(sum(frequency) as bigint) as frequency from freq group by word),
 t(i, word, s, frequency, a, b, n) as (select 0, word, s, frequency, '', '', 0::bigint from w0 union all
  select t.i + 1, word, replace(s, ' ' || m.a || '  ' || m.b || ' ', ' ' || m.a || m.b || ' '), frequency, m.a, m.b, m.n from t,
