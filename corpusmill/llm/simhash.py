@@ -107,27 +107,66 @@ def links(prints: DataFrame, bits: int = BITS) -> DataFrame:
         raise ValueError("the anchors cover up to 3 differing bits")
     home = at_anchors(prints, True).withColumnRenamed("f", "a")
     near = at_anchors(prints, False).withColumnRenamed("f", "b")
-    return home.join(near, "anchor").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)).select("a", "b").distinct()
+    return home.join(near.hint("merge"), "anchor").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)).select("a", "b").distinct()
+
+
+def contracted(edges: DataFrame, most: int = 1 << 17) -> DataFrame:
+    """(hi, lo) of the same components: the edges that a task holds at a time are joined to stars around their least node. A task holds
+    `most` nodes at a time at most, so an edge list of any size goes through."""
+    kind = edges.schema["hi"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above: dict = {}
+
+        def root(x):
+            top = x
+            while (up := above.get(top, top)) != top:
+                top = up
+            while x != top:
+                above[x], x = top, above[x]
+            return top
+
+        def stars() -> Iterator[pa.RecordBatch]:
+            rows = [(x, root(x)) for x in above]
+            above.clear()
+            for i in range(0, len(rows), 50_000):
+                hi, lo = zip(*rows[i : i + 50_000])
+                yield pa.RecordBatch.from_arrays([pa.array(hi, batch.column(0).type), pa.array(lo, batch.column(1).type)], ["hi", "lo"])
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                a, b = root(a), root(b)
+                if a != b:
+                    above[max(a, b)] = min(a, b)
+                if len(above) >= most:
+                    yield from stars()
+        if above:
+            yield from stars()
+
+    return edges.select("hi", "lo").mapInArrow(run, f"hi {kind}, lo {kind}")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node that can be reached, for every node of the edges (a, b).
 
     Large-star and small-star rounds by turns: each round, a node's neighbours are joined to the least of them, so paths shorten
-    by more than half; edges never become more than there were. Ends when no edge changes.
+    by more than half; edges never become more than there were. Every task first joins what edges it holds to stars, so a few rounds
+    do. Ends when no edge changes. Joins sort and merge, whatever the size: a broadcast would pass through the driver, round by round.
     """
-    edges = settle(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi <> lo").distinct())
-    while True:
+    state = lambda e: e.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo")), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
+    edges = settle(contracted(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi <> lo")).distinct())
+    now = state(edges)
+    while now[0]:
         both = edges.select(F.col("hi").alias("n"), F.col("lo").alias("m")).unionAll(edges.select(F.col("lo").alias("n"), F.col("hi").alias("m")))
         least = both.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("to"))
-        large = both.join(least, "n").where("m > n").select(F.col("m").alias("hi"), F.col("to").alias("lo")).where("hi <> lo").distinct()
+        large = both.join(least.hint("merge"), "n").where("m > n").select(F.col("m").alias("hi"), F.col("to").alias("lo")).where("hi <> lo").distinct()
         down = large.groupBy("hi").agg(F.min("lo").alias("to"))
-        small = large.join(down, "hi").select(F.explode(F.array(F.struct("hi", F.col("to").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("to").alias("lo")))).alias("e")).select("e.*").where("hi <> lo").distinct()
-        after = settle(small)
-        same = lambda e: e.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo")), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
-        if same(after) == same(edges):
-            return after.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
-        edges = after
+        small = large.join(down.hint("merge"), "hi").select(F.explode(F.array(F.struct("hi", F.col("to").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("to").alias("lo")))).alias("e")).select("e.*").where("hi <> lo")
+        edges, before = settle(contracted(small).distinct()), now
+        now = state(edges)
+        if now == before:
+            break
+    return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
@@ -135,7 +174,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of_docs = settle(fingerprints(docs, id_col, text_col, shingle, seed))
     prints = of_docs.groupBy("f").agg(F.min(id_col).alias("least"))
     found = components(links(prints.select("f"), bits))
-    rooted = prints.join(found, prints.f == found.node, "left").select("f", "least", F.coalesce("root", "f").alias("root"))
+    rooted = prints.join(found.hint("merge"), prints.f == found.node, "left").select("f", "least", F.coalesce("root", "f").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(least, "root").select("f", "component_id")
-    return of_docs.join(classes, "f").select(id_col, "f", "component_id")
+    classes = rooted.join(least.hint("merge"), "root").select("f", "component_id")
+    return of_docs.join(classes.hint("merge"), "f").select(id_col, "f", "component_id")
