@@ -33,7 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     # repeated rows go first, so that texts are dealt out by key once, for this and for the join (of two numbers: a struct would be
     # cast, and dealt out anew, for what may be null in it)
     single = keyed.withColumn(n, F.row_number().over(Window.partitionBy(high, low).orderBy(high))).where(F.col(n) == 1)
-    return single.join(kept, [high, low], "left_semi").select(*docs.columns)
+    return single.join(kept.hint("merge"), [high, low], "left_semi").select(*docs.columns)  # not broadcast: a key for each row kept
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
