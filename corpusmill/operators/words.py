@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions import phonemes as ph
 from ..functions import syllables as sy
+from ..session import settled
+from .corpus import once
 
 
 def rhymes(targets: DataFrame, candidates: DataFrame, word: str = "word", least: int = 1) -> DataFrame:
     """(word, rhyme, matching, rank): for each target the candidates that share `least` syllables or more at the end, best first, then
     in order. Words that share any share the last one, which is the join's key; a word is no rhyme of itself, in whatever case."""
-    cut = lambda frame, name: frame.select(F.col(word).alias(name), sy.syllables(F.col(word)).alias(f"_{name}")).where(F.size(f"_{name}") > 0).withColumn("_last", F.element_at(f"_{name}", -1))
+    cut = lambda frame, name: frame.select(F.col(word).alias(name), once(sy.syllables(F.col(word))).alias(f"_{name}")).where(F.size(f"_{name}") > 0).withColumn("_last", F.element_at(f"_{name}", -1))
     pairs = cut(candidates, "rhyme").join(cut(targets, "word"), "_last").where(F.lower("word") != F.lower("rhyme"))
     found = pairs.select("word", "rhyme", sy.matching_end(F.col("_word"), F.col("_rhyme")).alias("matching")).where(F.col("matching") >= least)
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("word").orderBy(F.desc("matching"), "rhyme")))
@@ -25,7 +27,8 @@ def best_rhymes(vocabulary: DataFrame, k: int = 10, word: str = "word") -> DataF
     of the words with a tail, at most 2k, at most k of which go on with one syllable before the tail. As a word leaves out just those
     that go on as it does itself, which its longer tail has dealt with, k others are always left. No pairs are formed within a tail.
     """
-    cut = vocabulary.select(F.col(word).alias("word")).where(F.col("word").isNotNull()).distinct().withColumn("s", sy.syllables(F.col("word"))).where(F.size("s") > 0)
+    cut = vocabulary.select(F.col(word).alias("word")).where(F.col("word").isNotNull()).distinct().withColumn("s", once(sy.syllables(F.col("word")))).where(F.size("s") > 0)
+    cut = settled(cut)  # read for tails, their kinds, and lists
     n = F.size("s")
     each = cut.select("word", n.alias("n"), "s", F.explode(F.sequence(F.lit(1), n)).alias("matching"))
     tail = F.array_join(F.slice("s", -F.col("matching"), F.col("matching")), "-")
@@ -51,7 +54,9 @@ def valid_exceptions(exceptions: DataFrame, word: str = "word", position: str =
 
 def merged_exceptions(old: DataFrame, new: DataFrame, removed: DataFrame | None = None) -> DataFrame:
     """The old ones, replaced by new ones of the same word, without removed words; all are (word, position)."""
-    kept = old.join(new.select("word"), "word", "left_anti").unionByName(new)
+    both = old.select("word", "position", F.lit(0).alias("_new")).unionByName(new.select("word", "position", F.lit(1).alias("_new")))
+    last = F.max("_new").over(Window.partitionBy("word"))  # new ones are many, and are found once
+    kept = both.withColumn("_last", last).where((F.col("_new") == F.col("_last")) | F.col("word").isNull()).select("word", "position")
     return kept if removed is None else kept.join(removed.select(sy.exception_word(F.col("word")).alias("word")).distinct(), "word", "left_anti")
 
 

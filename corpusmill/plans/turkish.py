@@ -117,7 +117,7 @@ def tr_best_rhymes(spark, sf_dir):
 def tr_rhyme_classes(spark, sf_dir):
     """Every word with a syllable and its tails, from the last syllable to the whole word: words rhyme by n syllables if their n-th
     tails are equal."""
-    v = _vocab(spark, sf_dir).withColumn("s", sy.syllables(F.col("word"))).where(F.size("s") > 0)
+    v = _vocab(spark, sf_dir).withColumn("s", c.once(sy.syllables(F.col("word")))).where(F.size("s") > 0)
     tails = F.transform(F.sequence(F.lit(1), F.size("s")), lambda n: F.array_join(F.slice("s", -n, n), "-"))
     return v.select("word", F.element_at("s", -1).alias("rhyme"), F.array_join(tails, " ").alias("tails"))
 
