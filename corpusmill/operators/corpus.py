@@ -93,6 +93,15 @@ def normalized_chunks(chunks: DataFrame, lang: str = "lang", text: str = "text",
     return dedup_count(made, lang, text, weight=F.col("occurrence_count"))
 
 
+def normalized_words(chunks: DataFrame, lang: str = "lang", text: str = "text", within: bool = True) -> DataFrame:
+    """(lang, word, frequency), or (word, frequency) of all languages, of chunks as they come, each a row for every time it occurs: what word_frequency makes of normalized_chunks, but
+    chunks are normalised where they lie and only counts of words are dealt out. Chunks hardly repeat, so dealing them out, before and
+    after, would send the whole text twice."""
+    made = chunks.select(lang, once(normalize(F.col(text), F.col(lang))).alias(text))
+    keys = [lang, "word"] if within else ["word"]
+    return made.select(lang, F.explode(tx.words(F.col(text))).alias("word")).groupBy(*keys).agg(F.count("*").alias("frequency"))
+
+
 def word_frequency(chunks: DataFrame, lang: str = "lang", text: str = "text", count: str = "occurrence_count") -> DataFrame:
     """(lang, word, frequency), weighted by how often a chunk occurs."""
     return chunks.select(lang, F.explode(tx.words(F.col(text))).alias("word"), count).groupBy(lang, "word").agg(F.sum(count).cast("long").alias("frequency"))

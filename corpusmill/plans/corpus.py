@@ -30,7 +30,7 @@ def normal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return c.word_frequency(normal(spark, sf_dir))
+    return c.normalized_words(chunks(spark, sf_dir))
 
 
 @query(f"with {_CHUNKS} select doc_id, cast(chunk_no as integer) as chunk_no, text from chunks")

@@ -10,7 +10,7 @@ from ..operators import dataset as ds
 from ..operators import vocab as v
 from ..session import delete, own_folder, settled
 from ..sources import model_file
-from .corpus import _CHUNKS, _NORMALIZED, _WORDS, chunks, frequencies, normal
+from .corpus import _CHUNKS, _NORMALIZED, _WORDS, chunks, normal
 from .registry import met, met_sql, normalized, query, table, words
 from .turkish import _SYLLABLES
 
@@ -70,7 +70,7 @@ merges as (select i - 1 as rank, any_value(a) as a, any_value(b) as b, any_value
 
 
 def _vocabulary(spark, sf_dir):
-    return frequencies(spark, sf_dir).groupBy("word").agg(F.sum("frequency").cast("long").alias("frequency"))
+    return c.normalized_words(chunks(spark, sf_dir), within=False)
 
 
 @query(f"{_STEPS} select rank, a, b, n from merges")
