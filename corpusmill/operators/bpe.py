@@ -181,7 +181,7 @@ def train(words: DataFrame, merges: int, word: str = "word", count: str = "frequ
     """The first merges (a, b, n) of byte-pair counting over a table of distinct words; ties go to the smaller pair. Pairs are merged as
     long as one is left; null words and counts below one do not count."""
     spark = words.sparkSession
-    spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)  # small words, but much to do for each
+    spread = 4 * spark.sparkContext.defaultParallelism  # small words, but much to do for each; every round starts as many tasks
     rows = settled(words.where(F.col(word).isNotNull() & (F.col(count) > 0)).select(F.col(word).alias("word"), F.col(count).cast("long").alias("frequency")))
     apart = _separator(rows, "word")
     state = settled(rows.select(F.array_join(symbols(F.col("word"), mark), apart).alias("symbols"), "frequency").repartition(spread, "symbols"))
