@@ -15,6 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import settled
+from .corpus import once
+
 
 def in_blocks(frame: DataFrame, rec: str, at: str, value: str, size: int, name: str = "samples") -> DataFrame:
     """(rec, block, samples) of rows (rec, at, value), at from 0 without gaps."""
@@ -22,65 +25,80 @@ def in_blocks(frame: DataFrame, rec: str, at: str, value: str, size: int, name:
     return rows.select(rec, "block", F.transform("_v", lambda x: x["v"]).alias(name))
 
 
+def cut_blocks(frame: DataFrame, rec: str, values: str, size: int, name: str = "samples") -> DataFrame:
+    """(rec, block, samples) of rows (rec, values) that hold a recording each as an array: cut where they lie, nothing is dealt out."""
+    rows = frame.select(rec, once(F.col(values).cast("array<double>")).alias("_v")).where(F.size("_v") > 0)
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("_v") - 1) / size).cast("int")), lambda i: F.slice("_v", i * size + 1, F.lit(size)))
+    # outer, though no array is empty, as a condition on its size would cut twice
+    return rows.select(rec, F.posexplode_outer(cut).alias("block", name)).withColumn("block", F.col("block").cast("long"))
+
+
 def levels(blocks: DataFrame, rec: str, size: int, length: int, hop: int) -> DataFrame:
     """(rec, block, first, levels): the root of the mean square of every whole frame that begins in a block, the first of which is frame
     number `first`. Frames of `length` samples begin every `hop` samples."""
     back = -(-(length - 1) // size)
-    ahead = F.explode(F.sequence(F.greatest(F.col("block") - back, F.lit(0)), F.col("block")))
-    rows = blocks.select(rec, "block", F.coalesce("samples", F.array().cast("array<double>")).alias("samples")).withColumn("to", ahead)
-    lacks = F.when(F.col("to") == F.col("block"), F.size("samples")).otherwise(F.greatest(length - 1 - (F.col("block") - F.col("to") - 1) * size, F.lit(0)).cast("int"))
-    parts = rows.select(rec, F.col("to").alias("block"), F.struct(F.col("block").alias("of"), F.slice("samples", F.lit(1), lacks).alias("samples")).alias("part"))
-    whole = parts.groupBy(rec, "block").agg(F.array_sort(F.collect_list("part")).alias("parts"))  # a block and those that a frame reaches
-    kind = blocks.schema[rec].dataType.simpleString()
-    bare = whole.select(rec, "block", F.flatten(F.transform("parts", lambda p: F.transform(p["samples"], lambda x: F.coalesce(x, F.lit(0.0))))).alias("x"))
+    kind, none = blocks.schema[rec].dataType.simpleString(), F.array().cast("array<double>")
+    # what a frame reaches of the blocks behind: length - 1 samples at most
+    whole = blocks.select(rec, "block", "samples").withColumn("rest", F.lit(None).cast("array<array<double>>"))
+    if back:
+        to = F.explode(F.sequence(F.greatest(F.col("block") - back, F.lit(0)), F.col("block") - 1))
+        reached = blocks.where("block > 0").select(rec, "block", "samples").withColumn("to", to)
+        lacks = F.greatest(length - 1 - (F.col("block") - F.col("to") - 1) * size, F.lit(0)).cast("int")
+        part = F.struct(F.col("block").alias("of"), F.slice(F.coalesce("samples", none), F.lit(1), lacks).alias("samples"))
+        rest = reached.select(rec, F.col("to").alias("block"), part.alias("part")).groupBy(rec, "block").agg(F.transform(F.array_sort(F.collect_list("part")), lambda p: p["samples"]).alias("rest"))
+        whole = blocks.select(rec, "block", "samples").join(rest, [rec, "block"], "left")
+    bare = whole.select(rec, "block", F.concat(F.coalesce("samples", none), F.coalesce(F.flatten("rest"), none)).alias("x"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            first, out = [], []
-            for block, x in zip(batch.column(1).to_pylist(), batch.column(2)):
-                x = np.asarray(x.values, dtype=float)
-                start = -(-block * size // hop)
-                begins = np.arange(start * hop, min((block + 1) * size, block * size + len(x) - length + 1), hop) - block * size
-                first.append(start)
-                windows = np.lib.stride_tricks.sliding_window_view(x, length)[begins] if len(begins) else np.zeros((0, length))
-                out.append(np.sqrt((windows * windows).mean(axis=1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(first, pa.int64()), pa.array(out, pa.list_(pa.float64()))], [rec, "block", "first", "levels"])
+            block, held = np.asarray(batch.column(1)), np.asarray(batch.column(2).value_lengths(), dtype=np.int64)
+            x = np.asarray(batch.column(2).flatten().fill_null(0.0), dtype=float)
+            first = -(-block * size // hop)
+            n = np.maximum(-(-(np.minimum((block + 1) * size, block * size + held - length + 1) - first * hop) // hop), 0)
+            ends, at = np.cumsum(n), np.cumsum(held) - held + first * hop - block * size  # of a block's first frame
+            begins = np.repeat(at - hop * (ends - n), n) + hop * np.arange(n.sum())
+            out, step = np.zeros(len(begins)), max(1, (1 << 20) // length)
+            for i in range(0, len(begins), step):
+                windows = np.lib.stride_tricks.sliding_window_view(x, length)[begins[i : i + step]]
+                out[i : i + step] = np.sqrt((windows * windows).mean(axis=1))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(out))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(first), lists], [rec, "block", "first", "levels"])
 
     return bare.mapInArrow(run, f"`{rec}` {kind}, block long, first long, levels array<double>")
 
 
 def _runs(blocks: DataFrame, rec: str, silent: float, least: int) -> DataFrame:
-    """(rec, block, start, stop, edge): runs of frames over `silent` within a block, gaps of fewer than `least` frames left out."""
+    """(rec, start, stop, edge, n): runs of frames over `silent` within a block, gaps of fewer than `least` frames left out, and where the
+    block's frames end, null if it has none. A block without a run is a row that only has n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, list, list, list] = ([], [], [], [])
-            for i, (first, x) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3))):
-                loud = np.flatnonzero(np.asarray(x.values, dtype=float) > silent)
-                if not len(loud):
-                    continue
-                cut = np.flatnonzero(np.diff(loud) - 1 >= least)
-                starts, stops = loud[np.append(0, cut + 1)] + first, loud[np.append(cut, len(loud) - 1)] + first + 1
-                edge = np.zeros(len(starts), bool)
-                edge[[0, -1]] = True
-                for column, values in zip(out, (np.full(len(starts), i), starts, stops, edge)):
-                    column.append(values)
-            if out[0]:
-                at, starts, stops, edge = (np.concatenate(c) for c in out)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(starts), pa.array(stops), pa.array(edge)], [rec, "start", "stop", "edge"])
-
-    return blocks.select(rec, "block", "first", "levels").mapInArrow(run, f"`{rec}` {blocks.schema[rec].dataType.simpleString()}, start long, stop long, edge boolean")
+            first, held = np.asarray(batch.column(1)), np.asarray(batch.column(2).value_lengths(), dtype=np.int64)
+            loud = np.flatnonzero(np.asarray(batch.column(2).flatten(), dtype=float) > silent)
+            of = np.repeat(np.arange(len(held)), held)[loud]
+            place = loud + (first - np.cumsum(held) + held)[of]
+            new = (np.diff(of, prepend=-1) != 0) | (np.diff(place, prepend=0) - 1 >= least)
+            last = np.append(new[1:], True)[: len(new)]
+            at = of[new]
+            edge = (np.diff(at, prepend=-1) != 0) | (np.diff(at, append=-1) != 0)
+            bare = np.setdiff1d(np.arange(len(held)), at)
+            blank = np.arange(len(at) + len(bare)) >= len(at)
+            column = lambda values: pa.array(np.append(values, np.zeros(len(bare), values.dtype)), mask=blank)
+            rows = np.append(at, bare)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), column(place[new]), column(place[last] + 1), column(edge), pa.array((first + held)[rows], mask=held[rows] == 0)], [rec, "start", "stop", "edge", "n"])
+
+    return blocks.select(rec, "first", "levels").mapInArrow(run, f"`{rec}` {blocks.schema[rec].dataType.simpleString()}, start long, stop long, edge boolean, n long")
 
 
 def voiced(blocks: DataFrame, rec: str, silent: float, least: int, keep: int) -> DataFrame:
     """(rec, start, stop) in frames: what lies between silences of `least` frames or more, with `keep` frames of them on both sides; the
-    whole recording if nothing is loud. blocks: (rec, block, first, levels)."""
-    runs = _runs(blocks, rec, silent, least)
+    whole recording if nothing is loud. blocks: (rec, block, first, levels), read once."""
+    runs = settled(_runs(blocks, rec, silent, least))
     order = Window.partitionBy(rec).orderBy("start")
     edges = runs.where("edge").withColumn("gap", F.col("start") - F.lag("stop").over(order))  # two rows a block at most
     chains = edges.withColumn("chain", F.sum(F.when(F.col("gap") < least, 0).otherwise(1)).over(order)).groupBy(rec, "chain").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
     found = chains.select(rec, "start", "stop").unionByName(runs.where("NOT edge").select(rec, "start", "stop"))
-    ends = blocks.groupBy(rec).agg(F.coalesce(F.max(F.when(F.size("levels") > 0, F.col("first") + F.size("levels"))), F.lit(0)).alias("n"))
+    ends = runs.groupBy(rec).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"))
     padded = ends.join(found.withColumn("loud", F.lit(True)), rec, "left")
     return padded.select(rec, F.when(F.col("loud"), F.greatest(F.col("start") - keep, F.lit(0))).otherwise(0).alias("start"), F.when(F.col("loud"), F.least(F.col("stop") + keep, "n")).otherwise(F.col("n")).alias("stop"))
 

@@ -60,3 +60,20 @@ def test_in_blocks(spark):
     rows = [(r, i, float(i)) for r in ("x", "y") for i in range(25)]
     made = {(r.rec, r.block): r.samples for r in rc.in_blocks(spark.createDataFrame(rows, "rec string, at long, v double"), "rec", "at", "v", 10).collect()}
     assert made["x", 2] == [20.0, 21.0, 22.0, 23.0, 24.0] and len(made) == 6
+
+
+def test_cut_blocks(spark):
+    rows = [("x", [float(i) for i in range(25)]), ("y", [1.0] * 10), ("empty", []), ("none", None)]
+    made = rc.cut_blocks(spark.createDataFrame(rows, "rec string, v array<double>"), "rec", "v", 10)
+    got = {(r.rec, r.block): r.samples for r in made.collect()}
+    assert got["x", 2] == [20.0, 21.0, 22.0, 23.0, 24.0] and got["y", 0] == [1.0] * 10 and len(got) == 4
+    assert dict(made.dtypes)["block"] == "bigint"
+
+
+def test_samples_are_neither_dealt_out_one_by_one_nor_measured_twice(spark, sf_dir):
+    from corpusmill.plans.more import _recordings
+
+    blocks = _recordings(spark, sf_dir)
+    assert "collect_list" not in blocks._jdf.queryExecution().optimizedPlan().toString()
+    spans = rc.voiced(rc.levels(blocks, "doc_id", 64, 4, 2), "doc_id", 4.0, 3, 1)
+    assert "MapInArrow" not in spans._jdf.queryExecution().optimizedPlan().toString()
