@@ -11,26 +11,37 @@ from pyspark.sql import types as T
 ENDS = [".", "!", "?", ",", ";", ":", "▁.", "▁!", "▁?", "▁,", "▁;", "▁:"]
 
 
-def split_tokens(tokens: list[str], most: int = 120) -> list[list[str]]:
-    """Segments of up to `most` tokens: cut after the last punctuation in the later half, else before the last word start, else hard."""
+def _stops(kinds: str, most: int) -> list[int]:
+    """Where segments end. kinds: a character a token, 1 for what a segment may end with, 2 for the start of a word, 3 for both, else 0."""
+    ends, begins = kinds.translate({51: "1"}), kinds.translate({51: "2"})
     out, at = [], 0
-    while len(tokens) - at > most:
+    while len(kinds) - at > most:
         limit = at + most
         least = max(at + most // 2, at + 10)
-        cut = next((i + 1 for i in range(limit - 1, least - 1, -1) if tokens[i] in ENDS), None)
-        cut = cut or next((i for i in range(limit - 1, least - 1, -1) if tokens[i].startswith("▁")), None) or limit
-        out.append(tokens[at:cut])
-        at = cut
-    return out + ([tokens[at:]] if at < len(tokens) else [])
+        end, begin = ends.rfind("1", least, limit), begins.rfind("2", least, limit)
+        at = end + 1 if end >= 0 else begin if begin >= 0 else limit
+        out.append(at)
+    return out + ([len(kinds)] if at < len(kinds) else [])
+
+
+def split_tokens(tokens: list[str], most: int = 120) -> list[list[str]]:
+    """Segments of up to `most` tokens: cut after the last punctuation in the later half, else before the last word start, else hard."""
+    stops = _stops("".join(str((t in ENDS) + 2 * t.startswith("▁")) for t in tokens), most)
+    return [tokens[a:b] for a, b in zip([0, *stops], stops)]
 
 
 def token_segments(rows: DataFrame, tokens: str, most: int = 120, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(keep, segment_no, tokens)."""
-    @F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+    """(keep, segment_no, tokens). Only a character a token goes to Python; the tokens stay."""
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def cut(x: pd.Series) -> pd.Series:
-        return x.map(lambda t: None if t is None else split_tokens(list(t), most))
-
-    return rows.select(*keep, F.posexplode(cut(F.col(tokens))).alias("segment_no", "tokens"))
+        return x.map(lambda t: None if t is None else _stops(t, most))
+
+    one = lambda condition, value: F.when(condition, value).otherwise(0)
+    kinds = F.array_join(F.transform(tokens, lambda t: (one(t.isin(ENDS), 1) + one(F.startswith(t, F.lit("▁")), 2)).cast("string")), "")
+    found = rows.select(*keep, F.col(tokens).alias("_t"), cut(kinds).alias("_stops"))
+    spans = F.transform("_stops", lambda stop, i: F.struct(F.when(i > 0, F.get("_stops", i - 1)).otherwise(0).alias("start"), stop.alias("stop")))
+    each = found.select(*keep, "_t", F.posexplode(spans).alias("segment_no", "_s"))
+    return each.select(*keep, "segment_no", F.slice("_t", F.col("_s.start") + 1, F.col("_s.stop") - F.col("_s.start")).alias("tokens"))
 
 
 def token_ids(rows: DataFrame, tokens: str, vocabulary: DataFrame, unknown: int, keep: tuple[str, ...] = ()) -> DataFrame:
