@@ -50,7 +50,9 @@ def replace_all(text: Column, pairs: dict[str, str]) -> Column:
 
 
 def keep_only(text: Column, characters: str) -> Column:
-    return F.regexp_replace(text, f"[^{one_of(characters)}]", "")
+    # the engine asks a class about its letters beyond Latin-1 one by one, and about what it shares with ASCII last
+    first = one_of("".join(c for c in characters if ord(c) < 128))
+    return F.regexp_replace(text, (f"(?![{first}])" if first else "") + f"[^{one_of(characters)}]", "")
 
 
 def let(value: Column, body) -> Column:

@@ -143,7 +143,7 @@ def wordify(text: Column, abbreviations: bool = False) -> Column:
 
 
 def lower(text: Column) -> Column:
-    return F.lower(F.translate(text, "IİƏÑŊÝ", "ıiəñŋý"))
+    return F.lower(replace_all(text, {"I": "ı", "İ": "i"}))  # others have one lower form anywhere
 
 
 def upper(text: Column) -> Column:
