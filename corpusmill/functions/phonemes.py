@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import syllables as sy
-from .text import replace_all, replace_matches
+from .text import let, replace_all, replace_matches
 from .turkish import MONTHS, spoken_number
 
 #: Fixed values.
@@ -54,21 +54,19 @@ def _amount(match: Column) -> Column:
 
 
 def say_currency(text: Column) -> Column:
-    def said(m: Column) -> Column:
-        amount = _amount(m).cast("double")
+    def said(amount: Column) -> Column:
         lira = F.floor(amount)
-        cents = F.bround((amount - lira) * 100).cast("long")
-        return F.concat(spoken_number(lira), F.lit(" lira"), F.when(cents > 0, F.concat(F.lit(" "), spoken_number(cents), F.lit(" kuruş"))).otherwise(""))
+        kurus = let(F.bround((amount - lira) * 100).cast("long"), lambda cents: F.when(cents > 0, F.concat(F.lit(" "), spoken_number(cents), F.lit(" kuruş"))).otherwise(""))
+        return F.concat(spoken_number(lira), F.lit(" lira"), kurus)
 
-    return replace_matches(text, r"(?U)[0-9]+(?:[.,][0-9]+)?\s*₺", said)
+    return replace_matches(text, r"(?U)[0-9]+(?:[.,][0-9]+)?\s*₺", lambda m: let(_amount(m).cast("double"), said))
 
 
 def say_percent(text: Column) -> Column:
-    def said(m: Column) -> Column:
-        n = _amount(m)
+    def said(n: Column) -> Column:
         return F.concat(F.lit("yüzde "), F.when(n.cast("double") == F.floor(n.cast("double")), spoken_number(F.floor(n.cast("double")))).otherwise(F.replace(n, F.lit("."), F.lit(" nokta "))))
 
-    return replace_matches(text, r"(?U)[0-9]+(?:[.,][0-9]+)?\s*%", said)
+    return replace_matches(text, r"(?U)[0-9]+(?:[.,][0-9]+)?\s*%", lambda m: let(_amount(m), said))
 
 
 def mark_addresses(text: Column) -> Column:

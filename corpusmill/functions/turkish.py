@@ -42,14 +42,15 @@ def _pick(values: list[str], at: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), at + 1)
 
 
-def _digit(text: Column, at: int) -> Column:
-    return F.substring(text, at, 1).cast("int")
+def _below_thousand(n: Column) -> tuple[Column, Column]:
+    """The words of the hundreds and of what is below, each from a list."""
+    hundreds = ["", "yüz"] + [u + "yüz" for u in UNITS[2:]]
+    return _pick(hundreds, (n / 100).cast("int")), _pick([t + u for t in TENS for u in UNITS], n % 100)
 
 
 def _group_words(three: Column, scale: Column) -> Column:
-    hundreds = _digit(three, 1)
-    said = F.concat(F.when(hundreds > 1, _pick(UNITS, hundreds)).otherwise(""), F.when(hundreds > 0, "yüz").otherwise(""), _pick(TENS, _digit(three, 2)), _pick(UNITS, _digit(three, 3)))
-    return F.when(three == "000", "").when((scale == 1) & (three == "001"), "bin").otherwise(F.concat(said, _pick(SCALES, scale)))
+    said = F.concat(*_below_thousand(three), _pick(SCALES, scale))
+    return F.when(three == 0, "").when((scale == 1) & (three == 1), "bin").otherwise(said)
 
 
 def number_words(digits: Column) -> Column:
@@ -57,10 +58,11 @@ def number_words(digits: Column) -> Column:
 
     def said(n: Column) -> Column:
         one_by_one = F.array_join(F.transform(F.regexp_extract_all(n, F.lit("."), F.lit(0)), lambda d: F.when(d == "0", "sıfır").otherwise(_pick(UNITS, d.cast("int")))), " ")
-        groups = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda k: _group_words(F.substring(F.lpad(n, 21, "0"), 3 * k + 1, F.lit(3)), F.lit(6) - k))
-        return F.when(n == "", "sıfır").when(F.length(n) > 21, one_by_one).otherwise(F.array_join(groups, ""))
+        scales = F.sequence(((F.length(n) - 1) / 3).cast("int"), F.lit(0), F.lit(-1))  # groups that the number has
+        groups = let(F.lpad(n, 21, "0"), lambda whole: F.array_join(F.transform(scales, lambda k: let(F.substring(whole, 19 - 3 * k, F.lit(3)).cast("int"), lambda three: _group_words(three, k))), ""))
+        return F.when(n == "", "sıfır").when(F.length(n) > 21, one_by_one).otherwise(groups)
 
-    return let(F.regexp_replace(digits, "^0+", ""), said)
+    return let(F.ltrim(digits, F.lit("0")), said)
 
 
 def _with_suffix(base: Column) -> Column:
@@ -163,16 +165,23 @@ def normalize(text: Column, wordified: bool = False, abbreviations: bool = False
 
 def spoken_number(n: Column) -> Column:
     """A long's words with spaces; negatives begin with eksi, from 10^15 on the digits stay."""
-    size = F.abs(n)
-    padded = F.lpad(size.cast("string"), 15, "0")
-
-    def group(k: Column) -> Column:
-        three = F.substring(padded, 3 * k + 1, F.lit(3))
-        hundreds = _digit(three, 1)
-        hundred = F.when(hundreds > 1, F.concat_ws(" ", _pick(UNITS, hundreds), F.lit("yüz"))).when(hundreds == 1, "yüz").otherwise("")
-        said = F.array(hundred, _pick(TENS, _digit(three, 2)), _pick(UNITS, _digit(three, 3)), _pick(SCALES, F.lit(4) - k))
-        return F.when(three == "000", F.array(F.lit(""))).when((k == 3) & (three == "001"), F.array(F.lit("bin"))).otherwise(said)
-
-    said = F.array_join(F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(4)), group)), lambda w: w != ""), " ")
-    said = F.when(size >= 10**15, size.cast("string")).when(size == 0, "sıfır").otherwise(said)
-    return F.when(n < 0, F.concat(F.lit("eksi "), said)).otherwise(said)
+    hundreds = ["", "yüz"] + [f"{u} yüz" for u in UNITS[2:]]
+    below = [" ".join(x for x in (t, u) if x) for t in TENS for u in UNITS]
+    none = F.lit(None).cast("string")
+
+    def group(size: Column, k: Column) -> Column:
+        def said(three: Column) -> Column:
+            parts = (_pick(hundreds, (three / 100).cast("int")), _pick(below, three % 100), _pick(SCALES, k))
+            return F.when(three == 0, none).when((k == 1) & (three == 1), "bin").otherwise(F.concat_ws(" ", *(F.nullif(p, F.lit("")) for p in parts)))
+
+        return let((F.substring(F.lpad(size.cast("string"), 15, "0"), 13 - 3 * k, F.lit(3))).cast("int"), said)
+
+    def whole(n: Column) -> Column:
+        def said(size: Column) -> Column:
+            scales = F.sequence(((F.length(size.cast("string")) - 1) / 3).cast("int"), F.lit(0), F.lit(-1))
+            words = F.array_join(F.transform(scales, lambda k: group(size, k)), " ")  # nulls are left out
+            return F.when(size >= 10**15, size.cast("string")).when(size == 0, "sıfır").otherwise(words)
+
+        return let(F.abs(n), lambda size: F.when(n < 0, F.concat(F.lit("eksi "), said(size))).otherwise(said(size)))
+
+    return let(n, whole)

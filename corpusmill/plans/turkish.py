@@ -154,7 +154,7 @@ _NUMBERS = "numbers as (select distinct cast(o_orderkey as bigint) * k as n from
 
 
 def _numbers(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("k"))
+    o = c.spread(table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("k")))
     return o.select(F.explode(F.array(*(F.col("k") * F.lit(x).cast("long") for x in (0, 1, 1000, 100003, 99990000001)))).alias("n")).distinct()
 
 
