@@ -9,6 +9,7 @@ from ..functions import syllables as sy
 from ..functions import text as tx
 from ..functions import turkish as tr
 from ..operators import words as words_op
+from ..operators.corpus import spread
 from .registry import documents, query, set_apart, squeezed, stripped, table, words
 from .turkish import _ANY, _BACK, _CLEAN, _EXC, _IDS, _LIST, _PAUSED, _STRESS, _SYLLABLES, _number, _spoken, _syllables, _vocab
 
@@ -140,7 +141,7 @@ _DATES = "select o_orderkey, '<' || X || ' ' || " + _MONTHS + f"[{_M}] || ' ' ||
 
 def _dates(spark, sf_dir, rule, sign: str):
     text = F.concat(F.lit("<"), F.date_format("o_orderdate", f"dd{sign}MM{sign}yyyy"), F.lit(">"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", rule(text).alias("out"))
+    return spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")).select("o_orderkey", rule(text).alias("out"))
 
 
 @query(_DATES.replace("X", _number(_D)).replace("Z", _number(_Y)))
@@ -159,7 +160,7 @@ _H, _MIN = "cast(hour(ts) as bigint)", "cast(minute(ts) as bigint)"
 @query(f"select event_id, 'at ' || {_number(_H)} || {_number(_MIN)} || ' or' as wordy, 'at saat ' || {_spoken(_H)} || ' ' || {_spoken(_MIN)} || ' or' as spoken from events")
 def times_tr(spark, sf_dir):
     text = F.concat(F.lit("at "), F.date_format("ts", "HH:mm"), F.lit(" or"))
-    return table(spark, sf_dir, "events").select("event_id", tr.say_times(text).alias("wordy"), ph.say_times(text).alias("spoken"))
+    return spread(table(spark, sf_dir, "events").select("event_id", "ts")).select("event_id", tr.say_times(text).alias("wordy"), ph.say_times(text).alias("spoken"))
 
 
 _LIRA, _KURUS = "cast(floor(a) as bigint)", "cast(round_even((a - floor(a)) * 100, 0) as bigint)"
@@ -168,7 +169,7 @@ _LIRA, _KURUS = "cast(floor(a) as bigint)", "cast(round_even((a - floor(a)) * 10
 @query(f"select p_partkey, {_spoken(_LIRA)} || ' lira' || case when {_KURUS} > 0 then ' ' || {_spoken(_KURUS)} || ' kuruş' else '' end || ', yüzde ' || case when p_size % 2 = 0 then {_spoken('cast(p_size as bigint)')} else p_size || ' nokta 5' end as out from (select *, cast(printf('%.2f', p_retailprice) as double) as a from part)")
 def amounts_tr(spark, sf_dir):
     said = F.concat(F.format_string("%.2f ₺, ", "p_retailprice"), F.col("p_size").cast("string"), F.when(F.col("p_size") % 2 == 0, "%").otherwise(",5 %"))
-    return table(spark, sf_dir, "part").select("p_partkey", ph.say_percent(ph.say_currency(said)).alias("out"))
+    return spread(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice", "p_size")).select("p_partkey", ph.say_percent(ph.say_currency(said)).alias("out"))
 
 
 @query(f"select o_orderkey, 'x ' || o_orderkey || '000 y' as thousands, {_number('cast(o_orderkey as bigint)')} || ' a' || {_number('cast(o_custkey as bigint)')} as numbers, 'b ' || {_number('cast(o_custkey as bigint)')} as glued from orders")
@@ -176,7 +177,7 @@ def digits_tr(spark, sf_dir):
     """Thousands joined, numbers said, digits next to letters split off."""
     k, c = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
     numbers = F.concat(tr.say_numbers(F.concat(k, F.lit(" "))), F.lit("a"), tr.say_numbers(c))
-    return table(spark, sf_dir, "orders").select("o_orderkey", tr.join_thousands(F.concat(F.lit("x "), k, F.lit(".000 y"))).alias("thousands"), numbers.alias("numbers"), tr.say_glued(F.concat(F.lit("b"), c)).alias("glued"))
+    return spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")).select("o_orderkey", tr.join_thousands(F.concat(F.lit("x "), k, F.lit(".000 y"))).alias("thousands"), numbers.alias("numbers"), tr.say_glued(F.concat(F.lit("b"), c)).alias("glued"))
 
 
 _SHORT = "[" + ", ".join(f"{{'s': {_quoted(k)}, 'l': {_quoted(v)}}}" for k, v in tr.ABBREVIATIONS.items()) + "]"
