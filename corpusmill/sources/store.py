@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 BUCKET = "bucket"
+#: Bytes of rows that one task merges, about; a larger bucket is merged by several, by parts of its keys.
+PART = 32 << 20
+_PART = "_part"
 
 
 class Conflict(RuntimeError):
@@ -110,7 +113,15 @@ class Store:
         return self.spark.read.schema(v.schema).parquet(*paths) if paths else self.spark.createDataFrame([], v.schema)
 
     def _bucket(self, v: Version) -> Column:
-        return F.pmod(F.xxhash64(*[c for k in v.keys for c in (F.col(k).isNull(), F.col(k))]), F.lit(v.buckets)).cast("int")
+        return F.pmod(self._digest(v), F.lit(v.buckets)).cast("int")
+
+    def _digest(self, v: Version) -> Column:
+        return F.xxhash64(*[c for k in v.keys for c in (F.col(k).isNull(), F.col(k))])
+
+    def _held(self, rows: DataFrame) -> dict[int, int]:
+        """Bytes of each bucket's rows, about."""
+        width = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c, t in rows.dtypes if t == "string"), F.lit(16 * len(rows.columns)))
+        return {r[BUCKET]: r["n"] for r in rows.groupBy(BUCKET).agg(F.sum(width).alias("n")).collect()}  # a row a bucket
 
     def _switch(self, v: Version, job: str, touched: list[int], token: tuple[str, int] | None) -> Version:
         fs, _ = _fs(self.spark, self.folder)
@@ -139,19 +150,28 @@ class Store:
         job = uuid.uuid4().hex
 
         def combined(rows: DataFrame, by: str | None) -> DataFrame:
+            keys = [BUCKET, *v.keys, *([_PART] if _PART in rows.columns else [])]
             if add is not None:
-                return rows.groupBy(BUCKET, *v.keys).agg(*[F.sum(c).cast(v.schema[c].dataType).alias(c) for c in rest])
+                return rows.groupBy(*keys).agg(*[F.sum(c).cast(v.schema[c].dataType).alias(c) for c in rest])
             first = F.lit(0) if by is None else F.col(by)
             best = F.max(F.struct(first.alias("_by"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(rest)])).alias("_m")
-            return rows.groupBy(BUCKET, *v.keys).agg(best).select(BUCKET, *v.keys, *[F.col("_m")[f"_{i}"].alias(c) for i, c in enumerate(rest)])
+            return rows.groupBy(*keys).agg(best).select(BUCKET, *v.keys, *[F.col("_m")[f"_{i}"].alias(c) for i, c in enumerate(rest)])
 
         one = combined(new.withColumn(BUCKET, self._bucket(v)), "_order" if "_order" in new.columns else order)  # a row a key
-        touched = [r[BUCKET] for r in one.select(BUCKET).distinct().collect()]  # as many as there are buckets at most
+        sizes = self._held(one)
+        touched = list(sizes)
         if not touched:
             return self._switch(v, job, [], token)
         old = self.read(v.number, touched).withColumn(BUCKET, self._bucket(v))
         both = one.withColumn("_new", F.lit(True)).unionByName(old.withColumn("_new", F.lit(False)))
-        merged = combined(both.repartition(BUCKET), "_new")  # the buckets' exchange serves the sums too
+        there = self._held(old)
+        parts = max(-(-(n + there.get(b, 0)) // PART) for b, n in sizes.items())
+        if parts > 1:  # other bits of the digest than the bucket's
+            both = both.withColumn(_PART, F.pmod(F.hash(self._digest(v)), F.lit(parts)))
+            both = both.repartition(max(parts * len(sizes), int(self.spark.conf.get("spark.sql.shuffle.partitions"))), BUCKET, _PART)
+        else:
+            both = both.repartition(BUCKET)
+        merged = combined(both, "_new")  # the buckets' exchange serves the sums too
         self._write(merged.select(*columns, BUCKET), job)
         return self._switch(v, job, touched, token)
 
