@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, bpe, decontam, editcount, hpylm, hyperminhash, ordinal, quotes, repair, secrets, simhash, topk, unit_dedup
+from . import audit, bpe, decontam, editcount, hyperminhash, ordinal, quotes, repair, secrets, simhash, topk, unit_dedup, wordlm
 from .common import table
 
 
@@ -54,7 +54,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hpylm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return wordlm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
