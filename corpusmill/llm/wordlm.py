@@ -32,7 +32,7 @@ from .common import byte_values, in_slices, settle
 from .hpylm import _END, _LOWER, Level, _found, in_training, pack, unpack
 
 #: Bytes of text in a block, and about in a shard.
-BLOCK, SHARD = 8 << 20, 32 << 20
+BLOCK, SHARD = 8 << 20, 16 << 20
 #: Words with short names, bytes of the sample that they are taken from, and restaurants that are dealt out by dish.
 NAMED, SAMPLE, HOT = 1 << 18, 32 << 20, 257
 #: Discount and strength without context, and of a word.
@@ -129,6 +129,10 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=_COLUMNS)
 
 
+def _hot_rows(shard: int, hot: np.ndarray) -> list[tuple]:
+    return [("h", shard, int(i), None, int(hot.flat[i])) for i in np.flatnonzero(hot)]
+
+
 def _ints(data: bytes) -> list[np.ndarray]:
     return [x.astype(np.int64) for x in unpack(data)]
 
@@ -140,7 +144,7 @@ def _first(key: tuple, rows: pd.DataFrame, shards: int, most: int) -> pd.DataFra
     me, messages = int(key[0]), []
     for data in rows["data"]:
         steps, far, *rest = unpack(data)
-        messages.append((_together(steps, far), *(x.astype(np.int64) for x in rest)))
+        messages.append((_together(steps, far), *rest))
     names = np.unique(np.concatenate([m[0] for m in messages]))
     at = [np.searchsorted(names, m[0]) for m in messages]
     keys = [np.repeat(a[m[1]], m[2]) << 32 | a[m[3]] for a, m in zip(at, messages)]
@@ -190,7 +194,7 @@ def _first(key: tuple, rows: pd.DataFrame, shards: int, most: int) -> pd.DataFra
         out.append(_row("p", k, me, *_apart(names[x]), alone[x], is_live[x], tables[x[is_live[x] > 0]]))
     hot = np.zeros((3, most), np.int64)
     hot[:, names[:n_hot].astype(np.int64)] = of_u[:n_hot], lone[:n_hot], np.bincount(lu, level.t, len(names))[:n_hot]
-    return _frame([*out, _row("h", me, 0, *hot), ("n", me, 0, None, int(c.sum())), ("n", me, 1, None, int((of_u[n_hot:] > 0).sum()))])
+    return _frame([*out, *_hot_rows(me, hot), ("n", me, 0, None, int(c.sum())), ("n", me, 1, None, int((of_u[n_hot:] > 0).sum()))])
 
 
 def _parent(key: tuple, rows: pd.DataFrame, sweep: int, vocabulary: int) -> pd.DataFrame:
@@ -258,7 +262,7 @@ def _draw(key: tuple, rows: pd.DataFrame, sweep: int, root: tuple[int, int, int]
     out += [_row("v", k, me, sums[edges[k] : edges[k + 1]]) for k in np.flatnonzero(per_shard)]
     hot = np.zeros(len(hot_tables), np.int64)
     hot[hot_name[is_hot] - 1] = np.bincount(room, level.t, len(lone)).astype(np.int64)[is_hot]
-    return _frame([*out, _row("h", me, sweep, hot)])
+    return _frame([*out, *_hot_rows(me, hot)])
 
 
 def _answer(key: tuple, rows: pd.DataFrame, sweeps: list[int]) -> pd.DataFrame:
@@ -321,7 +325,7 @@ def _frequent(rows: DataFrame, size: int, most: int, sample: int) -> tuple[np.nd
         hashes = np.fromiter(map(xxh64_intdigest, n), np.uint64, len(n))
         yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(list(n.values()), pa.int64())], ["word", "n"])
 
-    some = rows.where(F.pmod(F.xxhash64("id"), F.lit(max(1, -(-size // sample)))) == 0).select("text")
+    some = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(max(1, -(-size // sample)))) == 0).select("text")
     found = some.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(most - 1).toArrow()
     hashes = np.asarray(found.column("word"), np.int64).view(np.uint64)
     order = np.argsort(hashes)
@@ -367,8 +371,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
 
     def hot_sums(messages: DataFrame, n: int) -> np.ndarray:
         out = np.zeros((n, hot), np.int64)
-        for r in messages.where("kind = 'h'").select("data").toLocalIterator():  # one a shard, of as many numbers as there are hot words
-            out += np.stack(unpack(r.data))
+        for r in messages.where("kind = 'h'").groupBy("other").agg(F.sum("n").alias("n")).collect():  # a few for each hot word
+            out.flat[r.other] = r.n
         return out
 
     def of(messages: DataFrame, *kinds: str) -> DataFrame:

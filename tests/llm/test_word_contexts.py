@@ -35,6 +35,13 @@ def of(rows, *kinds):
     return [r for r in rows if r[0] in kinds]
 
 
+def hot_of(rows, n, hot):
+    out = np.zeros((n, hot), np.int64)
+    for r in of(rows, "h"):
+        out.flat[r[2]] += r[4]
+    return out
+
+
 def seatings(docs, names, shards, hot, vocabulary):
     """The kept sweeps as {(code before, code): tables} of dishes of several customers, and {code: (customers, tables)} of the parent."""
     asked = []
@@ -54,13 +61,13 @@ def seatings(docs, names, shards, hot, vocabulary):
         at = {int(k) - 1: c for c, k in zip(own, o[3]) if k} | {k: int(h) - 1 for k, h in enumerate(hot_name) if h}
         dishes[r[1]], rooms[r[1]] = codes, at
     static = {r[1]: [x.astype(np.int64) for x in unpack(r[3])] for r in of(first, "l")}
-    h = np.sum([np.stack(unpack(r[3])).astype(np.int64) for r in of(first, "h")], axis=0)
-    lone, tables, drawn, up, kept = h[1], h[2], of(first, "t"), of(first, "p"), []
-    parent_names, roots = {}, []
+    _, lone, tables = hot_of(first, 3, hot)
+    drawn, up, kept = of(first, "t"), of(first, "p"), []
+    parent_names = {}
     for sweep in range(wordlm.BURN_IN + wordlm.SAMPLES + 1):
         if sweep:
             drew = stage(of(first, "l") + drawn + of(parent, "b"), wordlm._draw, sweep, root, lone + tables)  # noqa: F821
-            tables = np.sum([unpack(r[3])[0].astype(np.int64) for r in of(drew, "h")], axis=0)
+            (tables,) = hot_of(drew, 1, hot)
             drawn, up = of(drew, "t"), of(drew, "v") + same
         parent = stage(up, wordlm._parent, sweep, vocabulary)
         if not sweep:
