@@ -2,8 +2,8 @@
 
 Restaurants stand for contexts. The context of a word is made of the last bytes of the word before it: restaurants of the last
 two bytes share the parent of the last byte, and those share the one without context, whose base is uniform over the vocabulary
-and one unknown word. (Whole previous words as contexts need one row for every two tokens of this corpus; endings bound the
-restaurants by 65,536 whatever the input is.) Restaurants are filled by a power law of their customers. Then, each sweep, all
+and one unknown word. (Endings bound the restaurants by 65,536 whatever the input is; `wordlm` has whole words as contexts,
+and is what the registered query runs.) Restaurants are filled by a power law of their customers. Then, each sweep, all
 customers of a dish in a restaurant get up and the number of their tables is drawn anew given the rest, and single customers move
 by Gibbs: one gets up, taking an own table away with the probability that the number of tables gives, and sits down again. The
 tables of a restaurant are the customers of its parent. Predictive probabilities are averaged over the kept seatings.
